@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.llm import conversations
+from quern.llm import conversations, tokens
 
 
 def queries() -> dict[str, Callable]:
     return {
         "p3_found": conversations.p3_found,
         "p3_stray_links": conversations.p3_stray_links,
+        "p6_ids": tokens.p6_ids,
     }
 
 
