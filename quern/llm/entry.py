@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.llm import conversations, tokens
+from quern.llm import conversations, spam, tokens
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "p3_found": conversations.p3_found,
         "p3_stray_links": conversations.p3_stray_links,
         "p6_ids": tokens.p6_ids,
+        "p8_found": spam.p8_found,
     }
 
 
