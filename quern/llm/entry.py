@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.llm import conversations, spam, tokens
+from quern.llm import conversations, leaks, spam, tokens
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,8 @@ def queries() -> dict[str, Callable]:
         "p3_found": conversations.p3_found,
         "p3_stray_links": conversations.p3_stray_links,
         "p6_ids": tokens.p6_ids,
+        "p7_found": leaks.p7_found,
+        "p7_paraphrased": leaks.p7_paraphrased,
         "p8_found": spam.p8_found,
     }
 
