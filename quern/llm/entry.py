@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.llm import conversations, leaks, spam, tokens
+from quern.llm import conversations, leaks, personal, spam, tokens
 
 
 def queries() -> dict[str, Callable]:
     return {
         "p3_found": conversations.p3_found,
         "p3_stray_links": conversations.p3_stray_links,
+        "p5_found": personal.p5_found,
+        "p5_redacted": personal.p5_redacted,
         "p6_ids": tokens.p6_ids,
         "p7_found": leaks.p7_found,
         "p7_paraphrased": leaks.p7_paraphrased,
