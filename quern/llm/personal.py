@@ -42,21 +42,22 @@ LOGIN = re.compile(r"(?i)\b(?:ssh|scp|sftp|rsync|mosh)\s(?:-\S+\s)*\S*$")
 ID_VALUE = r"(?:\d{3}[- ]\d{2}[- ]\d{4}|\d{17}[\dXx]|\d{15}|[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Z]|[A-Z]{1,2}\d{7,9}|\d{2} \d{6} [A-Z] \d{3}|\d{9,12}|\d{2,3}(?:[ /]\d{3}){2,3})"
 ID_HINT = r"(?:social security(?: (?:number|no\.?))?|\bssn|\btax (?:id|number|no\.?)|\btin|passport(?: (?:number|no\.?))?|(?:national )?identity (?:number|card|no\.?)|national id|\bid card|身份证(?:号码?)?|护照(?:号码?)?|税号|纳税人识别号|社保号|steuer-?(?:id|nummer)|ausweis(?:nummer)?|reisepass(?:nummer)?|sozialversicherungsnummer|personalausweis(?:nummer)?)"
 ID_NUMBER = re.compile(rf"(?i:{ID_HINT})(?:\s(?i:number|no\.?|nr\.?))?\s*(?:is|ist|lautet|是|为|[:：=#])?\s*({ID_VALUE})(?![\w-]*\d)", re.S)
-ID_LOOK = re.compile(r"social|ssn|tax|tin|passport|identity|id card|national id|身份|护照|税|社保|steuer|ausweis|reisepass|versicherung")
+ID_HINTS = ("social security", "ssn", "tax", "tin", "passport", "identity", "id card", "national id", "身份证", "护照", "税", "社保", "steuer", "ausweis", "reisepass", "versicherung")
 ID_BARE = re.compile(r"(?<![A-Za-z0-9_./-])(9\d{2}-\d{2}-\d{4}|[1-9]\d{5}(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx])(?![A-Za-z0-9_-])")
 PHONE_HINT = r"(?:number is|phone(?: is)?|\btel\.?|\bcall(?: me)?(?: on| at)?|\bring(?: me)?(?: on| at)?|\btext|whatsapp|\bmobile|\bcell|\bme on|\breach me (?:on|at)|\bfax|handy(?:nummer)?|telefon(?:nummer)?|rufnummer|anruf(?:en)?|电话|手机号?|有事打|致电|拨打|联系电话)"
+PHONE_HINTS = ("number is", "phone", "tel", "call", "ring", "text", "whatsapp", "mobile", "cell", "me on", "reach me", "fax", "handy", "rufnummer", "anruf", "电话", "手机", "有事打", "致电", "拨打")
 PHONE_VALUE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){6,12}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|1\d{2}[ -]?\d{4}[ -]?\d{4}|0\d(?:[ .]\d{2}){4}|0\d{1,4}[ /-]\d{4,9})"
 PHONE_HINTED = re.compile(rf"(?i:{PHONE_HINT})\s*(?:is|ist|是|[:：=])?\s*({PHONE_VALUE}|\d{{3}}[ -]\d{{4}}|\d(?:[ .-]?\d){{6,12}})(?![\w-]*\d)")
 PHONE = re.compile(r"(?<![A-Za-z0-9_.+/=-])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){6,12}|\(\d{3}\) ?\d{3}-\d{4}|[2-9]\d{2}\.[2-9]\d{2}\.\d{4}|1[3-9]\d[ -]\d{4}[ -]\d{4}|0\d(?:[ .]\d{2}){4})(?![\w.-]*\d)")
 NUMBERED = re.compile(r"(?i)(?:order|part|ticket|row|rows|version|build|commit|range|serial|invoice|timeout|sku|item|batch|ref|paid on|\bid)\W{0,3}\w{0,12}\W{0,2}$")
 STREET = r"(?:street|str\.|lane|road|avenue|boulevard|way|drive|court|square|terrace|crescent|close|alley|place|parade|quay|row|hill|walk|st\.?|ave\.?|rd\.?|ln\.?|blvd\.?|dr\.?)"
 NOT_STREET = r"(?!(?:the|a|an|of|on|in|at|by|to|and|or|for|from|with|percent|credits|entries|rows|minutes|hours|days|nights|times|seconds|items|is|was|are|per|this|that|its|lane|street|road|way|section|gate|more|other)\b)"
-#: Pairs of a quick look for words that an address holds, and the pattern that is then tried.
+#: Strings of which an address holds one in lower case, and the pattern that is then tried.
 ADDRESSES = (
-    (re.compile(rf"(?i)(?<![a-z]){STREET}(?![a-z])"), re.compile(rf"(?i)(?<![a-z0-9_.,:/#-])\d{{1,5}}[a-z]?(?:[-/]\d{{1,4}})?,? (?:(?:north|south|east|west|upper|lower|old|new|saint|st\.) )?(?:{NOT_STREET}[^\W\d_][\w'’.-]* ){{1,3}}{STREET}(?![\w-])")),
-    (re.compile(r"(?i)(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ufer|ring|chaussee|pfad|steig)\s\d|\b(?:am|im|zum|zur|der|alte|neue)\s[^\W\d_]+\s\d"), re.compile(r"(?i)(?<![a-zäöüß0-9_-])(?:[a-zäöüß][a-zäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ufer|ring|chaussee|pfad|steig)|(?:am|an der|im|zum|zur|auf der|alte|neue) [a-zäöüß][a-zäöüß-]{3,}(?:straße|strasse|weg|gasse|platz|allee|damm|ufer|ring)?)\s\d{1,4}\s?[a-z]?(?![\w-])")),
-    (re.compile(r"\d\s?[号號弄]"), re.compile(r"[㐀-鿿]{1,8}(?:路|街|道|巷|弄|胡同|里|大道)\s?\d{1,5}\s?(?:号|號|弄)(?:[㐀-鿿\d]{0,4}(?:单元|栋|幢|楼|室|院|层|座)\s?\d{0,4})*")),
-    (re.compile(r"(?i)\b(?:rue|via|calle|avenida)\s"), re.compile(r"(?i)(?<![a-z0-9_-])\d{1,4}(?: bis)?,? (?:rue|via|calle|avenida) (?:[^\W\d_][\w'’-]*)")),
+    (("street", "str.", "lane", "road", "avenue", "boulevard", " way", "drive", "court", "square", "terrace", "crescent", "close", "alley", "place", "parade", "quay", " row", " hill", "walk", " st", " ave", " rd", " ln", "blvd", " dr"), re.compile(rf"(?i)(?<![a-z0-9_.,:/#-])\d{{1,5}}[a-z]?(?:[-/]\d{{1,4}})?,? (?:(?:north|south|east|west|upper|lower|old|new|saint|st\.) )?(?:{NOT_STREET}[^\W\d_][\w'’.-]* ){{1,3}}{STREET}(?![\w-])")),
+    (("straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "damm ", "ufer ", "ring ", "chaussee ", "pfad ", "steig ", "am ", "der ", "im ", "zum ", "zur ", "alte ", "neue "), re.compile(r"(?i)(?<![a-zäöüß0-9_-])(?:[a-zäöüß][a-zäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ufer|ring|chaussee|pfad|steig)|(?:am|an der|im|zum|zur|auf der|alte|neue) [a-zäöüß][a-zäöüß-]{3,}(?:straße|strasse|weg|gasse|platz|allee|damm|ufer|ring)?)\s\d{1,4}\s?[a-z]?(?![\w-])")),
+    (("号", "號", "弄"), re.compile(r"[㐀-鿿]{1,8}(?:路|街|道|巷|弄|胡同|里|大道)\s?\d{1,5}\s?(?:号|號|弄)(?:[㐀-鿿\d]{0,4}(?:单元|栋|幢|楼|室|院|层|座)\s?\d{0,4})*")),
+    (("rue ", "via ", "calle ", "avenida "), re.compile(r"(?i)(?<![a-z0-9_-])\d{1,4}(?: bis)?,? (?:rue|via|calle|avenida) (?:[^\W\d_][\w'’-]*)")),
 )
 #: Signs of full width and odd dashes and blanks as their plain forms, one for one, so that offsets stay.
 PLAIN = {0xFF01 + i: 0x21 + i for i in range(94)} | dict.fromkeys((0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2212), 0x2D) | dict.fromkeys((0x00A0, 0x2007, 0x202F, 0x3000), 0x20)
@@ -65,9 +66,9 @@ SECTION = re.compile(r"(?i)(?:section|chapter|page|line|gate|step|item|part|zoom
 NAME_PART = r"[^\W\d_]{2,}(?:[-'’][^\W\d_]{2,})?"
 NAME_PAIR = rf"(?:{NAME_PART}(?:\s[A-Za-z]\.?)?\s{NAME_PART}|{NAME_PART},\s(?:{NAME_PART}|[A-Za-z]\.)|[A-Za-z]\.\s?{NAME_PART}|{NAME_PART}\s[A-Z]\.?(?=\W|$))"
 NAMED = (
-    (re.compile(r"(?i)spoke with|contract names|is called|was called|am called|my name is|this is|ask |signed,|regards,|met with|talk to|call from|heißt|unterschrieben,|gesprochen mit|房东叫|请联系|联系人|名叫|我叫|姓名"),
+    (("spoke with", "contract names", "is called", "was called", "am called", "my name is", "this is", "ask ", "signed,", "regards,", "met with", "talk to", "call from", "heißt", "unterschrieben,", "gesprochen mit", "房东叫", "请联系", "联系人", "名叫", "我叫", "姓名"),
      re.compile(rf"(?i:spoke with|contract names|is called|was called|am called|my name is|this is|\bask|signed,|regards,|met with|talk to|call from|heißt|unterschrieben,|gesprochen mit|房东叫|请联系|联系人[是:：]?|名叫|我叫|姓名[是:：]?)\s*({NAME_PAIR})")),
-    (re.compile(r"(?i)will sign|signed|as the tenant|for the key|this morning"), re.compile(rf"(?<![a-zA-Z0-9_@.+-])({NAME_PAIR})(?=\s(?i:will sign|signed|as the tenant|for the key|called this morning|this morning))")),
+    (("will sign", "signed", "as the tenant", "for the key", "this morning"), re.compile(rf"(?<![a-zA-Z0-9_@.+-])({NAME_PAIR})(?=\s(?i:will sign|signed|as the tenant|for the key|called this morning|this morning))")),
 )
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 # Words that stand in such places without being names.
@@ -95,22 +96,23 @@ class Detector:
                 if not LOGIN.search(text[max(0, m.start() - 60) : m.start()]):
                     found.append(("email", m.start(), m.end()))
         if any(c.isdigit() for c in low):
-            for m in ID_NUMBER.finditer(text) if ID_LOOK.search(low) else ():
+            for m in ID_NUMBER.finditer(text) if any(h in low for h in ID_HINTS) else ():
                 if _clear(found, *m.span(1)):
                     found.append(("id_number", *m.span(1)))
-            for kind, pattern in (("id_number", ID_BARE), ("phone", PHONE_HINTED), ("phone", PHONE)):
+            hinted = any(h in low for h in PHONE_HINTS)
+            for kind, pattern in (("id_number", ID_BARE), ("phone", PHONE_HINTED), ("phone", PHONE)) if hinted else (("id_number", ID_BARE), ("phone", PHONE)):
                 for m in pattern.finditer(text):
                     a, b = m.span(1)
                     if _clear(found, a, b) and (pattern is PHONE_HINTED or not NUMBERED.search(text[max(0, a - 30) : a])):
                         found.append((kind, a, b))
-            for m in (m for look, pattern in ADDRESSES if look.search(text) for m in pattern.finditer(text)):
+            for m in (m for hints, pattern in ADDRESSES if any(h in low for h in hints) for m in pattern.finditer(text)):
                 if _clear(found, *m.span()) and not SECTION.search(text[max(0, m.start() - 10) : m.start()]):
                     found.append(("address", *m.span()))
         self._names(text, low, found)
         return sorted(found, key=lambda x: x[1])
 
     def _names(self, text: str, low: str, found: list[tuple[str, int, int]]) -> None:
-        for m in (m for look, pattern in NAMED if look.search(low) for m in pattern.finditer(text)):
+        for m in (m for hints, pattern in NAMED if any(h in low for h in hints) for m in pattern.finditer(text)):
             a, b = m.span(1)
             words = [w for w in WORD.findall(text[a:b].lower())]
             full = [w for w in words if len(w) > 1]
