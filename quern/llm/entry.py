@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.llm import conversations, leaks, neardup, personal, spam, tokens
+from quern.llm import conversations, leaks, neardup, neighbours, personal, spam, tokens
 
 
 def queries() -> dict[str, Callable]:
     return {
         "p1_found": neardup.p1_found,
         "p1_classes": neardup.p1_classes,
+        "p2_found": neighbours.p2_found,
         "p3_found": conversations.p3_found,
         "p3_stray_links": conversations.p3_stray_links,
         "p5_found": personal.p5_found,
