@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.llm import conversations, leaks, neardup, neighbours, personal, spam, tokens
+from quern.llm import clusters, conversations, leaks, neardup, neighbours, personal, spam, tokens
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable]:
         "p2_found": neighbours.p2_found,
         "p3_found": conversations.p3_found,
         "p3_stray_links": conversations.p3_stray_links,
+        "p4_found": clusters.p4_found,
+        "p4_clusters": clusters.p4_clusters,
         "p5_found": personal.p5_found,
         "p5_redacted": personal.p5_redacted,
         "p6_ids": tokens.p6_ids,
