@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.plans import queries as stored
+
 FLAGSHIP = "recall_hybrid"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(stored.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(stored.SQL)

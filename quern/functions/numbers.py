@@ -15,7 +15,8 @@ def finite(c: Column) -> Column:
 
 def clamp(c: Column, low: float, high: float, fallback: float) -> Column:
     """Between low and high; the fallback where there is no finite number."""
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), finite(c))), F.lit(fallback))
+    # greatest and least pass nulls over, so they are asked for first
+    return F.when(finite(c).isNull(), F.lit(fallback)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), finite(c))))
 
 
 def clamp01(c: Column, fallback: float = 0.0) -> Column:

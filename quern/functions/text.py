@@ -59,8 +59,12 @@ def admission_tokens(c: Column) -> Column:
 def ngrams(c: Column, low: int = 2, high: int = 3) -> Column:
     """All character n-grams of the lower-cased text."""
     t = F.lower(c)
-    grams = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: t.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*grams)
+
+    def of(n: int) -> Column:  # transform would take a second parameter for the place
+        made = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: t.substr(i, F.lit(n)))
+        return F.when(F.length(t) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*(of(n) for n in range(low, high + 1)))
 
 
 def fact_key(category: Column, abstract: Column) -> Column:

@@ -64,7 +64,7 @@ def batch_dedup(candidates: DataFrame, threshold: float = 0.85) -> DataFrame:
                 v = units[j]
                 if j not in of and v is not None and len(u) == len(v) and float(u @ v) > threshold:
                     of[j] = i
-        return pd.DataFrame({"batch_id": [pdf["batch_id"].iloc[0]] * len(of), "cand_id": [ids[j] for j in of], "duplicate_of": [ids[i] for i in of.values()]})
+        return pd.DataFrame({"batch_id": np.full(len(of), pdf["batch_id"].iloc[0], dtype=np.int64), "cand_id": pd.Series([ids[j] for j in of], dtype=object), "duplicate_of": pd.Series([ids[i] for i in of.values()], dtype=object)})
 
     return once.where("batch_id is not null and cand_id is not null").groupBy("batch_id").applyInPandas(run, "batch_id bigint, cand_id string, duplicate_of string")
 

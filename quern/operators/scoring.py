@@ -78,6 +78,15 @@ def confidence(score: Column, now: int) -> Column:
     return clamp01(value)
 
 
+def _where_any(value: Column) -> Column:
+    """Rows that have a value, with it.
+
+    A filter on the value would be pushed below the scores and repeat their long
+    expressions there until they no longer compile; a generator is not.
+    """
+    return F.explode(F.filter(F.array(value), lambda x: x.isNotNull()))
+
+
 def tier_transitions(scored: DataFrame, now: int) -> DataFrame:
     """id, from_tier, to_tier of rows with a composite that change their tier."""
     age = (F.lit(now) - F.col("timestamp")) / MS_PER_DAY
@@ -88,7 +97,7 @@ def tier_transitions(scored: DataFrame, now: int) -> DataFrame:
         .when((F.col("tier") == "working") & ((c < 0.15) | (age > 60) & (n < 3)), "peripheral")
         .when((F.col("tier") == "core") & (c < 0.15) & (n < 3), "working")
     )
-    return scored.withColumn("to_tier", to).where("to_tier is not null").select("id", F.col("tier").alias("from_tier"), "to_tier")
+    return scored.select("id", F.col("tier").alias("from_tier"), _where_any(to).alias("to_tier"))
 
 
 def archive_reasons(scored: DataFrame, now: int, threshold: float = 0.15) -> DataFrame:
@@ -103,7 +112,7 @@ def archive_reasons(scored: DataFrame, now: int, threshold: float = 0.15) -> Dat
         .when((F.col("tier") == "peripheral") & (c < threshold) & (F.col("access_count") == 0) & (idle > 30), "stale_unaccessed").when((bad >= 5) & (c < 0.5) & (F.col("tier") != "core"), "bad_recall")
     )
     skip = (F.col("state") == "archived") | (F.col("layer") == "archive") | (F.col("source") == "session-summary")
-    return scored.where(~skip).withColumn("reason", reason).where("reason is not null").select("id", "reason")
+    return scored.where(~skip).select("id", _where_any(reason).alias("reason"))
 
 
 def contradictions(rows: DataFrame) -> DataFrame:
