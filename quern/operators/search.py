@@ -7,12 +7,17 @@ once.  A set of queries is sent to all tasks only where its size is checked
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.metadata import active_at, expired
-from quern.functions.numbers import clamp01, dot
+from quern.functions.numbers import clamp01
 from quern.functions.text import search_tokens, trimmed
+from quern.operators.pairs import unit_matrix
 from quern.operators.scoring import confidence, days_since, length_norm, time_decay
 
 MOST_QUERIES = 1000
@@ -25,12 +30,6 @@ def small(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries)
 
 
-def vector_score(query: Column, vector: Column) -> Column:
-    """1 / (1 + cosine distance)."""
-    norm = F.sqrt(dot(query, query)) * F.sqrt(dot(vector, vector))
-    return 1 / (2 - F.when(norm > 0, dot(query, vector) / norm).otherwise(0.0))
-
-
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     """The k best of each query, with rank; each task keeps k of a query before the exchange."""
     order = [F.desc(by), F.col("id")]
@@ -40,13 +39,41 @@ def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
 
 
 def vector_search(rows: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.3, now: int | None = None) -> DataFrame:
-    """qid, id, score, rank by exact cosine; inactive rows are left out where a clock is given."""
+    """qid, id, score, rank by exact cosine; inactive rows are left out where a clock is given.
+
+    Every batch of rows is multiplied with all queries at once and keeps each
+    query's k best, so that an exchange sees k rows a batch and query.
+    """
     kept = rows.where(F.size("vector") > 0)
     if now is not None:
         kept = kept.where(active_at(now))
-    asked = small(queries.select("qid", F.col("vector").alias("qv")))
-    scored = kept.select("id", "vector").join(asked, F.size("vector") == F.size("qv")).select("qid", "id", vector_score(F.col("qv"), F.col("vector")).alias("score"))
-    return top_k(scored.where(F.col("score") >= min_score), k)
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("qv")).limit(MOST_QUERIES + 1).toArrow()
+    if asked.num_rows > MOST_QUERIES:
+        raise ValueError(f"hand over at most {MOST_QUERIES} queries at a time")
+    by_dims: dict[int, list[tuple[object, list[float]]]] = {}
+    for qid, v in zip(asked.column(0).to_pylist(), asked.column(1).to_pylist(), strict=True):
+        if v:
+            by_dims.setdefault(len(v), []).append((qid, v))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy()
+            for dims, of in by_dims.items():
+                own = np.flatnonzero(sizes == dims)
+                if not len(own):
+                    continue
+                q = np.array([v for _, v in of], dtype=np.float64)
+                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+                x = unit_matrix(batch.column(1).take(pa.array(own)), dims)
+                score = 1 / (2 - np.clip(q @ x.T, -1, 1))
+                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(of), -np.inf)
+                i, j = np.nonzero((score >= least[:, None]) & (score >= min_score))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([of[n][0] for n in i], qid_type), batch.column(0).take(pa.array(own[j])), pa.array(score[i, j])], names=["qid", "id", "score"])
+
+    qid_type = asked.schema.field(0).type
+    kind = dict(queries.dtypes)["qid"]
+    return top_k(kept.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, f"qid {kind}, id string, score double"), k)
 
 
 def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:

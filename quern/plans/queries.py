@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import classify, metadata, numbers, text
-from quern.operators import greedy, rollups, scoring, search, store
+from quern.operators import greedy, pairs, rollups, scoring, search, store
 from quern.plans.reference_sql import DECAY, NOW, with_mem
 from quern.session import table
 
@@ -400,9 +400,13 @@ def recall_hybrid(spark, d):
 
 @query(with_mem("SELECT a.id AS id_a, b.id AS id_b FROM small a JOIN small b ON a.scope = b.scope AND a.id < b.id WHERE list_inner_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) / (sqrt(list_inner_product(a.vector::DOUBLE[], a.vector::DOUBLE[])) * sqrt(list_inner_product(b.vector::DOUBLE[], b.vector::DOUBLE[]))) >= 0.88", GOOD, "small AS (SELECT * FROM good WHERE scope = 'agent:main')"))
 def similar_pairs_of_scope(spark, d):
-    rows = _searchable(mem(spark, d)).where("scope = 'agent:main'").select("id", "scope", "vector")
-    a, b = rows.alias("a"), rows.alias("b")
-    return a.join(b, (F.col("a.scope") == F.col("b.scope")) & (F.col("a.id") < F.col("b.id")) & (numbers.cosine(F.col("a.vector"), F.col("b.vector")) >= 0.88)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    rows = _searchable(mem(spark, d)).where("scope = 'agent:main'")
+    return pairs.similar_pairs(rows, 0.88, 64).select("id_a", "id_b")
+
+
+@query()
+def seed_clusters(spark, d):
+    return pairs.seed_clusters(_searchable(mem(spark, d))).select("scope", "seed", "id")
 
 
 # ---- rollups
