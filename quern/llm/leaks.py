@@ -189,6 +189,8 @@ def latent_basis(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return np.array([r[1] for r in got]).reshape(-1, width)
 
     counts = gathered(units.mapInArrow(count, "block int, part array<double>"), 1)[:, 0]
+    if not len(counts):  # no texts at all
+        return np.ones(DIMS), np.eye(DIMS, RANK, dtype=np.float32)
     n = max(1.0, counts[DIMS])
     weight = np.log((n + 1) / (counts[:DIMS] + 1)) + 0.1
     sent = units.sparkSession.sparkContext.broadcast((weight, np.random.default_rng(SEED).standard_normal((DIMS, RANK)).astype(np.float32)))

@@ -86,8 +86,10 @@ class Detector:
         self.given, self.family = frozenset(x.lower() for x in given), frozenset(x.lower() for x in family)
         self.known = self.given | self.family
 
-    def find(self, text: str) -> list[tuple[str, int, int]]:
+    def find(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) of every entity, by start."""
+        if not text:
+            return []
         found: list[tuple[str, int, int]] = []
         text = text.translate(PLAIN)
         low = text.lower()
