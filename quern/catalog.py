@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.plans import more_queries  # noqa: F401  registers its queries
 from quern.plans import queries as stored
 
 FLAGSHIP = "recall_hybrid"

@@ -95,23 +95,31 @@ def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2
     return top_k(raw.withColumn("score", 1 / (1 + F.exp(-F.col("raw") / 5))), k)
 
 
-def lexical_score(query: Column, query_tokens: Column, text: Column, weight: float = 1.0) -> Column:
-    """Coverage of the query's tokens, with a bonus for whole coverage and for a literal hit."""
-    matched = F.size(F.array_intersect(query_tokens, search_tokens(text)))
-    coverage = matched / F.greatest(F.size(query_tokens), F.lit(1))
-    score = 0.5 + 0.42 * coverage
-    score = F.when(F.contains(F.lower(trimmed(text)), F.lower(trimmed(query))), F.greatest(score, F.lit(0.88))).otherwise(score)
-    score = F.when(matched == F.size(query_tokens), F.greatest(score, F.lit(0.92))).otherwise(score)
-    return F.when(matched > 0, F.least(F.lit(0.95), score) * weight).otherwise(0.0)
+def lexical_score(matched: Column, size: Column, literal: Column, weight: Column) -> Column:
+    """Coverage of the query's tokens, with a bonus for a literal hit and for whole coverage."""
+    score = 0.5 + 0.42 * matched / size
+    score = F.when(literal, F.greatest(score, F.lit(0.88))).otherwise(score)
+    score = F.when(matched == size, F.greatest(score, F.lit(0.92))).otherwise(score)
+    return F.least(F.lit(0.95), score) * weight
 
 
 def lexical_search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """qid, id, score, rank over the text and its abstract, overview and content."""
-    asked = small(queries.select("qid", "query", search_tokens(F.col("query")).alias("qt")))
-    fields = [("text", 1.0), ("l0", 0.98), ("l1", 0.92), ("l2", 0.96)]
-    scored = rows.select("id", *(f for f, _ in fields)).join(asked, F.size("qt") > 0)
-    best = F.greatest(*(lexical_score(F.col("query"), F.col("qt"), F.col(f), w) for f, w in fields))
-    return top_k(scored.select("qid", "id", best.alias("score")).where("score > 0"), k)
+    """qid, id, score, rank over the text and its abstract, overview and content.
+
+    Rows and queries meet on equal tokens; a field that repeats the text is left
+    to the text, whose weight is the greatest.
+    """
+    asked = small(queries.select("qid", "query", search_tokens(F.col("query")).alias("qt")).where(F.size("qt") > 0))
+    field = lambda name, weight: F.struct(F.lit(weight).alias("weight"), F.col(name).alias("t"))
+    kept = [F.array(field("text", 1.0)), *(F.when(F.col(n) != F.col("text"), F.array(field(n, w))).otherwise(F.array().cast("array<struct<weight:double,t:string>>")) for n, w in (("l0", 0.98), ("l1", 0.92), ("l2", 0.96)))]
+    fields = rows.select("id", F.explode(F.concat(*kept)).alias("f")).select("id", "f.weight", "f.t")
+    words = fields.select("id", "weight", F.explode(search_tokens(F.col("t"))).alias("w"))
+    needles = F.broadcast(asked.select("qid", F.size("qt").alias("size"), F.explode("qt").alias("w")))  # words of at most MOST_QUERIES queries
+    hits = words.join(needles, "w").groupBy("qid", "id", "weight", "size").agg(F.count("*").alias("matched"))
+    found = hits.join(fields, ["id", "weight"]).join(asked.select("qid", "query"), "qid")
+    literal = F.contains(F.lower(trimmed(F.col("t"))), F.lower(trimmed(F.col("query"))))
+    scored = found.select("qid", "id", lexical_score(F.col("matched"), F.col("size"), literal, F.col("weight")).alias("score"))
+    return top_k(scored.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
 def fuse(vector: DataFrame, bm25: DataFrame, vector_weight: float = 0.6, bm25_weight: float = 0.4, k: int = 60) -> DataFrame:
