@@ -185,7 +185,7 @@ def exact_dup_compact(spark, d):
     return store.exact_duplicates(mem(spark, d))
 
 
-@query("SELECT cand_id AS id, trim(abstract) AS text, CASE WHEN category IN ('preference','fact','decision','entity','other','reflection') THEN category ELSE 'other' END AS category, 0.7 AS importance, " + str(NOW) + r" AS timestamp FROM (SELECT * FROM extraction_candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY created_at) = 1) WHERE length(regexp_replace(regexp_replace(abstract, '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '')) >= 2")
+@query("SELECT cand_id AS id, trim(abstract) AS text, CASE WHEN category IN ('preference','fact','decision','entity','other','reflection') THEN category ELSE 'other' END AS category, 0.7::DOUBLE AS importance, " + str(NOW) + r" AS timestamp FROM (SELECT * FROM extraction_candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY created_at) = 1) WHERE length(regexp_replace(regexp_replace(abstract, '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '')) >= 2")
 def import_rows(spark, d):
     rows = table(spark, d, "extraction_candidates").dropDuplicates(["cand_id"]).select(F.col("cand_id").alias("id"), F.col("abstract").alias("text"), "category", F.lit(None).cast("double").alias("importance"), F.lit(None).cast("bigint").alias("timestamp"))
     return store.new_only(store.importable(rows, NOW), once(spark, d))
