@@ -1,8 +1,8 @@
 """Retrieval: vector, BM25 and lexical search, fusion, and the hybrid pipeline.
 
 Queries come as a DataFrame (qid, query, vector), so that many are answered at
-once.  A set of queries is sent to all tasks only where its size is checked
-(``MOST_QUERIES``); more are handled in blocks of that size.
+once, however many they are.  Vectors are compared in blocks of ``MOST_QUERIES``
+queries; words of queries and rows meet by joins.
 """
 
 from __future__ import annotations
@@ -20,19 +20,18 @@ from quern.functions.text import search_tokens, trimmed
 from quern.operators.pairs import unit_matrix
 from quern.operators.scoring import confidence, days_since, length_norm, time_decay
 
+#: Queries and rows whose vectors are multiplied at once.
 MOST_QUERIES = 1000
+MOST_ROWS = 4096
 
 
-def small(queries: DataFrame) -> DataFrame:
-    """A query set to be sent to all tasks, after a check of its size."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"hand over at most {MOST_QUERIES} queries at a time")
-    return F.broadcast(queries)
+def top_k(scored: DataFrame, k: int, by: str = "score", digits: int | None = None) -> DataFrame:
+    """The k best of each query, with rank; each task keeps k of a query before the exchange.
 
-
-def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
-    """The k best of each query, with rank; each task keeps k of a query before the exchange."""
-    order = [F.desc(by), F.col("id")]
+    Sums come out a little different by the order of their parts: scores that
+    agree in so many digits are ties, by id.
+    """
+    order = [F.desc(by) if digits is None else F.round(by, digits).desc(), F.col("id")]
     part = scored.withColumn("_p", F.spark_partition_id())
     local = part.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "_p").orderBy(*order))).where(F.col("_n") <= k).drop("_n", "_p")
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
@@ -41,37 +40,43 @@ def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
 def vector_search(rows: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.3, now: int | None = None) -> DataFrame:
     """qid, id, score, rank by exact cosine; inactive rows are left out where a clock is given.
 
-    Every batch of rows is multiplied with all queries at once and keeps each
-    query's k best, so that an exchange sees k rows a batch and query.
+    Slices of rows are multiplied with one block of queries after the other and
+    keep each query's k best, so that an exchange sees k rows a slice and query.
     """
     kept = rows.where(F.size("vector") > 0)
     if now is not None:
         kept = kept.where(active_at(now))
-    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("qv")).limit(MOST_QUERIES + 1).toArrow()
-    if asked.num_rows > MOST_QUERIES:
-        raise ValueError(f"hand over at most {MOST_QUERIES} queries at a time")
-    by_dims: dict[int, list[tuple[object, list[float]]]] = {}
-    for qid, v in zip(asked.column(0).to_pylist(), asked.column(1).to_pylist(), strict=True):
-        if v:
-            by_dims.setdefault(len(v), []).append((qid, v))
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("qv")).where(F.size("qv") > 0).toArrow().combine_chunks()
+    qids, vectors = (asked.column(c).combine_chunks() for c in (0, 1))
+    lengths = vectors.value_lengths().to_numpy()
+    blocks: list[tuple[int, pa.Array, np.ndarray]] = []
+    for dims in np.unique(lengths):
+        of = np.flatnonzero(lengths == dims)
+        for at in range(0, len(of), MOST_QUERIES):
+            own = pa.array(of[at : at + MOST_QUERIES])
+            q = vectors.take(own).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            blocks.append((int(dims), qids.take(own), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+    sent = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy()
-            for dims, of in by_dims.items():
-                own = np.flatnonzero(sizes == dims)
-                if not len(own):
-                    continue
-                q = np.array([v for _, v in of], dtype=np.float64)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                x = unit_matrix(batch.column(1).take(pa.array(own)), dims)
-                score = 1 / (2 - np.clip(q @ x.T, -1, 1))
-                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(of), -np.inf)
-                i, j = np.nonzero((score >= least[:, None]) & (score >= min_score))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array([of[n][0] for n in i], qid_type), batch.column(0).take(pa.array(own[j])), pa.array(score[i, j])], names=["qid", "id", "score"])
-
-    qid_type = asked.schema.field(0).type
+        for whole in batches:
+            for start in range(0, whole.num_rows, MOST_ROWS):
+                batch = whole.slice(start, MOST_ROWS)
+                sizes = batch.column(1).value_lengths().to_numpy()
+                units = {}
+                for dims, of, q in sent.value:
+                    if dims not in units:
+                        own = np.flatnonzero(sizes == dims)
+                        units[dims] = own, unit_matrix(batch.column(1).take(pa.array(own)), dims)
+                    own, x = units[dims]
+                    if not len(own):
+                        continue
+                    score = 1 / (2 - np.clip(q @ x.T, -1, 1))
+                    least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(of), -np.inf)
+                    i, j = np.nonzero((score >= least[:, None]) & (score >= min_score))
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([of.take(pa.array(i)), batch.column(0).take(pa.array(own[j])), pa.array(score[i, j])], names=["qid", "id", "score"])
+
     kind = dict(queries.dtypes)["qid"]
     return top_k(kept.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, f"qid {kind}, id string, score double"), k)
 
@@ -85,14 +90,13 @@ def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2
     words = rows.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0)).alias("t"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
     asked = queries.select("qid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0)))).alias("w"))
-    vocabulary = F.broadcast(asked.select("w").distinct())  # the words of at most MOST_QUERIES queries
-    small(queries)
+    vocabulary = asked.select("w").distinct()
     postings = words.select("id", F.size("t").alias("len"), F.explode("t").alias("w")).join(vocabulary, "w", "left_semi").groupBy("id", "len", "w").agg(F.count("*").alias("tf"))
     df = postings.groupBy("w").agg(F.count("*").alias("df"))
     weight = df.crossJoin(F.broadcast(stats)).select("w", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats: one row
     part = postings.join(weight, "w").withColumn("s", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg"))))
-    raw = part.join(F.broadcast(asked), "w").groupBy("qid", "id").agg(F.sum("s").alias("raw"))
-    return top_k(raw.withColumn("score", 1 / (1 + F.exp(-F.col("raw") / 5))), k)
+    raw = part.join(asked, "w").groupBy("qid", "id").agg(F.sum("s").alias("raw"))
+    return top_k(raw.withColumn("score", 1 / (1 + F.exp(-F.col("raw") / 5))), k, digits=9)
 
 
 def lexical_score(matched: Column, size: Column, literal: Column, weight: Column) -> Column:
@@ -109,12 +113,12 @@ def lexical_search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     Rows and queries meet on equal tokens; a field that repeats the text is left
     to the text, whose weight is the greatest.
     """
-    asked = small(queries.select("qid", "query", search_tokens(F.col("query")).alias("qt")).where(F.size("qt") > 0))
+    asked = queries.select("qid", "query", search_tokens(F.col("query")).alias("qt")).where(F.size("qt") > 0)
     field = lambda name, weight: F.struct(F.lit(weight).alias("weight"), F.col(name).alias("t"))
     kept = [F.array(field("text", 1.0)), *(F.when(F.col(n) != F.col("text"), F.array(field(n, w))).otherwise(F.array().cast("array<struct<weight:double,t:string>>")) for n, w in (("l0", 0.98), ("l1", 0.92), ("l2", 0.96)))]
     fields = rows.select("id", F.explode(F.concat(*kept)).alias("f")).select("id", "f.weight", "f.t")
     words = fields.select("id", "weight", F.explode(search_tokens(F.col("t"))).alias("w"))
-    needles = F.broadcast(asked.select("qid", F.size("qt").alias("size"), F.explode("qt").alias("w")))  # words of at most MOST_QUERIES queries
+    needles = asked.select("qid", F.size("qt").alias("size"), F.explode("qt").alias("w"))
     hits = words.join(needles, "w").groupBy("qid", "id", "weight", "size").agg(F.count("*").alias("matched"))
     found = hits.join(fields, ["id", "weight"]).join(asked.select("qid", "query"), "qid")
     literal = F.contains(F.lower(trimmed(F.col("t"))), F.lower(trimmed(F.col("query"))))
@@ -148,4 +152,4 @@ def hybrid(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, pool: int
     life = F.when(F.col("temporal_type") == "dynamic", half_life / 3).otherwise(half_life)
     staged = found.withColumn("score", length_norm(F.col("score"), F.col("text"))).where(F.col("score") >= hard_min)
     staged = staged.withColumn("score", clamp01(time_decay(F.col("score"), age, life)))
-    return top_k(staged, k).select("qid", "id", "score", confidence(F.col("score"), now).alias("confidence"), "rank")
+    return top_k(staged, k, digits=9).select("qid", "id", "score", confidence(F.col("score"), now).alias("confidence"), "rank")

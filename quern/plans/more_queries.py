@@ -21,10 +21,8 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asked_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of the first batches with usable vectors, as a set of queries."""
-    bad = F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    kept = candidates(spark, d).where((F.col("batch_id") < 40) & (F.size("vector") == 64) & ~bad & F.exists("vector", lambda x: x != 0))
-    return kept.select(F.col("cand_id").alias("qid"), F.col("abstract").alias("query"), "vector", "category")
+    """All candidates with usable vectors, as a set of queries."""
+    return _searchable(candidates(spark, d)).select(F.col("cand_id").alias("qid"), F.col("abstract").alias("query"), "vector", "category")
 
 
 ASK = f"ask AS (SELECT cand_id AS qid, category AS own, vector AS qv FROM {CAND} WHERE batch_id < 40 AND len(vector) = 64 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"

@@ -333,11 +333,17 @@ def redact_mail(spark, d):
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """A fixed set of queries: the evaluation items, each with the vector of one memory."""
-    items = table(spark, d, "eval_items").where("query is not null and item_id <= 12").select(F.col("item_id").alias("qid"), "query")
-    vectors = once(spark, d).where((F.size("vector") == 64) & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).select("entry_index", "vector")
-    ranked = vectors.orderBy("entry_index").limit(12).withColumn("qid", F.row_number().over(Window.orderBy("entry_index")).cast("bigint")).drop("entry_index")
-    return items.join(F.broadcast(ranked), "qid")
+    """The searches: every evaluation item with the vector of one memory, and every memory whose entry_index is divisible by 100.
+
+    An item's qid is its item_id, a memory's ``-1 - entry_index``.
+    """
+    items = table(spark, d, "eval_items").where("query is not null").dropDuplicates(["item_id"]).select(F.col("item_id").alias("qid"), "query")
+    stored = once(spark, d).select("entry_index", "text", "vector")
+    vectors = _searchable(stored).select("entry_index", "vector")
+    most = items.agg(F.max("qid")).first()[0] or 0  # of a table of fixed size
+    ranked = vectors.orderBy("entry_index").limit(most).withColumn("qid", F.row_number().over(Window.orderBy("entry_index")).cast("bigint")).drop("entry_index")
+    own = stored.where("entry_index % 100 = 0").select((-1 - F.col("entry_index")).alias("qid"), F.col("text").alias("query"), F.when(_usable_vector(), F.col("vector")).alias("vector"))
+    return items.join(F.broadcast(ranked), "qid", "left").unionByName(own)
 
 
 ASKED = "items AS (SELECT item_id AS qid, query FROM eval_items WHERE query IS NOT NULL AND item_id <= 12), vecs AS (SELECT row_number() OVER (ORDER BY entry_index) AS qid, vector AS qv FROM (SELECT * FROM d WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 ORDER BY entry_index LIMIT 12)), asked AS (SELECT i.qid, query, qv FROM items i JOIN vecs USING (qid))"
@@ -346,9 +352,13 @@ DOT = "list_inner_product(qv::DOUBLE[], vector::DOUBLE[]) / (sqrt(list_inner_pro
 VEC = f"vec AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, 1 / (2 - {DOT}) AS score FROM good, asked) WHERE score >= 0.3)"
 
 
-def _searchable(rows: DataFrame) -> DataFrame:
+def _usable_vector() -> F.Column:
     bad = F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    return rows.where((F.size("vector") == 64) & ~bad & F.exists("vector", lambda x: x != 0))
+    return (F.size("vector") == 64) & ~bad & F.exists("vector", lambda x: x != 0)
+
+
+def _searchable(rows: DataFrame) -> DataFrame:
+    return rows.where(_usable_vector())
 
 
 @query(with_mem("SELECT qid, id, round(score, 6) AS score, rank FROM vec WHERE rank <= 5", ASKED, GOOD, VEC))
