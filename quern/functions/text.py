@@ -124,3 +124,11 @@ def lesson_text(c: Column) -> Column:
 
 def reason_key(c: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(F.lower(c), r"\d+(?:\.\d+)?", "#"), r"\s+", " "))
+
+
+def message_text(content: Column) -> Column:
+    """What a message says: plain text, or the text blocks of a JSON block list, one a line; nothing where the list can't be read."""
+    listed = F.coalesce(content.rlike(r"^\s*\[\s*(\{|\]|$)"), F.lit(False))
+    blocks = F.from_json(F.when(listed, content), "array<struct<type:string,text:string>>")
+    said = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
+    return F.when(listed, F.coalesce(F.array_join(said, "\n"), F.lit(""))).otherwise(content)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import classify, numbers, text
 from quern.operators import governance, greedy, pairs, search
-from quern.plans.queries import DAY, GOOD, ONCE, TEXTS, _asked, _in_duckdb, _searchable, mem, once, query, r6
+from quern.plans.queries import DAY, GOOD, ONCE, TEXTS, _asked, _in_duckdb, _searchable, mem, once, query, r6, said
 from quern.plans.reference_sql import NOW, with_mem
 from quern.session import table
 from quern.streaming import state
@@ -183,9 +183,7 @@ LINES = TEXTS.replace("(SELECT msg_id,", "(SELECT lower(trim(session_id)) AS ses
 g AS (SELECT session, max(regexp_matches(t, {_in_duckdb(classify.MEMORY_INTENT)})::INT) AS intent, max((regexp_matches(t, {_in_duckdb(classify.CORRECTION)}) OR regexp_matches(t, {_in_duckdb(classify.DECISION)}))::INT) AS turn, max(regexp_matches(t, {_in_duckdb(classify.TOOL_CALL)})::INT) AS tool, sum(CASE WHEN length(t) > 20 THEN length(content) ELSE 0 END) AS chars, count(*) AS n FROM l GROUP BY 1)
 SELECT session, least(1.0, round(0.5::DOUBLE * intent + 0.4 * tool + 0.3 * turn + CASE WHEN chars > 200 THEN 0.2 ELSE 0 END + CASE WHEN n > 6 THEN 0.1 ELSE 0 END, 6))::DOUBLE AS value FROM g""")
 def conversation_value(spark, d):
-    rows = table(spark, d, "session_messages").where("type = 'message' and content is not null and not (content like '[{%') and session_id is not null")
-    lines = rows.select(F.lower(F.trim("session_id")).alias("session"), "msg_id", F.col("content").alias("text")).distinct()
-    return governance.conversation_value(lines)
+    return governance.conversation_value(said(spark, d).where("session is not null"))
 
 
 @query()

@@ -271,6 +271,13 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 TEXTS = "(SELECT msg_id, content, regexp_replace(regexp_replace(content, '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '') AS t FROM session_messages WHERE type = 'message' AND content IS NOT NULL AND NOT (content LIKE '[{%'))"
 
 
+def said(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every message, each once; of repeats the first one loaded, with text before none."""
+    rows = table(spark, d, "session_messages").where("type = 'message' and content is not null")
+    parsed = rows.select("msg_id", F.lower(F.trim("session_id")).alias("session"), text.message_text(F.col("content")).alias("text"), "loaded_at")
+    return parsed.groupBy("msg_id").agg(F.min_by(F.struct("session", "text"), F.struct(F.col("text") == "", "loaded_at", "text")).alias("m")).select("msg_id", "m.session", "m.text")
+
+
 def _in_duckdb(pattern: str) -> str:
     """The same pattern with borders that are ASCII there by default, as a literal."""
     import re
@@ -284,7 +291,7 @@ def _noise_sql(t: str) -> str:
 
 @query(f"SELECT DISTINCT msg_id, {_noise_sql('t')} AS noise FROM {TEXTS}")
 def noise_filter(spark, d):
-    return table(spark, d, "session_messages").where("type = 'message' and content is not null and not (content like '[{%')").select("msg_id", text.is_noise(F.col("content")).alias("noise")).distinct()
+    return said(spark, d).select("msg_id", text.is_noise(F.col("text")).alias("noise")).distinct()
 
 
 @query(with_mem(f"SELECT id, CASE WHEN regexp_matches(text, {_in_duckdb(classify.DYNAMIC)}) THEN 'dynamic' ELSE 'static' END AS kind, CASE " + " ".join(f"WHEN regexp_matches(text, {_in_duckdb(p)}) THEN {NOW + h * 3_600_000}" for p, h in classify.EXPIRY) + " END AS expires FROM mem"))
@@ -302,14 +309,14 @@ def detect_category(spark, d):
  WHEN length(t) > CASE WHEN regexp_matches(t, {_in_duckdb(classify.CJK)}) THEN 30 ELSE 80 END THEN CASE WHEN regexp_matches(t, '^<[a-z-]+>') AND regexp_matches(t, '</[a-z-]+>\\s*$') THEN 'system_xml' ELSE 'substantive' END
  WHEN contains(t, '?') OR contains(t, '？') THEN 'short_question' ELSE 'short_statement' END AS reason FROM {TEXTS}) GROUP BY 1""")
 def score_text(spark, d):
-    rows = table(spark, d, "session_messages").where("type = 'message' and content is not null and not (content like '[{%')").select("msg_id", classify.line_reason(F.col("content")).alias("reason")).distinct()
+    rows = said(spark, d).select("msg_id", classify.line_reason(F.col("text")).alias("reason")).distinct()
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT DISTINCT msg_id, length(t) >= CASE WHEN regexp_matches(t, {_in_duckdb(classify.CJK)}) THEN 4 ELSE 10 END AND length(t) <= 500 AND NOT contains(t, '<relevant-memories>') AND NOT (starts_with(t, '<') AND contains(t, '</')) AND NOT (contains(t, '**') AND contains(t, chr(10) || '-'))
  AND NOT regexp_matches(t, {_in_duckdb(classify.EXCLUDED)}) AND regexp_matches(t, {_in_duckdb(classify.TRIGGERS)}) AS capture FROM {TEXTS}""")
 def should_capture(spark, d):
-    return table(spark, d, "session_messages").where("type = 'message' and content is not null and not (content like '[{%')").select("msg_id", classify.worth_capturing(F.col("content")).alias("capture")).distinct()
+    return said(spark, d).select("msg_id", classify.worth_capturing(F.col("text")).alias("capture")).distinct()
 
 
 @query("SELECT cand_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(abstract, '')), '\\p{Han}|[\\p{Latin}\\p{N}]+'))) AS tokens FROM (SELECT * FROM extraction_candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY created_at) = 1)")

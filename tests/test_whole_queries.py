@@ -1,5 +1,7 @@
 """Registered queries over all of their rows, beside their SQL without its limits of ids."""
 
+import json
+import re
 from pathlib import Path
 
 import duckdb
@@ -8,6 +10,7 @@ import pytest
 from test_queries import FOLDER, rows_of
 
 from quern import catalog
+from quern.functions.text import message_text
 from quern.operators import search
 
 tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
@@ -68,3 +71,34 @@ def test_more_queries_than_a_block(spark):
     asked = spark.createDataFrame([(i, f"word{i}", v.tolist()) for i, v in enumerate(vectors)] + [(-1, None, None), (-2, "", [])], "qid bigint, query string, vector array<double>")
     for found in (search.vector_search(rows, asked, 1), search.bm25_search(rows, asked, 1), search.lexical_search(rows, asked, 1)):
         assert {(x.qid, x.id) for x in found.collect()} == {(i, f"m{i}") for i in range(len(vectors))}
+
+
+def unpacked(content):
+    """The text of a message by the json module."""
+    if content is None or not re.match(r"\s*\[\s*(\{|\]|$)", content):
+        return content
+    try:
+        return "\n".join(b["text"] for b in json.loads(content) if b.get("type") == "text" and b.get("text") is not None)
+    except ValueError:
+        return ""
+
+
+@tables
+@pytest.mark.parametrize("name", ["noise_filter", "score_text", "should_capture", "conversation_value"])
+def test_all_messages(spark, duck, name):
+    """The same SQL where the texts are taken out of their blocks before; one row a message."""
+    con = duckdb.connect()
+    rows = duck.execute("SELECT * EXCLUDE (content), content FROM session_messages QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY loaded_at) = 1").to_arrow_table()
+    texts = rows.column("content").to_pylist()
+    assert any(t and t.startswith("[{") for t in texts)
+    source = rows.set_column(rows.schema.get_field_index("content"), "content", [[unpacked(t) for t in texts]])
+    con.execute("CREATE TABLE session_messages AS SELECT * FROM source")
+    frame = catalog.queries()[name](spark, FOLDER)
+    want = con.execute(catalog.oracle_sql()[name])
+    assert rows_of(frame.columns, frame.collect()) == rows_of([c[0] for c in want.description], want.fetchall())
+
+
+def test_message_text(spark):
+    cases = {"plain": "plain", "[1] note": "[1] note", '[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]': "a\nb", '[{"type":"text","te': "", "[]": ""}
+    frame = spark.createDataFrame([(c,) for c in cases], "content string")
+    assert {r.content: r.t for r in frame.select("content", message_text(search.F.col("content")).alias("t")).collect()} == cases
