@@ -84,7 +84,7 @@ def compaction(spark, d):
  SELECT m.scope AS cluster, least(1.0, max(importance)) AS importance, any_value(c.category) AS category, count(*) AS source_count FROM m JOIN c USING (scope) GROUP BY 1"""
 )
 def cluster_merge_votes(spark, d):
-    rows = once(spark, d).where("text is not null and importance is not null and category is not null and entry_index % 3 = 0").withColumn("scope", F.coalesce("scope", F.lit("")))
+    rows = once(spark, d).where("text is not null and importance is not null and category is not null").withColumn("scope", F.coalesce("scope", F.lit("")))
     members = rows.withColumn("pos", F.row_number().over(Window.partitionBy("scope").orderBy("entry_index"))).withColumn("cluster", F.col("scope"))
     return governance.merged_clusters(members).select("cluster", "importance", "category", "source_count")
 
@@ -114,7 +114,7 @@ CHAINS = f"WITH RECURSIVE v AS (SELECT scope AS s, id, lag(id) OVER (PARTITION B
 @query(CHAINS)
 def supersession_chain(spark, d):
     w = Window.partitionBy("scope").orderBy("entry_index")
-    rows = once(spark, d).where("scope is not null and entry_index < 600")
+    rows = once(spark, d).where("scope is not null")
     return governance.version_chains(rows.select("id", F.lag("id").over(w).alias("supersedes")))
 
 

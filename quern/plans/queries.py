@@ -417,8 +417,7 @@ def recall_hybrid(spark, d):
 
 @query(with_mem("SELECT a.id AS id_a, b.id AS id_b FROM small a JOIN small b ON a.scope = b.scope AND a.id < b.id WHERE list_inner_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) / (sqrt(list_inner_product(a.vector::DOUBLE[], a.vector::DOUBLE[])) * sqrt(list_inner_product(b.vector::DOUBLE[], b.vector::DOUBLE[]))) >= 0.88", GOOD, "small AS (SELECT * FROM good WHERE scope = 'agent:main')"))
 def similar_pairs_of_scope(spark, d):
-    rows = _searchable(mem(spark, d)).where("scope = 'agent:main'")
-    return pairs.similar_pairs(rows, 0.88, 64).select("id_a", "id_b")
+    return pairs.similar_pairs(_searchable(mem(spark, d)), 0.88, 64).select("id_a", "id_b")
 
 
 @query()

@@ -11,7 +11,7 @@ from test_queries import FOLDER, rows_of
 
 from quern import catalog
 from quern.functions.text import message_text
-from quern.operators import search
+from quern.operators import governance, search
 
 tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
@@ -102,3 +102,25 @@ def test_message_text(spark):
     cases = {"plain": "plain", "[1] note": "[1] note", '[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]': "a\nb", '[{"type":"text","te': "", "[]": ""}
     frame = spark.createDataFrame([(c,) for c in cases], "content string")
     assert {r.content: r.t for r in frame.select("content", message_text(search.F.col("content")).alias("t")).collect()} == cases
+
+
+@tables
+@pytest.mark.parametrize(("name", "limit", "instead"), [("cluster_merge_votes", " AND entry_index % 3 = 0", ""), ("similar_pairs_of_scope", " WHERE scope = 'agent:main'", "")])
+def test_all_memories(spark, duck, name, limit, instead):
+    same(spark, duck, name, (limit, instead))
+
+
+def test_chains_of_all_entries(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE memories AS SELECT 'm' || i AS id, 's' || i % 2 AS scope, i AS entry_index, TIMESTAMP '2026-01-01' AS loaded_at FROM range(900) t(i)")
+    con.execute(f"COPY memories TO '{tmp_path}/memories.parquet'")
+    frame = catalog.queries()["supersession_chain"](spark, str(tmp_path))
+    want = con.execute(catalog.oracle_sql()["supersession_chain"].replace(" AND entry_index < 600", ""))
+    got = frame.collect()
+    assert len(got) == 900 and rows_of(frame.columns, got) == rows_of([c[0] for c in want.description], want.fetchall())
+
+
+def test_long_chains(spark):
+    frame = spark.createDataFrame([(f"v{i:05d}", f"v{i - 1:05d}" if i % 5000 else None) for i in range(10_000)], "id string, supersedes string")
+    got = {r.id: (r.root, r.depth) for r in governance.version_chains(frame).collect()}
+    assert got == {f"v{i:05d}": (f"v{i // 5000 * 5000:05d}", i % 5000) for i in range(10_000)}
