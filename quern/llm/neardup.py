@@ -149,7 +149,7 @@ def _allowed_distance(total: np.ndarray) -> np.ndarray:
 
 
 def _key_rows(counts: list[np.ndarray], deepest: int, most_meeting: int = MOST_MEETING):
-    schema = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int16()), ("most", pa.int16()), ("part", pa.int32()), ("i0", pa.int64()), ("i1", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("part", pa.int32()), ("i0", pa.int64()), ("i1", pa.int64())])
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -176,10 +176,10 @@ def _key_rows(counts: list[np.ndarray], deepest: int, most_meeting: int = MOST_M
                         key = np.where(cut, _mix(key, low * 1_000_003 + high + 1), key)
                     n = p.n[doc]
                     # most words of both together: what is left from here on must hold the overlap
-                    most = np.minimum((T_NUM + T_DEN) * (n - place + level) // T_NUM, 32_000)
+                    most = (T_NUM + T_DEN) * (n - place + level) // T_NUM
                     keep = most >= n + -(-T_NUM * n // T_DEN)
                     doc, key, n, most, part = doc[keep], key[keep], n[keep], most[keep], part[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p.cid[doc]), pa.array(np.minimum(n, 32_000).astype(np.int16)), pa.array(most.astype(np.int16)), pa.array(part), pa.array(p.image[0][doc].view(np.int64)), pa.array(p.image[1][doc].view(np.int64))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p.cid[doc]), pa.array(n.astype(np.int32)), pa.array(most.astype(np.int32)), pa.array(part), pa.array(p.image[0][doc].view(np.int64)), pa.array(p.image[1][doc].view(np.int64))], schema=schema)
 
     return emit
 
@@ -193,9 +193,9 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         order = np.lexsort((n, group))
         cid, n, most, part, i0, i1 = (x[order] for x in (cid, n, most, part, i0, i1))
-        place = group * 65_536 + n  # group is sorted already
+        place = (group << 32) + n  # group is sorted already
         top = np.minimum(n * T_DEN // T_NUM, most - n)
-        stop = np.searchsorted(place, group * 65_536 + top, side="right")
+        stop = np.searchsorted(place, (group << 32) + top, side="right")
         counts = np.maximum(stop - np.arange(len(n)) - 1, 0)
         i0, i1 = i0.view(np.uint64), i1.view(np.uint64)
         total = np.cumsum(counts)
@@ -257,7 +257,7 @@ def similar_classes(sets: DataFrame, most_meeting: int = MOST_MEETING) -> tuple[
         counts.append(_sketch(classes, counts, deepest, most_meeting))
         if counts[deepest].max(initial=0) <= most_meeting:
             break
-    schema = "key bigint, cid bigint, n smallint, most smallint, part int, i0 bigint, i1 bigint"
+    schema = "key bigint, cid bigint, n int, most int, part int, i0 bigint, i1 bigint"
     keyed = classes.select("cid", "tokens").mapInArrow(_key_rows(counts, deepest, most_meeting), schema)
     met = keyed.repartition(width, "key").sortWithinPartitions("key").mapInArrow(_meet, "a bigint, b bigint").distinct()
     left = classes.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))

@@ -50,5 +50,14 @@ def test_many_copies_are_linked_to_the_first(spark):
     assert got == {("c000", f"c{i:03d}") for i in range(1, 30)} | {("c000", "other")}
 
 
+@pytest.mark.parametrize("words", [17_000, 20_000, 40_000])
+def test_very_long_texts(spark, words):
+    """Longer than 16 bits hold: sizes of one text and of two together."""
+    text = lambda own, differing: " ".join(f"w{i}" if i >= differing else f"{own}{i}" for i in range(words))
+    rows = [("memory", "a", text("x", 0)), ("memory", "b", text("y", words // 10)), ("memory", "c", text("z", words // 2)), ("memory", "d", text("q", words))]
+    got = {tuple(r) for r in n.similar_pairs(spark.createDataFrame(rows, "src string, id string, text string")).collect()}
+    assert got == brute(rows) == {("memory", "a", "b")}
+
+
 def test_empty(spark):
     assert n.similar_pairs(spark.createDataFrame([], "src string, id string, text string")).count() == 0
