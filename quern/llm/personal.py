@@ -38,6 +38,9 @@ EMAIL = re.compile(
     rf"(?i)(?<![a-z0-9_.+@-])[a-z0-9][a-z0-9_.+'-]*(?:\s?[\[({{<]\s?dot\s?[\])}}>]\s?[a-z0-9_+-]+)*{AT}(?:[a-z0-9-]+{DOT})+[a-z]{{2,12}}(?![a-z0-9_@])"
     r"|(?<![a-z0-9_.+@-])[a-z0-9][a-z0-9_+'-]*(?:(?:\.|\sdot\s)[a-z0-9_+-]+)*\sat\s[a-z0-9-]+(?:\sdot\s[a-z0-9-]+)+(?![a-z0-9_@])"
 )
+#: Of the parts that stand for @, those in letters; the pattern is tried only where a text holds one or the sign itself.
+AT_IN_LETTERS = re.compile(r"[\[({<]\s?at\s?[\])}>]|\s_at_")
+AT_SPOKEN = re.compile(r"\sat\s")
 LOGIN = re.compile(r"(?i)\b(?:ssh|scp|sftp|rsync|mosh)\s(?:-\S+\s)*\S*$")
 ID_VALUE = r"(?:\d{3}[- ]\d{2}[- ]\d{4}|\d{17}[\dXx]|\d{15}|[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Z]|[A-Z]{1,2}\d{7,9}|\d{2} \d{6} [A-Z] \d{3}|\d{9,12}|\d{2,3}(?:[ /]\d{3}){2,3})"
 ID_HINT = r"(?:social security(?: (?:number|no\.?))?|\bssn|\btax (?:id|number|no\.?)|\btin|passport(?: (?:number|no\.?))?|(?:national )?identity (?:number|card|no\.?)|national id|\bid card|身份证(?:号码?)?|护照(?:号码?)?|税号|纳税人识别号|社保号|steuer-?(?:id|nummer)|ausweis(?:nummer)?|reisepass(?:nummer)?|sozialversicherungsnummer|personalausweis(?:nummer)?)"
@@ -93,7 +96,7 @@ class Detector:
         found: list[tuple[str, int, int]] = []
         text = text.translate(PLAIN)
         low = text.lower()
-        if "@" in low or " at " in low and " dot " in low or "[at]" in low or "(at)" in low or "64;" in low or "%40" in low:
+        if "@" in low or "64;" in low or "%40" in low or "at" in low and (AT_IN_LETTERS.search(low) or "dot" in low and AT_SPOKEN.search(low)):
             for m in EMAIL.finditer(text):
                 if not LOGIN.search(text[max(0, m.start() - 60) : m.start()]):
                     found.append(("email", m.start(), m.end()))

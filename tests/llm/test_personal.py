@@ -26,6 +26,23 @@ def test_left_alone(text):
     assert D.find(text) == []
 
 
+BRACKETED = [f"{a}{x}{w}{x}{b}" for a, b in ("[]", "()", "{}", "<>") for x in ("", " ") for w in ("at", "AT")]
+AT = ["@", " @ ", "＠", "&#64;", "%40", " _at_ ", "\t_at_", *BRACKETED, *(f" {m} " for m in BRACKETED)]
+
+
+@pytest.mark.parametrize("dot", [".", "[dot]", " (dot) ", " { dot } ", " <dot> ", " _dot_ "])
+@pytest.mark.parametrize("at", AT)
+def test_every_spelling_of_the_pattern(at, dot):
+    text = f"Write to jane{at}host{dot}org soon"
+    assert p.EMAIL.search(text.translate(p.PLAIN)) and [k for k, _, _ in D.find(text)] == ["email"]
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n"])
+def test_spoken_spelling(blank):
+    text = f"Write to jane{blank}at{blank}host{blank}dot{blank}org"
+    assert p.EMAIL.search(text) and [k for k, _, _ in D.find(text)] == ["email"]
+
+
 def test_surrogates_keep_the_form_and_the_person():
     s = lambda k, v: p.surrogate(k, v, b"key", style="surrogate", names=(("Anna", "Berta"), ("Nord", "Sued")))
     assert s("name", "Marek Oakenshire").split() == s("name", "Oakenshire, Marek").replace(",", "").split()[::-1]
