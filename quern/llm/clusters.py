@@ -93,7 +93,23 @@ def pivot_clusters(n: int, i: np.ndarray, j: np.ndarray, sim: np.ndarray, rank:
         group = medoid[to]
         is_pivot = np.zeros(n, dtype=bool)
         is_pivot[best[keep]] = True
-    return group
+    # a row with similar ones is never left alone: it goes with the closest of them
+    linked = np.bincount(src, minlength=n) > 0
+    while True:
+        alone = linked & (np.bincount(group, minlength=n)[group] == 1)
+        if not alone.any():
+            return group
+        ask = alone[src] & ~alone[dst]
+        if not ask.any():  # those left are beside each other: the first among their neighbours take them
+            live = alone[src]
+            first = np.full(n, n, dtype=np.int64)
+            np.minimum.at(first, src[live], rank[dst[live]])
+            ask = live & (rank < first)[dst]
+        a, b, w = src[ask], dst[ask], s[ask]
+        best = np.lexsort((rank[b], -w, a))
+        a, b = a[best], b[best]
+        keep = np.concatenate(([True], a[1:] != a[:-1]))
+        group[a[keep]] = group[b[keep]]
 
 
 def _clusters_in_blocks(least: float):
@@ -171,7 +187,10 @@ def _edges_of_large(rows: DataFrame, cells: dict[str, np.ndarray], least: float)
 
 
 def pivot_rounds(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """node, pivot, sim of the same clustering by joins, for graphs of any size (edges: a, b, sim)."""
+    """node, pivot, sim of the same clustering by joins, for graphs of any size (edges: a, b, sim).
+
+    sim is null where a member is similar to others of its cluster only, not to the medoid.
+    """
     both = cut_lineage(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "sim").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "sim")))
     rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
     live, pivots = both, None
@@ -199,8 +218,20 @@ def pivot_rounds(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         medoids = at.join(total.withColumnRenamed("src", "node"), "node", "left").groupBy("to").agg(F.min(F.struct((-F.coalesce("total", F.lit(0.0))).alias("t"), F.xxhash64("node").alias("h"), "node")).alias("m")).select("to", F.col("m.node").alias("src"))
         result = at.join(medoids, "to").select("node", F.col("src").alias("pivot"))
         centres = cut_lineage(medoids.select("src"))
+    # a row with similar ones is never left alone: it goes with the closest of them
+    result = cut_lineage(result)
+    for _ in range(most_rounds):
+        lone = cut_lineage(result.join(result.groupBy("pivot").agg(F.count("*").alias("n")).where("n = 1").select("pivot"), "pivot", "left_semi").select("node"))
+        if lone.isEmpty():
+            break
+        ask = both.join(lone.select(F.col("node").alias("src")), "src", "left_semi")
+        to = result.join(lone, "node", "left_anti")
+        if ask.join(to.select(F.col("node").alias("dst")), "dst", "left_semi").isEmpty():  # those left are beside each other
+            to = ask.groupBy("src").agg(F.min(rank("dst")).alias("first")).where(rank("src") < F.col("first")).select(F.col("src").alias("node"), F.col("src").alias("pivot"))
+        moved = ask.join(to.select(F.col("node").alias("dst"), F.col("pivot").alias("to")), "dst").groupBy("src").agg(F.min(F.struct((-F.col("sim")).alias("far"), F.xxhash64("dst").alias("h"), "to")).alias("b"))
+        result = cut_lineage(result.join(moved.select(F.col("src").alias("node"), "b.to"), "node", "left").select("node", F.coalesce("to", "pivot").alias("pivot")))
     sims = both.select(F.col("src").alias("node"), F.col("dst").alias("pivot"), "sim").distinct()
-    return result.join(sims, ["node", "pivot"], "left").select("node", "pivot", F.coalesce("sim", F.lit(1.0)).cast("float").alias("sim"))
+    return result.join(sims, ["node", "pivot"], "left").select("node", "pivot", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(F.col("sim")).cast("float").alias("sim"))
 
 
 def clusters(memories: DataFrame, least: float = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -212,7 +243,12 @@ def clusters(memories: DataFrame, least: float = LEAST, block_rows: int = BLOCK_
     if not cells:
         return out
     edges = cut_lineage(_edges_of_large(rows.where(F.col("scope").isin(*cells)), cells, least))
-    found = pivot_rounds(edges)
+    found = cut_lineage(pivot_rounds(edges))
+    ends = rows.select("entry_index", "vector")
+    far = found.where("sim is null").select("node", "pivot").join(ends.select(F.col("entry_index").alias("node"), F.col("vector").alias("x")), "node").join(ends.select(F.col("entry_index").alias("pivot"), F.col("vector").alias("y")), "pivot")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda t, p: t + p)
+    cosine = dot(F.col("x"), F.col("y")) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y")))
+    found = found.where("sim is not null").unionByName(far.select("node", "pivot", cosine.cast("float").alias("sim")).dropDuplicates(["node"]))
     of = found.groupBy("pivot").agg(F.count("*").alias("n")).where("n > 1").select("pivot")
     scope_of = edges.select("scope", F.explode(F.array("a", "b")).alias("node")).distinct()
     return out.unionByName(found.join(of, "pivot", "left_semi").join(scope_of, "node").select("scope", F.col("node").alias("entry_index"), "pivot", "sim"))

@@ -73,6 +73,43 @@ def test_clusters_of_cliques(spark, block_rows):
             assert {of[m] for m in mates} == {of[e]}
 
 
+def at_angles(degrees, start=0):
+    """Rows of one scope at these angles in a plane."""
+    return [(f"g{start + i}", [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] + [0.0] * 62, "g", start + i, 1, "x") for i, d in enumerate(degrees)]
+
+
+@pytest.mark.parametrize("block_rows", [n.BLOCK_ROWS, 8])
+def test_no_member_is_lost_in_groups_that_are_no_cliques(spark, block_rows):
+    """A dense core, one row between, and an outlier similar to the one between only; every numbering of them."""
+    for shift in range(0, 14 if block_rows == n.BLOCK_ROWS else 1):
+        degrees = np.roll([*np.linspace(-2, 2, 12), 30, 60], shift)
+        got = {r.entry_index: r for r in c.clusters(spark.createDataFrame(at_angles(degrees), SCHEMA), block_rows=block_rows).collect()}
+        assert set(got) == set(range(14))
+        for e, r in got.items():
+            mates = [k for k, x in got.items() if x.pivot == r.pivot and k != e]
+            assert any(np.cos(np.radians(degrees[e] - degrees[k])) >= 0.85 for k in mates)
+            assert abs(r.sim - np.cos(np.radians(degrees[e] - degrees[r.pivot]))) < 1e-4
+
+
+def test_no_row_with_neighbours_is_alone():
+    r = np.random.default_rng(11)
+    for size, share in ((40, 0.05), (60, 0.1), (30, 0.3)):
+        for _ in range(60):
+            i, j = np.nonzero(np.triu(r.random((size, size)) < share, 1))
+            group = c.pivot_clusters(size, i, j, r.random(len(i)).astype(np.float32) * 0.15 + 0.85, r.permutation(size))
+            linked = np.unique(np.concatenate((i, j)))
+            assert (group[group] == group).all() and (np.bincount(group, minlength=size)[group[linked]] > 1).all()
+
+
+def test_rounds_of_joins_leave_no_row_alone(spark):
+    r = np.random.default_rng(12)
+    i, j = np.nonzero(np.triu(r.random((60, 60)) < 0.05, 1))
+    edges = spark.createDataFrame([(int(a), int(b), 0.85 + float(x) * 0.15) for a, b, x in zip(i, j, r.random(len(i)), strict=True)], "a bigint, b bigint, sim float")
+    of = {x.node: x.pivot for x in c.pivot_rounds(edges).collect()}
+    assert set(of) == set(np.concatenate((i, j)).tolist()) and all(of[p] == p for p in of.values())
+    assert min(list(of.values()).count(p) for p in of.values()) > 1
+
+
 def test_pivot_rounds_agree_with_the_walk():
     r = np.random.default_rng(5)
     a = np.triu(r.random((60, 60)) < 0.1, 1)
