@@ -1,21 +1,26 @@
 """Problem 8: pages of repeated keywords, links or tags instead of writing.
 
-Method: six features of each page (density of links, density of tags, entropy of
-its words, repetition, share of function words, share of text outside sentences)
-are held against their language's robust centre and scatter (medians, deviations
-from the median, and correlations by the spread of sums and differences, after
-Gnanadesikan and Kettenring).  A page far away by the Mahalanobis distance that
-lies in a spam-directed direction is an outlier; an exact count of characters
-then decides whether more than half of them stand outside sentences.
-
-All statistics cover all pages; only one small row of them per language comes to
-the driver.  Defined results: null and blank texts are no spam; a missing, odd or
-rare language counts to the group of all; rows of one id count once.
+Method: robust Mahalanobis distance.  A page is cut into segments (sentences and
+lines, long ones every ``LONG`` words).  Five features of each segment (density of
+links, density of tags, repetition of its words in the page, lack of function
+words, shortness of its clauses) are held against the robust centre and scatter
+of all segments of its language and script: medians, deviations from the median,
+and correlations by the spread of sums and differences (Gnanadesikan and
+Kettenring).  A segment is an outlier if its squared distance is over ``FAR`` and
+it lies in a spam-directed direction: links, tags, or lack of function words with
+short clauses, more than ``TOWARD`` robust deviations.  Repetition adds to the
+distance only, since many alike sentences are writing.  A page is spam if more
+than half of its characters stand in outlying segments.
+
+All statistics cover all segments; only one small row of them per language and
+script comes to the driver.  A group of fewer than ``LEAST_ROWS`` segments is held
+against those of all languages of its script.  Defined results: null and blank
+texts are no spam; a missing or odd language counts to the group of all; rows of
+one id count once, a null id is an id of its own.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -27,17 +32,23 @@ from pyspark.sql import functions as F
 
 from quern.session import cut_lineage, partitions, table
 
-FEATURES = ("links", "tags", "order", "repeats", "unfunctional", "outside")
-#: Least rows of a language for statistics of its own.
+FEATURES = ("links", "tags", "repeats", "unfunctional", "clipped")
+#: Least segments of a language and script for statistics of its own.
 LEAST_ROWS = 200
-#: Least spread of a feature: most pages have no link and no tag at all.
+#: Least spread of a feature: most segments have no link and no tag at all.
 LEAST_SPREAD = 0.05
-#: Squared distance of the 97.5th percentile of chi-square with six degrees of freedom.
-FAR = 14.45
+#: Squared distance of the 97.5th percentile of chi-square with five degrees of freedom.
+FAR = 12.83
+#: The 95th percentile of a normal distribution.
+TOWARD = 1.645
+#: Words between white space of a segment at most, and the weight of the page in a segment's share of function words.
+LONG = 60
+PRIOR = 8
 
 LINK = regex.compile(r"""(?i)<a\s[^>]*>|</?(?:li|a|ul|ol|br|p)\s*/?>|\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>"')\]]+|(?<![\w@./-])(?:[a-z0-9-]+\.)+[a-z]{2,10}/[^\s<>"')\],]*""")
 TAG = regex.compile(r"(?<![\w&/#])#[\p{L}\p{N}_][\p{L}\p{N}_-]*")
 WORD = regex.compile(r"\p{Han}+|[\p{L}\p{N}]+")
+CLAUSE = regex.compile(r"\p{Han}+|(?:(?!\p{Han})[\p{L}\p{N}])+(?:(?: {1,2}|['’-])(?:(?!\p{Han})[\p{L}\p{N}])+)*")
 # sentence ends need white space behind them, so that 12.99 and file.ts stay whole
 PIECE = regex.compile(r"[\n\r]+|(?<=[.!?])\s+|(?<=[。！？])|\s{3,}")
 # lines that notes have besides sentences: headings, settings, table rows, fences
@@ -52,8 +63,9 @@ FUNCTION_WORDS = frozenset(
 FUNCTION_SIGNS = frozenset("的了是在把就和与被不要由因并等从为若再后这那每到说占其会都还也将对让给向着过之而且或则但只没有")
 
 
-def _function_share(words: list[str]) -> tuple[float, int]:
-    """Share of function words among the words; a Chinese sign counts as a word. And how many there are."""
+
+def _function_hits(words: list[str]) -> tuple[int, int]:
+    """Function words among the words, and all of them; a Chinese sign counts as a word."""
     n = hits = 0
     for w in words:
         if "㐀" <= w[0] <= "鿿" or "\U00020000" <= w[0] <= "\U0003ffff":
@@ -62,94 +74,93 @@ def _function_share(words: list[str]) -> tuple[float, int]:
         else:
             n += 1
             hits += w in FUNCTION_WORDS
-    return hits / max(n, 1), n
-
-
-def page_features(text: str) -> tuple[float, float, float, float, float, float]:
-    text = text.replace("﻿", "").replace("​", "")
-    length = sum(map(len, text.split())) or 1
-    links = tags = 0
-
-    def link(m):
-        nonlocal links
-        links += len(m.group().replace(" ", ""))
-        return "\x01"
-
-    def tag(m):
-        nonlocal tags
-        tags += len(m.group())
-        return "\x01"
-
-    bare = TAG.sub(tag, LINK.sub(link, text))
-    words = WORD.findall(bare.lower())
-    counts = Counter(words)
-    letters = sum(map(len, words)) or 1
-    entropy = -sum(c / len(words) * math.log(c / len(words)) for c in counts.values()) / math.log(len(words)) if len(words) > 1 else 1.0
-    repeats = sum(len(w) * c for w, c in counts.items() if c > 3) / letters
-    function, _ = _function_share(words)
-    outside = links + tags
-    for piece in PIECE.split(bare):
-        if not piece or PLAIN_LINE.match(piece):
+    return hits, n
+
+
+def _pieces(bare: str) -> Iterator[str]:
+    """Sentences and lines, long ones in windows of ``LONG`` words; settings, headings and table rows are left out."""
+    at = 0
+    for m in (*PIECE.finditer(bare), None):
+        piece = bare[at : m.end() if m else len(bare)]
+        at = m.end() if m else at
+        if not piece or piece.isspace() or PLAIN_LINE.match(piece.strip("\r\n")):
             continue
-        own = WORD.findall(piece.lower())
-        share, n = _function_share(own)
-        size = sum(map(len, piece.replace("\x01", "").split()))
-        if not n:
-            outside += size if "\x01" in piece else 0
+        words = piece.split()
+        if len(words) <= LONG:
+            yield piece
             continue
-        repeated = sum(len(w) * (counts[w] > 3) for w in own) / (sum(map(len, own)) or 1)
-        han = [len(w) for w in own if "㐀" <= w[0] <= "鿿"]
-        if sum(han) * 2 > n:  # Chinese writing has long runs that do not come again
-            listed = repeated >= 0.5 or (share < 0.1 and sum(han) < 6 * len(han))
-        else:  # other sentences have function words; what repeats itself needs more of them to be one
-            listed = share < (0.1 if repeated < 0.5 else 0.16) and (n >= 3 or "\x01" in piece or repeated >= 0.5)
-        if listed:
-            outside += size
-    return links / length, tags / length, 1 - entropy, repeats, max(0.0, 0.3 - function) / 0.3, min(1.0, outside / length)
+        for i in range(0, len(words), LONG):
+            yield " ".join(words[i : i + LONG])
+
+
+def segments(text: str) -> tuple[int, list[tuple[int, bool, float, float, float, float, float]]]:
+    """Characters of a page, and (characters, Chinese or not, the five features) of each segment."""
+    text = text.replace("\ufeff", "").replace("\u200b", "")
+    # links and tags become as many signs that no text has
+    bare = TAG.sub(lambda m: "\x02" * len(m.group()), LINK.sub(lambda m: "\x01" * len(m.group().replace(" ", "")), text.replace("\x01", " ").replace("\x02", " ")))
+    counts: Counter[str] = Counter()
+    parts = []
+    for piece in _pieces(bare):
+        words = WORD.findall(piece.lower())
+        counts.update(words)
+        parts.append((piece, words, *_function_hits(words)))
+    prior = PRIOR * sum(p[2] for p in parts) / max(1, sum(p[3] for p in parts))
+    out = []
+    for piece, words, hits, n in parts:
+        size = sum(map(len, piece.split()))
+        letters = sum(map(len, words)) or 1
+        repeats = sum(len(w) for w in words if counts[w] > 3) / letters
+        han = sum(len(w) for w in words if "㐀" <= w[0] <= "鿿") * 2 > n
+        clauses = len(CLAUSE.findall(piece)) if n else 0
+        clause = float(np.log2(n / clauses)) if clauses else float("nan")
+        out.append((size, han, piece.count("\x01") / size, piece.count("\x02") / size, repeats, -(hits + prior) / (n + PRIOR), -clause))
+    return sum(map(len, bare.split())), out
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """doc_id, group (the language's code) and the six features of every text."""
+    """doc_id, grp (the language's code), total and, a list each, the segments' sizes, scripts and features."""
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [page_features(x) for x in batch.column(2).to_pylist()]
-            cols = np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in cols.T)], names=["doc_id", "grp", *FEATURES])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                pages = [segments(x) for x in batch.column(2).to_pylist()]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for _, p in pages]))).astype(np.int32))
+                flat = [s for _, p in pages for s in p]
+                cols = list(zip(*flat, strict=True)) if flat else [()] * (2 + len(FEATURES))
+                kinds = (pa.int32(), pa.bool_(), *(pa.float64() for _ in FEATURES))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(c, k)) for c, k in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t for t, _ in pages], pa.int32()), *lists], names=["doc_id", "grp", "total", "size", "han", *FEATURES])
 
     code = F.regexp_extract(F.lower(F.trim(F.coalesce(F.col("lang"), F.lit("")))), r"^([a-z]{2,3})(?:$|[-_])", 1)
     rows = documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", F.when(code.isin("", "und"), "*").otherwise(code).alias("grp"), "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
     spread = rows.repartition(partitions(documents), F.xxhash64("doc_id"))
-    return spread.mapInArrow(measure, f"doc_id {kind}, grp string, " + ", ".join(f"{f} double" for f in FEATURES))
+    return spread.mapInArrow(measure, f"doc_id {kind}, grp string, total int, size array<int>, han array<boolean>, " + ", ".join(f"{f} array<double>" for f in FEATURES))
 
 
 def _median(c: Column) -> Column:
     return F.percentile_approx(c, 0.5, 2000)
 
 
-def robust_scatter(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Centre, spread and inverse correlation of the features by language, '*' for all pages."""
-    both = rows.unionByName(rows.where("grp <> '*'").withColumn("grp", F.lit("*")))
-    at = {r["grp"]: r for r in both.groupBy("grp").agg(F.count("*").alias("n"), *(_median(F.col(f)).alias(f) for f in FEATURES)).where(F.col("n") >= LEAST_ROWS).collect()}
-    if "*" not in at:  # fewer pages than LEAST_ROWS: all of them are one group
-        got = rows.agg(*(_median(F.col(f)).alias(f) for f in FEATURES)).head()
-        at["*"] = got.asDict() if got[FEATURES[0]] is not None else dict.fromkeys(FEATURES, 0.0)
+def robust_scatter(pages: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Centre, spread and inverse correlation of the features by language and script ('en w', 'zh c'), '*' for all languages."""
+    each = pages.select("grp", F.explode(F.arrays_zip("han", *FEATURES)).alias("s")).select(F.concat("grp", F.when(F.col("s.han"), " c").otherwise(" w")).alias("grp"), *(F.when(F.isnan(f"s.{f}"), None).otherwise(F.col(f"s.{f}")).alias(f) for f in FEATURES))
+    rows = each.unionByName(each.where("not startswith(grp, '*')").withColumn("grp", F.concat(F.lit("*"), F.substring("grp", -2, 2))))
+    at = {r["grp"]: r for r in rows.groupBy("grp").agg(F.count("*").alias("n"), *(_median(F.col(f)).alias(f) for f in FEATURES)).where((F.col("n") >= LEAST_ROWS) | F.startswith("grp", F.lit("*"))).collect()}
     names = sorted(at)
+    if not names:
+        return {}
 
     def pick(values: dict[str, float]) -> Column:
-        out = F.lit(float(values["*"]))
+        out = F.lit(None).cast("double")
         for g in names:
-            if g != "*":
-                out = F.when(F.col("grp") == g, float(values[g])).otherwise(out)
+            out = F.when(F.col("grp") == g, float(values[g])).otherwise(out)
         return out
 
-    known = F.when(F.col("grp").isin(*names), F.col("grp")).otherwise("*")
-    grouped = both.withColumn("grp", known)
-    off = grouped.select("grp", *((F.col(f) - pick({g: at[g][f] for g in names})).alias(f) for f in FEATURES))
+    grouped = rows.where(F.col("grp").isin(*names))
+    off = grouped.select("grp", *((F.col(f) - pick({g: at[g][f] or 0.0 for g in names})).alias(f) for f in FEATURES))
     spread = {r["grp"]: np.maximum([1.4826 * (r[f] or 0) for f in FEATURES], LEAST_SPREAD) for r in off.groupBy("grp").agg(*(_median(F.abs(F.col(f))).alias(f) for f in FEATURES)).collect()}
-    for g in names:
-        spread.setdefault(g, np.full(len(FEATURES), LEAST_SPREAD))
     z = off.select("grp", *((F.col(f) / pick({g: spread[g][i] for g in names})).alias(f) for i, f in enumerate(FEATURES)))
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i)]
     sums = [(_median(F.abs(F.col(FEATURES[i]) + s * F.col(FEATURES[j])))).alias(f"{i}_{j}_{s}") for i, j in pairs for s in (1, -1)]
@@ -158,34 +169,50 @@ def robust_scatter(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, n
     for g in names:
         corr = np.eye(len(FEATURES))
         for i, j in pairs:
-            a, b = ((got[g][f"{i}_{j}_{s}"] or 0.0) ** 2 if g in got else 0.0 for s in (1, -1))
+            a, b = ((got[g][f"{i}_{j}_{s}"] or 0.0) ** 2 for s in (1, -1))
             corr[i, j] = corr[j, i] = (a - b) / (a + b) if a + b > 0 else 0.0
         values, vectors = np.linalg.eigh(corr)
-        out[g] = (np.array([at[g][f] for f in FEATURES], dtype=float), spread[g], (vectors / np.maximum(values, 0.2)) @ vectors.T)
+        out[g] = (np.array([at[g][f] or 0.0 for f in FEATURES], dtype=float), spread[g], (vectors / np.maximum(values, 0.2)) @ vectors.T)
     return out
 
 
-def spam_pages(documents: DataFrame, least_outside: float = 0.5) -> DataFrame:
-    """doc_id and squared robust distance of the spam pages."""
-    rows = cut_lineage(features(documents).dropDuplicates(["doc_id"]))
+def outlying(x: np.ndarray, centre: np.ndarray, spread: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, whether a segment is an outlier towards spam); a feature that is not there stands at the centre."""
+    z = np.where(np.isnan(x), 0.0, (x - centre) / spread)
+    far = np.einsum("ni,ij,nj->n", z, inverse, z)
+    worded = (z[:, 3] + np.maximum(z[:, 4], 0)) / np.sqrt(2)
+    return far, (far > FAR) & (np.maximum(np.maximum(z[:, 0], z[:, 1]), worded) > TOWARD)
+
+
+def spam_pages(documents: DataFrame, least_share: float = 0.5) -> DataFrame:
+    """doc_id, share of the characters in outlying segments and their greatest squared distance, of the spam pages."""
+    rows = features(documents)
+    rows = cut_lineage(rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null")))
     scatter = robust_scatter(rows)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(FEATURES))], axis=1) if batch.num_rows else np.zeros((0, len(FEATURES)))
-            groups = np.array([g if g in scatter else "*" for g in batch.column(1).to_pylist()], dtype=object)
-            far, toward = np.zeros(len(x)), np.zeros(len(x))
-            for g in set(groups):
-                own = groups == g
-                centre, spread, inverse = scatter[g]
-                z = (x[own] - centre) / spread
-                far[own] = np.einsum("ni,ij,nj->n", z, inverse, z)
-                toward[own] = z.sum(axis=1)  # every feature is turned so that spam has more of it
-            spam = (far > FAR) & (toward > 0) & (x[:, -1] > least_outside)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(spam)), pa.array(far[spam])], names=["doc_id", "distance"])
+            offsets = batch.column(3).offsets.to_numpy().astype(np.int64)
+            a, b = int(offsets[0]), int(offsets[-1])
+            flat = [batch.column(3 + i).values.slice(a, b - a).to_numpy(zero_copy_only=False) for i in range(2 + len(FEATURES))]
+            n = np.diff(offsets)
+            page = np.repeat(np.arange(batch.num_rows), n)
+            size, han, x = flat[0], flat[1].astype(bool), np.stack([f.astype(float) for f in flat[2:]], axis=1)
+            codes = np.array(batch.column(1).to_pylist(), dtype=object)[page] if len(page) else np.zeros(0, dtype=object)
+            names = np.array([f"{c} {'c' if h else 'w'}" for c, h in zip(codes, han, strict=True)], dtype=object)
+            far, spam = np.zeros(len(page)), np.zeros(len(page), dtype=bool)
+            for g in set(names):
+                own = names == g
+                far[own], spam[own] = outlying(x[own], *(scatter[g] if g in scatter else scatter["*" + g[-2:]]))
+            total = batch.column(2).to_numpy().astype(float)
+            share = np.bincount(page[spam], weights=size[spam], minlength=batch.num_rows) / np.maximum(total, 1)
+            most = np.zeros(batch.num_rows)
+            np.maximum.at(most, page[spam], far[spam])
+            keep = share > least_share
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array(share[keep]), pa.array(most[keep])], names=["doc_id", "share", "distance"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(judge, f"doc_id {kind}, distance double")
+    return rows.mapInArrow(judge, f"doc_id {kind}, share double, distance double")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quern.llm import leaks, spam
@@ -30,6 +31,13 @@ def test_spam(spark):
     assert spam.spam_pages(frame.where("false")).count() == 0
 
 
+def test_repetition_alone_is_no_direction_of_spam():
+    centre, spread = np.zeros(5), np.ones(5)
+    x = np.array([[0, 0, 30, 0, 0], [9, 0, 0, 0, 0], [0, 9, 0, 0, 0], [0, 0, 4, 3, 0], [0, 0, 4, 1, 3], [0, 0, 0, -9, 0], [0, 0, 0, 2.5, 0]], dtype=float)
+    far, out = spam.outlying(x, centre, spread, np.eye(5))
+    assert out.tolist() == [False, True, True, True, True, False, False] and far[0] == 900
+
+
 def _words(r, n):
     return [f"{r.choice('bcdfgk')}{r.choice('aeiou')}{r.choice('lmnrst')}{r.choice('aeiou')}{r.randrange(60)}" for _ in range(n)]
 
