@@ -7,13 +7,14 @@ the encodings of all prefixes; it is filled from left to right in linear time,
 an append goes on where the table ends, and an edit keeps the part before it.
 
 Defined results: null and empty texts give an empty list; strings that look like
-special tokens are plain text; a row with a null id is kept, rows of one id
+special tokens are plain text; every row with a null id is kept, rows of one id
 count once.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -56,7 +57,11 @@ class Vocabulary:
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
-        lines = Path(path).read_bytes().split(b"\n")
+        return cls.parse(Path(path).read_bytes())
+
+    @classmethod
+    def parse(cls, content: bytes) -> Vocabulary:
+        lines = content.split(b"\n")
         return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())})
 
     def _made(self, token: int, rank: int) -> bool:
@@ -188,22 +193,27 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[bytes, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(Vocabulary.read(path))
-    return _encoders[path]
+def encoder(content: bytes) -> Encoder:
+    """One encoder a worker and vocabulary."""
+    key = hashlib.sha256(content).digest()
+    if key not in _encoders:
+        _encoders[key] = Encoder(Vocabulary.parse(content))
+    return _encoders[key]
 
 
 def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """One row per id with the token ids of its text, as ``ids``."""
-    path = f"{folder}/{vocabulary}.tiktoken"
+    """One row per id with the token ids of its text, as ``ids``; rows without an id are kept, each for itself.
+
+    The vocabulary file is read by the driver and sent to the workers; its size
+    doesn't depend on the corpus.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(Path(f"{folder}/{vocabulary}.tiktoken").read_bytes())
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(sent.value)
         for batch in batches:
             # small steps, so that the lists of a step with very long texts stay small
             for at in range(0, batch.num_rows, 512):
@@ -214,11 +224,13 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                 flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, "ids"])
 
-    rows = documents.select(id_col, F.col(text_col).cast("string").alias("text")).dropDuplicates([id_col])
+    rows = documents.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text"))
+    once = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
     if documents.sparkSession.sparkContext.defaultParallelism > 1:
-        rows = rows.repartition(partitions(documents), id_col)  # the same partitioning as dropDuplicates: no second exchange
+        once = once.repartition(partitions(documents), id_col)  # the same partitioning as dropDuplicates: no second exchange
     kind = documents.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(encode, f"`{id_col}` {kind}, ids array<int>")
+    schema = f"`{id_col}` {kind}, ids array<int>"
+    return once.unionByName(rows.where(F.col(id_col).isNull())).mapInArrow(encode, schema)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-import base64
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -6,12 +6,13 @@ from hypothesis import strategies as st
 
 from quern.llm import tokens as t
 
+FILE = Path(f"{t.TOKENIZERS}/byte_bpe_50k.tiktoken")
 tiktoken = pytest.importorskip("tiktoken")
 
 
 @pytest.fixture(scope="module")
 def both():
-    own = t.encoder(f"{t.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    own = t.encoder(FILE.read_bytes())
     return own, tiktoken.Encoding("check", pat_str=t.SPLIT, mergeable_ranks=own.vocabulary.ranks, special_tokens={})
 
 
@@ -44,5 +45,7 @@ def test_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "some text", "a"), (3, "some text", "a"), (4, "x" * 50_000, None)]
     got = {r.doc_id: r.ids for r in t.encode_corpus(spark.createDataFrame(rows, "doc_id bigint, text string, ids string")).collect()}
     assert got[1] == [] and got[2] == [] and len(got) == 4
-    assert base64 and got[3] == t.encoder(f"{t.TOKENIZERS}/byte_bpe_50k.tiktoken").encode("some text")
+    assert got[3] == t.encoder(FILE.read_bytes()).encode("some text")
+    without = t.encode_corpus(spark.createDataFrame([(None, "x"), (None, "x"), (1, "y")], "doc_id bigint, text string"))
+    assert sorted(str(r.doc_id) for r in without.collect()) == ["1", "None", "None"]
     assert t.encode_corpus(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
