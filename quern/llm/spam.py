@@ -21,6 +21,7 @@ one id count once, a null id is an id of its own.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -48,7 +49,8 @@ PRIOR = 8
 LINK = regex.compile(r"""(?i)<a\s[^>]*>|</?(?:li|a|ul|ol|br|p)\s*/?>|\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>"')\]]+|(?<![\w@./-])(?:[a-z0-9-]+\.)+[a-z]{2,10}/[^\s<>"')\],]*""")
 TAG = regex.compile(r"(?<![\w&/#])#[\p{L}\p{N}_][\p{L}\p{N}_-]*")
 WORD = regex.compile(r"\p{Han}+|[\p{L}\p{N}]+")
-CLAUSE = regex.compile(r"\p{Han}+|(?:(?!\p{Han})[\p{L}\p{N}])+(?:(?: {1,2}|['’-])(?:(?!\p{Han})[\p{L}\p{N}])+)*")
+HAN_CLAUSE = regex.compile(r"\p{Han}+|(?:(?!\p{Han})[\p{L}\p{N}])+(?: {1,2}(?:(?!\p{Han})[\p{L}\p{N}])+)*")
+CLAUSE = re.compile(r"\w(?:[\w'’-]| {1,2}(?=\w))*")
 # sentence ends need white space behind them, so that 12.99 and file.ts stay whole
 PIECE = regex.compile(r"[\n\r]+|(?<=[.!?])\s+|(?<=[。！？])|\s{3,}")
 # lines that notes have besides sentences: headings, settings, table rows, fences
@@ -66,6 +68,8 @@ FUNCTION_SIGNS = frozenset("的了是在把就和与被不要由因并等从为
 
 def _function_hits(words: list[str]) -> tuple[int, int]:
     """Function words among the words, and all of them; a Chinese sign counts as a word."""
+    if not any("㐀" <= w[0] for w in words):
+        return sum(w in FUNCTION_WORDS for w in words), len(words)
     n = hits = 0
     for w in words:
         if "㐀" <= w[0] <= "鿿" or "\U00020000" <= w[0] <= "\U0003ffff":
@@ -97,7 +101,11 @@ def segments(text: str) -> tuple[int, list[tuple[int, bool, float, float, float,
     """Characters of a page, and (characters, Chinese or not, the five features) of each segment."""
     text = text.replace("\ufeff", "").replace("\u200b", "")
     # links and tags become as many signs that no text has
-    bare = TAG.sub(lambda m: "\x02" * len(m.group()), LINK.sub(lambda m: "\x01" * len(m.group().replace(" ", "")), text.replace("\x01", " ").replace("\x02", " ")))
+    bare = text.replace("\x01", " ").replace("\x02", " ")
+    if "/" in bare or "<" in bare or "](" in bare or "www." in bare:
+        bare = LINK.sub(lambda m: "\x01" * len(m.group().replace(" ", "")), bare)
+    if "#" in bare:
+        bare = TAG.sub(lambda m: "\x02" * len(m.group()), bare)
     counts: Counter[str] = Counter()
     parts = []
     for piece in _pieces(bare):
@@ -111,7 +119,7 @@ def segments(text: str) -> tuple[int, list[tuple[int, bool, float, float, float,
         letters = sum(map(len, words)) or 1
         repeats = sum(len(w) for w in words if counts[w] > 3) / letters
         han = sum(len(w) for w in words if "㐀" <= w[0] <= "鿿") * 2 > n
-        clauses = len(CLAUSE.findall(piece)) if n else 0
+        clauses = len((HAN_CLAUSE if han else CLAUSE).findall(piece)) if n else 0
         clause = float(np.log2(n / clauses)) if clauses else float("nan")
         out.append((size, han, piece.count("\x01") / size, piece.count("\x02") / size, repeats, -(hits + prior) / (n + PRIOR), -clause))
     return sum(map(len, bare.split())), out
@@ -135,7 +143,8 @@ def features(documents: DataFrame) -> DataFrame:
     code = F.regexp_extract(F.lower(F.trim(F.coalesce(F.col("lang"), F.lit("")))), r"^([a-z]{2,3})(?:$|[-_])", 1)
     rows = documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", F.when(code.isin("", "und"), "*").otherwise(code).alias("grp"), "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    spread = rows.repartition(partitions(documents), F.xxhash64("doc_id"))
+    once = rows.where("doc_id is not null").dropDuplicates(["doc_id"]).repartition(partitions(documents), "doc_id")  # one exchange for both
+    spread = once.unionByName(rows.where("doc_id is null"))
     return spread.mapInArrow(measure, f"doc_id {kind}, grp string, total int, size array<int>, han array<boolean>, " + ", ".join(f"{f} array<double>" for f in FEATURES))
 
 
@@ -186,8 +195,7 @@ def outlying(x: np.ndarray, centre: np.ndarray, spread: np.ndarray, inverse: np.
 
 def spam_pages(documents: DataFrame, least_share: float = 0.5) -> DataFrame:
     """doc_id, share of the characters in outlying segments and their greatest squared distance, of the spam pages."""
-    rows = features(documents)
-    rows = cut_lineage(rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null")))
+    rows = cut_lineage(features(documents))
     scatter = robust_scatter(rows)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
