@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable]:
         "p4_clusters": clusters.p4_clusters,
         "p5_found": personal.p5_found,
         "p5_redacted": personal.p5_redacted,
+        "p5_surrogates": personal.p5_surrogates,
         "p6_ids": tokens.p6_ids,
         "p7_found": leaks.p7_found,
         "p7_paraphrased": leaks.p7_paraphrased,

@@ -1,14 +1,21 @@
 """Problem 5: personal data in free text, found and replaced.
 
-Method: surrogate generation.  Detected entities are brought to one spelling and
-given keyed surrogates of their own kind, script, case and format; one pass over
-the distinct entities checks that no two share a surrogate and draws again for
-those that do, so that different entities stay different and the same entity is
-the same everywhere.  In ``placeholder`` style a surrogate is a placeholder of
-the kind with a keyed number, in ``surrogate`` style a value that looks alike.
+Method: surrogate generation.  A detected entity is brought to one spelling and
+named by a keyed hash of it; what is written between the steps is that hash and
+the form (gender, script, order, case, which signs are digits or letters), never
+the entity.  Surrogates follow from key, hash and form, so the same entity is the
+same everywhere, in any order or case.  One pass over the distinct entities checks
+that no two share a surrogate and that none is an entity of the corpus, and draws
+again for those.  In ``placeholder`` style a surrogate is a placeholder of the
+kind with a keyed number, in ``surrogate`` style a value that looks alike.
+
+Names are found by a given and related family name of the lexicon, of small
+general tables, or of the parts learned from the corpus (``names``), by initials
+beside a family name, and behind words that introduce a name.
 
 Defined results: null and empty texts hold nothing; of overlapping finds the one
-of the earlier kind in ``KINDS`` wins; a record is named by its table and id.
+of the earlier kind in ``KINDS`` wins; a record is named by its table and id; an
+entity that no draw can keep apart gets a placeholder, never its own text.
 """
 
 from __future__ import annotations
@@ -16,20 +23,21 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterable, Iterator
+import secrets
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm import names as nm
 from quern.llm.conversations import content_blocks, content_text
 from quern.session import cut_lineage, partitions, table
 
 KINDS = ("email", "id_number", "phone", "address", "name")
-#: The lexicon is sent to all tasks; a larger one must be cut to what a task can hold.
-MOST_NAMES = 100_000
-DEFAULT_KEY = b"quern-surrogates"
+MOST_NAMES = nm.MOST_NAMES
+#: Session setting with the key of the registered queries; without it each run draws a key of its own.
+KEY_SETTING = "spark.quern.surrogate.key"
 
 # Spellings of the parts of an address that stand for a person or a place.
 AT = r"(?:\s?[@＠]\s?|\s?[\[({<]\s?at\s?[\])}>]\s?|&#64;|%40|\s_at_\s?)"
@@ -47,8 +55,8 @@ ID_HINT = r"(?:social security(?: (?:number|no\.?))?|\bssn|\btax (?:id|number|no
 ID_NUMBER = re.compile(rf"(?i:{ID_HINT})(?:\s(?i:number|no\.?|nr\.?))?\s*(?:is|ist|lautet|是|为|[:：=#])?\s*({ID_VALUE})(?![\w-]*\d)", re.S)
 ID_HINTS = ("social security", "ssn", "tax", "tin", "passport", "identity", "id card", "national id", "身份证", "护照", "税", "社保", "steuer", "ausweis", "reisepass", "versicherung")
 ID_BARE = re.compile(r"(?<![A-Za-z0-9_./-])(9\d{2}-\d{2}-\d{4}|[1-9]\d{5}(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx])(?![A-Za-z0-9_-])")
-PHONE_HINT = r"(?:number is|phone(?: is)?|\btel\.?|\bcall(?: me)?(?: on| at)?|\bring(?: me)?(?: on| at)?|\btext|whatsapp|\bmobile|\bcell|\bme on|\breach me (?:on|at)|\bfax|handy(?:nummer)?|telefon(?:nummer)?|rufnummer|anruf(?:en)?|电话|手机号?|有事打|致电|拨打|联系电话)"
-PHONE_HINTS = ("number is", "phone", "tel", "call", "ring", "text", "whatsapp", "mobile", "cell", "me on", "reach me", "fax", "handy", "rufnummer", "anruf", "电话", "手机", "有事打", "致电", "拨打")
+PHONE_HINT = r"(?:number is|phone(?: is)?|\btel\.?|\bcall(?: me)?(?: on| at)?|\bring(?: me)?(?: on| at)?|\btext|whatsapp|\bmobile|\bcell|\bme on|\breach me (?:on|at)|\bfax|handy(?:nummer)?|telefon(?:nummer)?|rufnummer|anruf(?:en)?|电话|手机号?|致电|拨打|打|联系电话)"
+PHONE_HINTS = ("number is", "phone", "tel", "call", "ring", "text", "whatsapp", "mobile", "cell", "me on", "reach me", "fax", "handy", "rufnummer", "anruf", "电话", "手机", "致电", "打")
 PHONE_VALUE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){6,12}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|1\d{2}[ -]?\d{4}[ -]?\d{4}|0\d(?:[ .]\d{2}){4}|0\d{1,4}[ /-]\d{4,9})"
 PHONE_HINTED = re.compile(rf"(?i:{PHONE_HINT})\s*(?:is|ist|是|[:：=])?\s*({PHONE_VALUE}|\d{{3}}[ -]\d{{4}}|\d(?:[ .-]?\d){{6,12}})(?![\w-]*\d)")
 PHONE = re.compile(r"(?<![A-Za-z0-9_.+/=-])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){6,12}|\(\d{3}\) ?\d{3}-\d{4}|[2-9]\d{2}\.[2-9]\d{2}\.\d{4}|1[3-9]\d[ -]\d{4}[ -]\d{4}|0\d(?:[ .]\d{2}){4})(?![\w.-]*\d)")
@@ -59,21 +67,27 @@ NOT_STREET = r"(?!(?:the|a|an|of|on|in|at|by|to|and|or|for|from|with|percent|cre
 ADDRESSES = (
     (("street", "str.", "lane", "road", "avenue", "boulevard", " way", "drive", "court", "square", "terrace", "crescent", "close", "alley", "place", "parade", "quay", " row", " hill", "walk", " st", " ave", " rd", " ln", "blvd", " dr"), re.compile(rf"(?i)(?<![a-z0-9_.,:/#-])\d{{1,5}}[a-z]?(?:[-/]\d{{1,4}})?,? (?:(?:north|south|east|west|upper|lower|old|new|saint|st\.) )?(?:{NOT_STREET}[^\W\d_][\w'’.-]* ){{1,3}}{STREET}(?![\w-])")),
     (("straße ", "strasse ", "str. ", "weg ", "gasse ", "platz ", "allee ", "damm ", "ufer ", "ring ", "chaussee ", "pfad ", "steig ", "am ", "der ", "im ", "zum ", "zur ", "alte ", "neue "), re.compile(r"(?i)(?<![a-zäöüß0-9_-])(?:[a-zäöüß][a-zäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ufer|ring|chaussee|pfad|steig)|(?:am|an der|im|zum|zur|auf der|alte|neue) [a-zäöüß][a-zäöüß-]{3,}(?:straße|strasse|weg|gasse|platz|allee|damm|ufer|ring)?)\s\d{1,4}\s?[a-z]?(?![\w-])")),
-    (("号", "號", "弄"), re.compile(r"[㐀-鿿]{1,8}(?:路|街|道|巷|弄|胡同|里|大道)\s?\d{1,5}\s?(?:号|號|弄)(?:[㐀-鿿\d]{0,4}(?:单元|栋|幢|楼|室|院|层|座)\s?\d{0,4})*")),
+    (("号", "號", "弄"), re.compile(r"(?:[㐀-鿿]{2,6}?(?:省|市|区|县|镇|乡))*[㐀-鿿]{1,6}?(?:大道|胡同|路|街|道|巷|弄|里)\s?\d{1,5}\s?(?:号|號|弄)(?:[㐀-鿿\d]{0,4}(?:单元|栋|幢|楼|室|院|层|座)\s?\d{0,4})*")),
     (("rue ", "via ", "calle ", "avenida "), re.compile(r"(?i)(?<![a-z0-9_-])\d{1,4}(?: bis)?,? (?:rue|via|calle|avenida) (?:[^\W\d_][\w'’-]*)")),
 )
+LEAD = re.compile(r"[㐀-鿿]*?(?:住在|寄到|寄往|送到|发到|搬到|位于|地址是|地址)(?=[㐀-鿿])")
 #: Signs of full width and odd dashes and blanks as their plain forms, one for one, so that offsets stay.
 PLAIN = {0xFF01 + i: 0x21 + i for i in range(94)} | dict.fromkeys((0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2212), 0x2D) | dict.fromkeys((0x00A0, 0x2007, 0x202F, 0x3000), 0x20)
 SECTION = re.compile(r"(?i)(?:section|chapter|page|line|gate|step|item|part|zoom|row)\s$")
-# Names stand where a sentence speaks of a person.
+# Behind these a name follows.
 NAME_PART = r"[^\W\d_]{2,}(?:[-'’][^\W\d_]{2,})?"
-NAME_PAIR = rf"(?:{NAME_PART}(?:\s[A-Za-z]\.?)?\s{NAME_PART}|{NAME_PART},\s(?:{NAME_PART}|[A-Za-z]\.)|[A-Za-z]\.\s?{NAME_PART}|{NAME_PART}\s[A-Z]\.?(?=\W|$))"
-NAMED = (
-    (("spoke with", "contract names", "is called", "was called", "am called", "my name is", "this is", "ask ", "signed,", "regards,", "met with", "talk to", "call from", "heißt", "unterschrieben,", "gesprochen mit", "房东叫", "请联系", "联系人", "名叫", "我叫", "姓名"),
-     re.compile(rf"(?i:spoke with|contract names|is called|was called|am called|my name is|this is|\bask|signed,|regards,|met with|talk to|call from|heißt|unterschrieben,|gesprochen mit|房东叫|请联系|联系人[是:：]?|名叫|我叫|姓名[是:：]?)\s*({NAME_PAIR})")),
-    (("will sign", "signed", "as the tenant", "for the key", "this morning"), re.compile(rf"(?<![a-zA-Z0-9_@.+-])({NAME_PAIR})(?=\s(?i:will sign|signed|as the tenant|for the key|called this morning|this morning))")),
-)
-WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+CUE = r"\b(?:my name is|mein name ist|ich heiße|ich heisse|(?:mr|mrs|ms|dr|prof|herr|frau)\.?)\s+"
+CUED = re.compile(rf"(?i:{CUE})((?:{NAME_PART}|[A-Z]\.?)(?:\s[A-Z]\.?)?\s{NAME_PART})")
+CUES = ("name is", "name ist", "ich hei", "mr", "ms", "dr", "prof", "herr", "frau")
+# A Chinese name: behind a word that introduces one, before a title, or of signs that hardly stand in other words.
+_FAMILY, _GIVEN = f"[{nm.HAN_FAMILY}]", f"[{nm.HAN_FEMALE}{nm.HAN_MALE}{nm.HAN_EITHER}]"
+HAN_NAMES = (
+    re.compile(rf"(?:我叫|名叫|叫做|姓名[是为:：]?|联系人[是为:：]?|同事|朋友)({_FAMILY}[㐀-鿿]{{1,2}})(?![㐀-鿿])"),
+    re.compile(rf"({_FAMILY}{_GIVEN}{{1,2}})(?=先生|女士|小姐|老师|医生|经理|同学)"),
+    re.compile(rf"(?<![㐀-鿿])({_FAMILY}[{nm.HAN_FEMALE}{nm.HAN_MALE}]{{1,2}})(?=[昨今明]天|[说在是来去和与先已正]|[^㐀-鿿]|$)"),
+)
+HAN_FAMILY = re.compile(_FAMILY)
+WORD = nm.WORD
 # Words that stand in such places without being names.
 NO_NAMES = frozenset("the a an this that these those my your his her our their its and or for with from to of in on at by as is was are be me him them us you it we they she he i not no all any some each every who whom what which when where why how if then than so but one two new old our own der die das den dem ein eine und oder mit von für im am auf ist sind mode cache checklist roster team today please again".split())
 
@@ -87,7 +101,9 @@ class Detector:
 
     def __init__(self, given: Iterable[str], family: Iterable[str]):
         self.given, self.family = frozenset(x.lower() for x in given), frozenset(x.lower() for x in family)
-        self.known = self.given | self.family
+        #: Given names of the general tables: with a capital and beside a capitalised word.
+        self.common = frozenset(nm.FEMALE + nm.MALE) - self.family
+        self.known = self.given | self.family | self.common
 
     def find(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) of every entity, by start."""
@@ -111,22 +127,25 @@ class Detector:
                     if _clear(found, a, b) and (pattern is PHONE_HINTED or not NUMBERED.search(text[max(0, a - 30) : a])):
                         found.append((kind, a, b))
             for m in (m for hints, pattern in ADDRESSES if any(h in low for h in hints) for m in pattern.finditer(text)):
-                if _clear(found, *m.span()) and not SECTION.search(text[max(0, m.start() - 10) : m.start()]):
-                    found.append(("address", *m.span()))
+                a, b = m.span()
+                lead = LEAD.match(text, a, b)  # Chinese has no blanks: the verb before is no part of the place
+                a = lead.end() if lead else a
+                if _clear(found, a, b) and not SECTION.search(text[max(0, a - 10) : a]):
+                    found.append(("address", a, b))
         self._names(text, low, found)
         return sorted(found, key=lambda x: x[1])
 
     def _names(self, text: str, low: str, found: list[tuple[str, int, int]]) -> None:
-        for m in (m for hints, pattern in NAMED if any(h in low for h in hints) for m in pattern.finditer(text)):
+        for m in CUED.finditer(text) if any(c in low for c in CUES) else ():
             a, b = m.span(1)
-            words = [w for w in WORD.findall(text[a:b].lower())]
-            full = [w for w in words if len(w) > 1]
-            if not full or any(w in NO_NAMES for w in full):
-                continue
-            shape = [w for w in WORD.findall(text[a:b]) if len(w) > 1]
-            # known parts, or written like a name throughout
-            if (any(w in self.known for w in full) or all(w[0].isupper() for w in shape)) and _clear(found, a, b) and not (len(words) == 2 and len(full) == 1 and full[0] in self.given and full[0] not in self.family and not self._after(text, b)):
+            words = WORD.findall(text[a:b])
+            if all(w[0].isupper() for w in words) and not any(w.lower() in NO_NAMES for w in words) and _clear(found, a, b):
                 found.append(("name", a, b))
+        if HAN_FAMILY.search(text):
+            for pattern in HAN_NAMES:
+                for m in pattern.finditer(text):
+                    if _clear(found, *m.span(1)):
+                        found.append(("name", *m.span(1)))
         if self.known.isdisjoint(WORD.findall(low)):
             return
         words = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text)]
@@ -139,11 +158,12 @@ class Detector:
             elif gap not in (" ", ", ", ". ", "."):
                 continue
             initial_first = len(w) == 1 and gap in (". ", ".") or len(w) == 1 and gap == " " and text[a].isupper() and w not in "ai"
+            capitals = gap == " " and text[a].isupper() and text[c].isupper() and len(v) > 3 and v not in NO_NAMES and text[c:end][1:].islower() and text[a:b][1:].islower()
             pair = (
                 (w in self.given and v in self.family and gap != ". " and gap != ".") or (w in self.family and v in self.given and gap in (" ", ", "))
                 or (initial_first and v in self.family)
                 or (w in self.family and len(v) == 1 and gap in (" ", ", ") and text[d : d + 1] == ".")
-                or (w in self.given and gap == " " and text[a].isupper() and text[c].isupper() and len(v) > 3 and v not in NO_NAMES and text[c:end][1:].islower() and text[a:b][1:].islower() and self._unlike_word(text, a, end))
+                or (capitals and (w in self.given or w in self.common) and self._unlike_word(text, a, end))
             )
             if pair and _clear(found, a, end) and text[max(0, a - 1) : a] not in ("@", ".", "+", "_", "/", "-") and text[end : end + 1] not in ("@", "＠", "+", "_", "/"):
                 found.append(("name", a, end))
@@ -151,11 +171,6 @@ class Detector:
     def _unlike_word(self, text: str, a: int, end: int) -> bool:
         return text[max(0, a - 4) : a].lower() != "the " and not text[end : end + 1].isalnum()
 
-    def _after(self, text: str, b: int) -> bool:
-        """Whether a family name follows a given name and initial."""
-        m = WORD.match(text, min(len(text), b + 1))
-        return bool(m and m.group().lower() in self.family)
-
 
 def canonical(kind: str, value: str) -> str:
     """One spelling for all forms of an entity."""
@@ -170,29 +185,101 @@ def canonical(kind: str, value: str) -> str:
     return re.sub(r"[\s,]+", " ", value).strip()
 
 
-def _digest(key: bytes, kind: str, value: str, draw: int) -> bytes:
-    return hmac.new(key, f"{kind}\0{value}\0{draw}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest()
+def token(key: bytes, kind: str, value: str) -> str:
+    """An entity's keyed name."""
+    return hmac.new(key, f"{kind}\0{canonical(kind, value)}".encode("utf-8", "surrogatepass"), hashlib.sha256).hexdigest()[:32]
+
+
+def _numbers(key: bytes, *seed: object) -> Iterator[int]:
+    """An endless keyed stream of 16-bit numbers."""
+    count = 0
+    while True:
+        block = hmac.new(key, "\0".join(map(str, (*seed, count))).encode(), hashlib.sha256).digest()
+        yield from (int.from_bytes(block[i : i + 2], "big") for i in range(0, 32, 2))
+        count += 1
+
 
+# Signs of a form: a lower-case letter, a capital, a digit, a Chinese sign to be drawn.
+LOWER, UPPER, DIGIT, HAN = "\x11", "\x12", "\x13", "\x14"
+KEEP_WORD = re.compile(rf"(?i){STREET}$|(?:north|south|east|west|upper|lower|old|new|am|an|der|im|zum|zur|auf|rue|via|calle)$")
+STREET_END = re.compile(r"(?i)(.*?)(straße|strasse|str\.|weg|gasse|platz|allee|damm|ufer|ring|chaussee|pfad|steig)$")
+KEEP_HAN = "省市区县镇乡路街道巷弄里号號单元栋幢楼室院层座大胡同"
+HAN_PLACE = "松柏青云白鹭月桥安澜听雨银杏石溪竹梅兰枫荷湖山泉林岭星光明和平春晓"
 
-def surrogate(kind: str, value: str, key: bytes, draw: int = 0, style: str = "placeholder", names: tuple[tuple[str, ...], tuple[str, ...]] = ((), ())) -> str:
-    """A keyed stand-in for an entity; ``draw`` counts up after a collision."""
-    d = _digest(key, kind, canonical(kind, value), draw)
+
+def _masked(text: str) -> str:
+    return "".join(DIGIT if c.isdigit() else HAN if "㐀" <= c <= "鿿" else LOWER if c.islower() else UPPER if c.isupper() else c for c in text)
+
+
+def form_of(kind: str, value: str, given: frozenset[str] = frozenset(), family: frozenset[str] = frozenset()) -> str:
+    """What a surrogate keeps of an entity: kind of signs, order, case and gender, not the value."""
+    if kind == "name":
+        if "㐀" <= value[0] <= "鿿":
+            return f"han|{nm.gender_of(value[1:])}|1|{len(value) - 1}"
+        case = "u" if value.isupper() and len(value) > 3 else "l" if value.islower() else "t"
+        words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(value)]
+        full = [i for i, w in enumerate(words) if len(w[0]) > 1]
+        if len(full) > 1:
+            first, last = words[full[0]][0].lower(), words[full[-1]][0].lower()
+            back = "," in value or (first in family and first not in given) or (last in given and last not in family)
+            at = {full[0]: "F" if back else "G", full[-1]: "G" if back else "F"}
+            gender = nm.gender_of(last if back else first)
+        else:
+            at, gender = {full[0]: "F"} if full else {}, "n"
+        out, end = [], 0
+        for i, (_, a, b) in enumerate(words):
+            out += [value[end:a], at.get(i, "I" if len(words[i][0]) == 1 else "M")]
+            end = b
+        return f"latin|{gender}|{case}|{''.join(out)}{value[end:]}"
+    if kind == "email":
+        parts = re.split(rf"({AT}|{DOT}|\sat\s|\sdot\s)", value)
+        return "".join(p if i % 2 or i == len(parts) - 1 else _masked(p) for i, p in enumerate(parts))
+    if kind == "phone":
+        lead = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d{2}|0+", value)
+        at = lead.end() if lead else 0
+        return value[:at] + _masked(value[at:])
+    if kind == "id_number" and re.fullmatch(r"\d{17}[\dXx]", value):
+        return "resident"
+    if kind == "address":
+        out = []
+        for word in re.split(r"(\s+|,)", value):
+            end = STREET_END.match(word)
+            if KEEP_WORD.match(word):
+                out.append(word)
+            elif end:
+                out.append(_masked(end[1]) + end[2])
+            else:
+                out.append("".join(c if c in KEEP_HAN else _masked(c) for c in word))
+        return "".join(out)
+    return _masked(value)
+
+
+def render(kind: str, form: str, key: bytes, entity: str, draw: int = 0, style: str = "surrogate") -> str:
+    """The surrogate of an entity in a form; ``draw`` counts up after a collision."""
+    draws = _numbers(key, kind, entity, draw)
     if style == "placeholder":
-        return f"[{kind.upper()}_{int.from_bytes(d[:5], 'big'):010x}]"
-    if kind == "name" and names[0] and names[1]:
-        given, family = names
-        pick = (given[int.from_bytes(d[:4], "big") % len(given)], family[int.from_bytes(d[4:8], "big") % len(family)])
-        out = f"{pick[1]}, {pick[0]}" if "," in value else " ".join(pick)
-        return out.upper() if value.isupper() else out.lower() if value.islower() else out
-    out, stream = [], iter(d * (1 + len(value) // len(d) * 2 + 1))
-    for c in value:
-        if c.isdigit():
-            out.append(str(next(stream) % 10))
-        elif "a" <= c <= "z" or "A" <= c <= "Z":
-            base = "a" if c.islower() else "A"
-            out.append(chr(ord(base) + next(stream) % 26))
-        elif "㐀" <= c <= "鿿" and c not in "路街道巷弄号單单元栋室楼院":
-            out.append(chr(0x4E00 + int.from_bytes(bytes([next(stream), next(stream)]), "big") % 0x4000))
+        return f"[{kind.upper()}_{next(draws):04x}{next(draws):04x}{next(draws):04x}]"
+    if kind == "name":
+        script, gender, third, fourth = form.split("|", 3)
+        if script == "han":
+            return nm.made_han(int(third), int(fourth), gender, next(draws), next(draws) << 16 | next(draws))
+        number = next(draws)
+        given = nm.made_given("mf"[next(draws) % 2] if gender == "n" else gender, number)
+        last = nm.made_family(next(draws) << 16 | next(draws))
+        made = {"G": given, "I": given[0], "F": last, "M": nm.made_family(next(draws))}
+        out = "".join(made.get(c, c) for c in fourth)
+        return out.upper() if third == "u" else out.lower() if third == "l" else out
+    if form == "resident":  # region, date of birth, number and the check digit that belongs to them
+        body = f"{11 + next(draws) % 50:02d}{next(draws) % 10000:04d}{1950 + next(draws) % 60}{1 + next(draws) % 12:02d}{1 + next(draws) % 28:02d}{next(draws) % 1000:03d}"
+        return body + "10X98765432"[sum(int(c) * 2 ** (17 - i) for i, c in enumerate(body)) % 11]
+    out = []
+    for c in form:
+        if c == DIGIT:
+            out.append(str(next(draws) % 10))
+        elif c in (LOWER, UPPER):
+            out.append(chr((97 if c == LOWER else 65) + next(draws) % 26))
+        elif c == HAN:
+            out.append(HAN_PLACE[next(draws) % len(HAN_PLACE)])
         else:
             out.append(c)
     return "".join(out)
@@ -214,9 +301,15 @@ def records(memories: DataFrame, messages: DataFrame) -> DataFrame:
     return a.unionByName(b.select(F.lit("message").alias("src"), "rec_id", F.when(unreadable, F.col("content")).otherwise(text).alias("text")))
 
 
-def spans(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """src, rec_id, kind, start, stop, entity, value of every find; offsets count code points."""
-    names = lexicon_of(lexicon)
+def _detector(rows: DataFrame, lexicon: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The names of the lexicon and those learned from the rows."""
+    given, family = lexicon_of(lexicon)
+    more_given, more_family = nm.learned_names(rows, given, family)
+    return (*given, *more_given), (*family, *more_family)
+
+
+def spans(rows: DataFrame, names: tuple[tuple[str, ...], tuple[str, ...]], key: bytes | None = None) -> DataFrame:
+    """src, rec_id, kind, start, stop and, with a key, entity and form of every find; offsets count code points."""
 
     def detect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(*names)
@@ -225,53 +318,56 @@ def spans(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for kind, a, b in detector.find(text):
                     at.append(i)
-                    out.append((kind, a, b, canonical(kind, text[a:b]), text[a:b]))
+                    value = text[a:b]
+                    out.append((kind, a, b, token(key, kind, value), form_of(kind, value, detector.given, detector.family)) if key else (kind, a, b, "", ""))
             if at:
                 take = pa.array(at, pa.int64())
-                kind, a, b, entity, value = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(entity), pa.array(value)], names=["src", "rec_id", "kind", "start", "stop", "entity", "value"])
+                kind, a, b, entity, form = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(entity), pa.array(form)], names=["src", "rec_id", "kind", "start", "stop", "entity", "form"])
 
-    return rows.mapInArrow(detect, "src string, rec_id string, kind string, start int, stop int, entity string, value string")
+    return rows.select("src", "rec_id", "text").mapInArrow(detect, "src string, rec_id string, kind string, start int, stop int, entity string, form string")
 
 
-def assign_surrogates(found: DataFrame, key: bytes = DEFAULT_KEY, style: str = "placeholder", names: tuple = ((), ()), most_draws: int = 40) -> DataFrame:
-    """kind, entity, surrogate with no surrogate given twice within a kind.
+def _rendered(rows: DataFrame, key: bytes, style: str) -> DataFrame:
+    """``rows`` (kind, entity, form, draw and others) with surrogate, and the keyed name it would have as an entity; draw -1 is a placeholder."""
 
-    The smallest entity of a collision keeps its surrogate, the others draw again.
-    Where the format leaves too few values, the last draws fall back to placeholders.
-    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, entities, forms, draws = (batch.column(n).to_pylist() for n in ("kind", "entity", "form", "draw"))
+            given = [f"[{k.upper()}_{e}]" if d < 0 else render(k, f, key, e, d, style) for k, e, f, d in zip(kinds, entities, forms, draws, strict=True)]
+            as_entity = [token(key, k, v) for k, v in zip(kinds, given, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(given, pa.string()), pa.array(as_entity, pa.string())], names=[*batch.schema.names, "surrogate", "as_entity"])
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", surrogate string, as_entity string")
 
-    def draw(number: int, how: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kinds, entities, values = (batch.column(i).to_pylist() for i in range(3))
-                given = [surrogate(k, v, key, number, how, names) for k, v in zip(kinds, values, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(given, pa.string())], names=["kind", "entity", "value", "surrogate"])
 
-        return run
+def assign_draws(found: DataFrame, key: bytes, style: str = "placeholder", most_draws: int = 40) -> DataFrame:
+    """kind, entity, draw: the first draw whose surrogate no earlier entity has and that is no entity of the corpus.
 
-    schema = "kind string, entity string, value string, surrogate string"
-    open_ones = found.groupBy("kind", "entity").agg(F.min("value").alias("value"))
-    done = None
+    Of a collision the smallest entity keeps its surrogate, the others draw again;
+    what is open after ``most_draws`` gets draw -1, a placeholder with the entity's keyed name.
+    """
+    entities = cut_lineage(found.groupBy("kind", "entity").agg(F.min("form").alias("form")))
+    real = entities.select("kind", F.col("entity").alias("as_entity"), F.lit(True).alias("real"))
+    open_ones, done = entities, None
     for number in range(most_draws):
-        how = style if number < most_draws - 8 else "placeholder"
-        drawn = open_ones.mapInArrow(draw(number, how), schema).withColumn("old", F.lit(0))
+        drawn = _rendered(open_ones.withColumn("draw", F.lit(number)), key, style).join(real, ["kind", "as_entity"], "left").withColumn("real", F.coalesce("real", F.lit(False))).drop("surrogate")
         if done is not None:
-            drawn = drawn.unionByName(done.withColumn("old", F.lit(-1)))
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("old", "entity"))
+            drawn = drawn.unionByName(done)
+        first = F.row_number().over(Window.partitionBy("kind", "as_entity").orderBy("draw", "entity"))
         ranked = cut_lineage(drawn.withColumn("n", first))
-        done, open_ones = ranked.where("n = 1").drop("n", "old"), ranked.where("n > 1").select("kind", "entity", "value")
+        done, open_ones = ranked.where("n = 1 and not real").drop("n"), ranked.where("n > 1 or real").select("kind", "entity", "form")
         if open_ones.isEmpty():
             break
-    return done.select("kind", "entity", "surrogate")
+    return done.select("kind", "entity", "draw").unionByName(open_ones.select("kind", "entity", F.lit(-1).alias("draw")))
 
 
-def redacted(rows: DataFrame, lexicon: DataFrame, key: bytes = DEFAULT_KEY, style: str = "placeholder") -> DataFrame:
+def redacted(rows: DataFrame, lexicon: DataFrame, key: bytes, style: str = "placeholder") -> DataFrame:
     """src, rec_id, text with every entity replaced; only records in which one was found."""
     rows = rows.dropDuplicates(["src", "rec_id"])
-    found = cut_lineage(spans(rows, lexicon))
-    given = assign_surrogates(found, key, style, lexicon_of(lexicon) if style == "surrogate" else ((), ()))
-    edits = found.join(given, ["kind", "entity"]).groupBy("src", "rec_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "surrogate"))).alias("edits"))
+    found = cut_lineage(spans(rows, _detector(rows, lexicon), key))
+    given = _rendered(found.join(assign_draws(found, key, style), ["kind", "entity"], "left").withColumn("draw", F.coalesce("draw", F.lit(-1))), key, style)
+    edits = given.groupBy("src", "rec_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "surrogate"))).alias("edits"))
     cut = lambda acc, e: F.struct(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, e["start"] - acc["at"]), e["surrogate"]).alias("out"), e["stop"].alias("at"))
     done = F.aggregate("edits", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     return rows.join(edits, ["src", "rec_id"]).select("src", "rec_id", done.alias("text"))
@@ -282,11 +378,24 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, table(spark, sf_dir, "name_lexicon")
 
 
+def _key(spark: SparkSession) -> bytes:
+    """The key that the session names; else a random one, so that nobody can rebuild the mapping."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else secrets.token_bytes(32)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, lexicon = _tables(spark, sf_dir)
-    return spans(rows.repartition(partitions(rows), "src", "rec_id"), lexicon).select("src", "rec_id", "kind").distinct()
+    found = spans(rows.repartition(partitions(rows), "src", "rec_id"), _detector(rows, lexicon))
+    return found.select("src", "rec_id", "kind").distinct()
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, lexicon = _tables(spark, sf_dir)
-    return redacted(rows, lexicon)
+    return redacted(rows, lexicon, _key(spark))
+
+
+def p5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with look-alike values in place of what was found."""
+    rows, lexicon = _tables(spark, sf_dir)
+    return redacted(rows, lexicon, _key(spark), "surrogate")
