@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable]:
         "p2_found": neighbours.p2_found,
         "p3_found": conversations.p3_found,
         "p3_stray_links": conversations.p3_stray_links,
+        "p3_threads": conversations.p3_threads,
         "p4_found": clusters.p4_found,
         "p4_clusters": clusters.p4_clusters,
         "p5_found": personal.p5_found,
