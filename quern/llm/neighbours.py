@@ -1,15 +1,16 @@
 """Problem 2: the most similar vectors of every vector, inside its scope.
 
 Method: a hierarchical k-means tree with best-bin-first search.  Each block of a
-scope is divided down to leaves of at most ``LEAF`` rows.  A query visits leaves in
-the order of their promise, a priority computed from the leaf's mean and spread,
-in widening steps, until the number of better rows to be expected in the leaves
-not yet visited falls under a limit.  The limit is calibrated in each block: the
-largest one with which a sample of queries reaches ``RECALL`` against comparing
-all rows.  Queries of one step are handled together, leaf by leaf.
-
-Blocks up to ``PLAIN_ROWS`` are compared whole.  Queries of a scope with several
-blocks first search their own, then those blocks where better rows are expected.
+scope is divided down to leaves of at most ``LEAF`` rows.  A query keeps a priority
+queue of nodes, by a promise computed from a node's mean and spread; the best nodes
+are taken out, inner ones put their children in, leaves are compared, in widening
+steps, until the number of better rows to be expected in the queue falls under a
+limit.  The limit is calibrated in each block: the largest one with which a sample
+of queries reaches ``RECALL`` against comparing all rows.  Queries of one step are
+handled together, node by node.
+
+Queries of a scope with several blocks search their home first, then as many other
+cells as the sample of ``visits_needed`` asks for, again to ``RECALL``.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.batches import whole_groups
-from quern.llm.vectors import BLOCK_ROWS, DIMS, block_tables, blocks, cells_of_large_scopes, tree_leaves, usable
+from quern.llm.vectors import BLOCK_ROWS, DIMS, block_tables, blocks, cells_of_large_scopes, in_scopes, once_usable, tree_nodes, usable, visited, visits_needed
 from quern.session import cut_lineage, partitions, table
 
 K = 5
-LEAF = 256
-PLAIN_ROWS = 1024
+LEAF = 128
 RECALL = 0.98
 CALIBRATE = 128
 LIMITS = (1.0, 0.5, 0.25, 0.1, 0.05, 0.02, 0.0)
+#: Visitors of a block before its members are copied for another task, in blocks.
+MOST_VISITORS = 8
 
 
 def _tail(z: np.ndarray) -> np.ndarray:
@@ -41,16 +43,21 @@ def _tail(z: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Leaves of a block's vectors, searched best bin first."""
+    """A block's vectors in a k-means tree, searched best bin first."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
-        leaves = tree_leaves(x, leaf)
-        self.rows = np.concatenate(leaves)
+        self.rows, self.span, parent = tree_nodes(x, leaf)
         self.x = np.ascontiguousarray(x[self.rows])
-        self.edge = np.concatenate(([0], np.cumsum([len(r) for r in leaves])))
-        self.size = np.diff(self.edge).astype(np.float32)
-        self.mean = np.add.reduceat(self.x, self.edge[:-1], axis=0) / self.size[:, None]
+        total = np.concatenate((np.zeros((1, x.shape[1])), np.cumsum(self.x, axis=0, dtype=np.float64)))
+        self.size = np.diff(self.span, axis=1)[:, 0].astype(np.float32)
+        self.mean = ((total[self.span[:, 1]] - total[self.span[:, 0]]) / self.size[:, None]).astype(np.float32)
         self.spread = np.sqrt(np.maximum(1 - (self.mean**2).sum(axis=1), 1e-4) / DIMS).astype(np.float32)
+        # children follow each other, so a node's are a range
+        self.child = np.zeros((len(parent), 2), dtype=np.int64)
+        for node in range(1, len(parent)):
+            if not self.child[parent[node], 1]:
+                self.child[parent[node], 0] = node
+            self.child[parent[node], 1] = node + 1
         self.limit = 0.0
 
     def calibrate(self, k: int, recall: float, sample: int) -> None:
@@ -77,61 +84,69 @@ class Tree:
         rows, sims = np.full((len(q), k), -1, dtype=np.int64), np.full((len(q), k), -np.inf, dtype=np.float32)
         place = np.full(int(self.rows.max()) + 1, -1, dtype=np.int64)
         place[self.rows] = np.arange(len(self.rows))
-        for a in range(0, len(q), 2048):
-            b = min(len(q), a + 2048)
+        step = max(64, min(2048, (1 << 21) // len(self.size)))  # so that the queues stay small
+        for a in range(0, len(q), step):
+            b = min(len(q), a + step)
             mine = place[own[a:b]] if own is not None else np.full(b - a, -1, dtype=np.int64)
             at, s = self._search(np.ascontiguousarray(q[a:b]), k, mine, np.full(b - a, -np.inf, np.float32) if floor is None else floor[a:b].astype(np.float32), limit)
             rows[a:b], sims[a:b] = np.where(at >= 0, self.rows[np.maximum(at, 0)], -1), s
         return rows, sims
 
     def _search(self, q, k, mine, floor, limit):
-        n, leaves = len(q), len(self.size)
+        n, nodes = len(q), len(self.size)
         at, sims = np.full((n, k), -1, dtype=np.int64), np.full((n, k), -np.inf, dtype=np.float32)
-        mu = q @ self.mean.T
-        order = np.argsort(-(mu + 3 * self.spread), axis=1, kind="stable")
-        active, done, width = np.arange(n), 0, 1
-        while done < leaves and len(active):
-            step = order[active, done : done + width]
-            done += step.shape[1]
-            width *= 2
-            bar = np.maximum(sims[active, k - 1], floor[active])
-            flat = step.ravel()
-            by_leaf = np.argsort(flat, kind="stable")
-            edge = np.searchsorted(flat[by_leaf], np.arange(leaves + 1))
+        # the queues: promise of every node that waits, -inf for others
+        queue, mu = np.full((n, nodes), -np.inf, dtype=np.float32), np.zeros((n, nodes), dtype=np.float32)
+        queue[:, 0] = 0
+        active, width = np.arange(n), 1
+        while len(active):
+            width = min(width, nodes)
+            top = np.argpartition(-queue[active], width - 1, axis=1)[:, :width] if width < nodes else np.broadcast_to(np.arange(nodes), (len(active), nodes))
+            who, node = np.repeat(active, top.shape[1]), top.ravel()
+            waits = queue[who, node] > -np.inf
+            who, node = who[waits], node[waits]
+            queue[who, node] = -np.inf
+            by_node = np.argsort(node, kind="stable")
+            who, node = who[by_node], node[by_node]
+            some, first = np.unique(node, return_index=True)
+            bar = np.maximum(sims[:, k - 1], floor)
             found = []
-            for leaf in np.flatnonzero(edge[1:] > edge[:-1]):
-                who = by_leaf[edge[leaf] : edge[leaf + 1]] // step.shape[1]
-                lo, hi = self.edge[leaf], self.edge[leaf + 1]
-                s = q[active[who]] @ self.x[lo:hi].T
+            for this, a, b in zip(some, first, np.append(first[1:], len(node)), strict=True):
+                own = who[a:b]
+                lo, hi = self.child[this]
+                if hi:  # an inner node puts its children into the queue
+                    m = q[own] @ self.mean[lo:hi].T
+                    mu[own, lo:hi], queue[own, lo:hi] = m, m + 3 * self.spread[lo:hi]
+                    continue
+                lo, hi = self.span[this]
+                s = q[own] @ self.x[lo:hi].T
                 if hi - lo > 2 * k:  # no row under the leaf's own k + 1 best can count (one may be the query)
-                    top = np.partition(s, hi - lo - k - 1, axis=1)[:, hi - lo - k - 1] if np.isneginf(bar[who]).any() else None
-                    hit = s > bar[who][:, None] if top is None else s >= np.maximum(bar[who], top)[:, None]
+                    best = np.partition(s, hi - lo - k - 1, axis=1)[:, hi - lo - k - 1] if np.isneginf(bar[own]).any() else None
+                    hit = s > bar[own][:, None] if best is None else s >= np.maximum(bar[own], best)[:, None]
                 else:
-                    hit = s > bar[who][:, None]
+                    hit = s > bar[own][:, None]
                 r, c = np.nonzero(hit)
                 if len(r):
-                    found.append((who[r], c + lo, s[r, c]))
+                    found.append((own[r], c + lo, s[r, c]))
             if found:
                 w, c, s = (np.concatenate(f) for f in zip(*found, strict=True))
-                ok = (c != mine[active[w]]) & (s > floor[active[w]])
+                ok = (c != mine[w]) & (s > floor[w])
                 w, c, s = w[ok], c[ok], s[ok]
                 touched = np.unique(w)
-                who = active[touched]
                 w = np.concatenate((w, np.repeat(touched, k)))
-                c, s = np.concatenate((c, at[who].ravel())), np.concatenate((s, sims[who].ravel()))
+                c, s = np.concatenate((c, at[touched].ravel())), np.concatenate((s, sims[touched].ravel()))
                 rank = np.lexsort((c, -s, w))
                 w, c, s = w[rank], c[rank], s[rank]
-                first = np.searchsorted(w, touched)
-                pick = first[:, None] + np.arange(k)
-                at[who], sims[who] = c[pick], s[pick]
-            if done >= leaves:
-                break
+                pick = np.searchsorted(w, touched)[:, None] + np.arange(k)
+                at[touched], sims[touched] = c[pick], s[pick]
+            waiting = queue[active] > -np.inf
+            go = waiting.any(axis=1)
             if limit > 0:
                 bar = np.maximum(sims[active, k - 1], floor[active])
-                rest = np.take_along_axis(mu[active], order[active, done:], axis=1)
-                left = order[active, done:]
-                more = (self.size[left] * _tail((bar[:, None] - rest) / self.spread[left])).sum(axis=1)
-                active = active[~(np.isfinite(bar) & (more < limit))]
+                more = np.where(waiting, self.size * _tail((np.where(np.isfinite(bar), bar, -1)[:, None] - mu[active]) / self.spread), 0).sum(axis=1)
+                go &= ~(np.isfinite(bar) & (more < limit))
+            active = active[go]
+            width *= 2
         return at, sims
 
 
@@ -145,7 +160,7 @@ def _pairs(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
 
 
 def _block_tree(x: np.ndarray, k: int, recall: float) -> Tree:
-    tree = Tree(x, PLAIN_ROWS if len(x) <= PLAIN_ROWS else LEAF)
+    tree = Tree(x)
     tree.calibrate(k, recall, CALIBRATE)
     return tree
 
@@ -161,16 +176,14 @@ def nearest(memories: DataFrame, k: int = K, recall: float = RECALL, block_rows:
                 found, _ = _block_tree(x, k, recall).search(x, min(k, len(x) - 1), np.arange(len(x)))
                 yield _pairs(np.array(part.column("id").to_pylist(), dtype=object), found)
 
-    small = rows.where(~F.col("scope").isin(*cells)) if cells else rows
+    small = in_scopes(rows, cells, inside=False) if cells else rows
     # scopes don't overlap and a block's pairs are distinct, so no further exchange
     out = blocks(small, {}).mapInArrow(single, "id_a string, id_b string")
-    if not cells:
-        return out
-    return out.unionByName(_nearest_in_cells(rows.where(F.col("scope").isin(*cells)), cells, k, recall, block_rows))
+    return out.unionByName(_nearest_in_cells(once_usable(in_scopes(rows, cells)), cells, k, recall, block_rows)) if cells else out
 
 
 def _nearest_in_cells(rows: DataFrame, cells: dict[str, np.ndarray], k: int, recall: float, block_rows: int) -> DataFrame:
-    """The same for scopes of several blocks, whose queries also search other blocks."""
+    """The same for scopes of several blocks, whose queries also visit other cells."""
     ahead = "scope string, cell int, id string, unit binary, near array<string>, sims array<float>"
 
     def home(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,57 +195,31 @@ def _nearest_in_cells(rows: DataFrame, cells: dict[str, np.ndarray], k: int, rec
             yield pa.RecordBatch.from_arrays([part.column("scope").combine_chunks(), part.column("cell").combine_chunks(), pa.array(ids, pa.string()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(near, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.float32()))], names=["scope", "cell", "id", "unit", "near", "sims"])
 
     first = cut_lineage(blocks(rows, cells).mapInArrow(home, ahead))
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], tuple[np.ndarray, int]] = {}
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.float32).reshape(-1, DIMS)
-            where = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for key in set(where):
-                own = x[[w == key for w in where]]
-                total, n = sums.get(key, (np.zeros(DIMS), 0))
-                sums[key] = (total + own.sum(axis=0), n + len(own))
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in sums]), pa.array([c for _, c in sums], pa.int32()), pa.array([t.tolist() for t, _ in sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in sums.values()], pa.int64())], names=["scope", "cell", "total", "n"])
-
-    stats: dict[str, dict[int, tuple[np.ndarray, int]]] = {}
-    for r in first.mapInArrow(gather, "scope string, cell int, total array<double>, n bigint").collect():  # a row for each cell and task
-        total, n = stats.setdefault(r[0], {}).get(r[1], (np.zeros(DIMS), 0))
-        stats[r[0]][r[1]] = (total + np.array(r[2]), n + r[3])
-    largest = max(sum(n for _, n in of.values()) for of in stats.values())
-    chunks = max(1, -(-largest // (2 * block_rows)))
-    sent = rows.sparkSession.sparkContext.broadcast(stats)
-    routed = "block string, query boolean, id string, unit binary, bar float"
+    visits = visits_needed(first, cells, recall, k=k)
+    sent = rows.sparkSession.sparkContext.broadcast((cells, visits))
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
+        cells, visits = sent.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                scopes, cell = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy()
-                ids, units = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                x = np.frombuffer(b"".join(units), dtype=np.float32).reshape(-1, DIMS)
-                bar = np.array([s[k - 1] if len(s) >= k else -1.0 for s in batch.column(5).to_pylist()])
-                out: list[tuple[str, bool, int, float]] = []
-                for scope in set(scopes.tolist()):
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                scopes = np.array(batch.column(0).to_pylist(), dtype=object)
+                x = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.float32).reshape(-1, DIMS)
+                bar = np.array([s[k - 1] if len(s) >= k else -1.0 for s in batch.column(5).to_pylist()], dtype=np.float32)
+                for scope in sorted(set(scopes.tolist())):
                     own = np.flatnonzero(scopes == scope)
-                    of = sent.value[scope]
-                    names = sorted(of)
-                    mean = np.stack([of[c][0] / of[c][1] for c in names])
-                    size = np.array([of[c][1] for c in names])
-                    spread = np.sqrt(np.maximum(1 - (mean**2).sum(axis=1), 1e-4) / DIMS)
-                    more = size * _tail((bar[own][:, None] - x[own] @ mean.T) / spread)
-                    # what is expected over all blocks left out stays under the share of misses allowed
-                    go = more * len(names) >= k * (1 - recall)
-                    go[np.array(names)[None, :] == cell[own][:, None]] = False
-                    for i, j in zip(*np.nonzero(go), strict=True):
-                        out.append((f"{scope}\x01{names[j]}\x01{zlib.crc32(ids[own[i]].encode()) % chunks}", True, own[i], bar[own[i]]))
-                    for i in own:  # a member is in each chunk of its block
-                        out.extend((f"{scope}\x01{cell[i]}\x01{c}", False, i, 0.0) for c in range(chunks))
-                if out:
-                    at = [o[2] for o in out]
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array([ids[i] for i in at], pa.string()), pa.array([units[i] for i in at], pa.binary()), pa.array([o[3] for o in out], pa.float32())], names=["block", "query", "id", "unit", "bar"])
+                    to = visited(x[own], cells[scope], visits[scope])
+                    at = np.repeat(own, to.shape[1])
+                    take = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{scope}\x01{c}" for c in to.ravel()], pa.string()), batch.column(2).take(take), batch.column(3).take(take), pa.array(bar[at])], names=["block", "id", "unit", "bar"])
+
+    guests = cut_lineage(first.mapInArrow(route, "block string, id string, unit binary, bar float"))
+    # a block that many visit is copied, so that no task gets an unbounded number; copies are a share of the visits
+    crowds = guests.groupBy("block").agg(F.ceil(F.count("*") / (MOST_VISITORS * block_rows)).cast("int").alias("chunks"))  # a row for each cell
+    members = first.select(F.concat_ws("\x01", "scope", "cell").alias("block"), "id", "unit").join(F.broadcast(crowds), "block")
+    members = members.select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("query"), "id", "unit", F.lit(0.0).cast("float").alias("bar"))
+    asking = guests.join(F.broadcast(crowds), "block").select("block", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("query"), "id", "unit", "bar")
+    routed = members.unionByName(asking).withColumn("block", F.concat_ws("\x01", "block", "chunk")).drop("chunk")
 
     def abroad(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, "block", least_rows=1):
@@ -248,8 +235,7 @@ def _nearest_in_cells(rows: DataFrame, cells: dict[str, np.ndarray], k: int, rec
                 r, c = np.nonzero(found >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q[r]], pa.string()), pa.array(ids[m[found[r, c]]], pa.string()), pa.array(sims[r, c])], names=["id", "other", "sim"])
 
-    sent_out = first.mapInArrow(route, routed).repartition(partitions(rows), "block").sortWithinPartitions("block")
-    foreign = sent_out.mapInArrow(abroad, "id string, other string, sim float")
+    foreign = routed.repartition(partitions(rows), "block").sortWithinPartitions("block").mapInArrow(abroad, "id string, other string, sim float")
     own = first.select("id", F.explode(F.arrays_zip("near", "sims")).alias("z")).select("id", F.col("z.near").alias("other"), F.col("z.sims").alias("sim"))
     best = own.unionByName(foreign).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))).where(F.col("n") <= k)
     return best.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

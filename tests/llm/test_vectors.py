@@ -91,34 +91,44 @@ def test_no_member_is_lost_in_groups_that_are_no_cliques(spark, block_rows):
             assert abs(r.sim - np.cos(np.radians(degrees[e] - degrees[r.pivot]))) < 1e-4
 
 
-def test_no_row_with_neighbours_is_alone():
-    r = np.random.default_rng(11)
-    for size, share in ((40, 0.05), (60, 0.1), (30, 0.3)):
-        for _ in range(60):
-            i, j = np.nonzero(np.triu(r.random((size, size)) < share, 1))
-            group = c.pivot_clusters(size, i, j, r.random(len(i)).astype(np.float32) * 0.15 + 0.85, r.permutation(size))
-            linked = np.unique(np.concatenate((i, j)))
-            assert (group[group] == group).all() and (np.bincount(group, minlength=size)[group[linked]] > 1).all()
-
-
-def test_rounds_of_joins_leave_no_row_alone(spark):
-    r = np.random.default_rng(12)
-    i, j = np.nonzero(np.triu(r.random((60, 60)) < 0.05, 1))
-    edges = spark.createDataFrame([(int(a), int(b), 0.85 + float(x) * 0.15) for a, b, x in zip(i, j, r.random(len(i)), strict=True)], "a bigint, b bigint, sim float")
-    of = {x.node: x.pivot for x in c.pivot_rounds(edges).collect()}
-    assert set(of) == set(np.concatenate((i, j)).tolist()) and all(of[p] == p for p in of.values())
-    assert min(list(of.values()).count(p) for p in of.values()) > 1
-
-
-def test_pivot_rounds_agree_with_the_walk():
+def walk(x, least):
+    """Pivots one by one in the order of the rows, then the closest pivot; plain loops."""
+    near = x @ x.T
+    pivots, taken = [], set()
+    for i in range(len(x)):
+        if i not in taken:
+            pivots.append(i)
+            taken |= {j for j in range(len(x)) if near[i, j] >= least}
+    to = {i: max((p for p in pivots if near[i, p] >= least), key=lambda p: (round(near[i, p], 6), -p), default=i) if i not in pivots else i for i in range(len(x))}
+    alone = [p for p in pivots if list(to.values()).count(p) == 1]
+    moved = {p: to[max((j for j in range(len(x)) if j not in pivots and near[p, j] >= least), key=lambda j: (round(near[p, j], 6), -j))] for p in alone if (np.delete(near[p], p) >= least).any()}
+    return to | moved
+
+
+@pytest.mark.parametrize("batch", [1024, 7])
+def test_pivots_are_those_of_a_walk(batch):
     r = np.random.default_rng(5)
-    a = np.triu(r.random((60, 60)) < 0.1, 1)
-    i, j = np.nonzero(a)
-    rank = r.permutation(60)
-    group = c.pivot_clusters(60, i, j, r.random(len(i)).astype(np.float32) / 2 + 0.5, rank)
-    adjacent = a | a.T
-    assert (group[group] == group).all()
-    assert all(g == k or adjacent[k, g] or adjacent[k][group == g].any() for k, g in enumerate(group))
+    for spread in (0.15, 0.35, 0.6):
+        x = r.standard_normal((8, 64))[r.integers(0, 8, 90)] + spread * r.standard_normal((90, 64))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        want = walk(x.astype(float), 0.85)
+        pivots, row, pivot, _ = c.pivot_links(x, 0.85, batch)
+        assert set(pivots) >= {p for p in want.values()} and not np.isin(row, pivots).any() and np.isin(pivot, pivots).all()
+        medoid = c.pivot_clusters(x)
+        assert {frozenset(np.flatnonzero(medoid == m)) for m in set(medoid)} == {frozenset(k for k in want if want[k] == p) for p in set(want.values())}
+        for m in set(medoid):
+            own = np.flatnonzero(medoid == m)
+            total = (x[own] @ x[own].T).sum(axis=1)
+            assert m in own and total[list(own).index(m)] >= total.max() - 1e-4
+
+
+def test_a_scope_in_many_blocks_has_the_same_clusters(spark, monkeypatch):
+    monkeypatch.setattr(c, "RECALL", 1.0)
+    r = np.random.default_rng(7)
+    x = r.standard_normal((10, 64))[r.integers(0, 10, 240)] + 0.4 * r.standard_normal((240, 64))
+    rows = [(f"i{i:03d}", [float(v) for v in x[i]], "s" if i % 3 else "t", i, 1, "x") for i in range(240)]
+    whole, cut = (sorted((q.entry_index, q.pivot, round(q.sim, 4)) for q in c.clusters(spark.createDataFrame(rows, SCHEMA), block_rows=b).collect()) for b in (c.BLOCK_ROWS, 40))
+    assert whole == cut and len(whole) > 100
 
 
 def test_empty(spark):
