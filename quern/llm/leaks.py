@@ -1,22 +1,25 @@
 """Problem 7: evaluation passages that stand in training texts.
 
 Method: latent semantic retrieval.  Texts become rows of unit hashes (words; for
-Chinese passages single signs, taken in pairs), cut into overlapping windows.  A
-distributed randomised SVD of the windows' TF-IDF matrix over the whole corpus
-gives a latent space: with a random matrix O of the fixed width ``RANK``, every
-partition adds up its part of A'(AO), and the orthogonal basis of the sum spans
-the leading right singular vectors.  Windows of documents and of evaluation
-passages are compared by cosine in that space; what comes near enough is checked
-exactly for the longest common run, and for paraphrases by the longest common
-subsequence and the answer words.
+Chinese passages single signs, taken in pairs), cut into overlapping windows of
+two blocks.  A distributed randomised SVD of the windows' TF-IDF matrix A over the
+whole corpus gives a latent space: with a random matrix O of the fixed width
+``WIDTH``, every partition adds up its part of A'(AO), Q is an orthogonal basis of
+the sum, a second pass adds up (AQ)'(AQ), and its eigenvectors turn Q into the
+right singular vectors of the ``RANK`` largest singular values, each divided by its
+value.  Windows of
+documents and of evaluation passages are compared by cosine in that space; what
+comes near enough is checked for a common run, for the longest common subsequence
+and for the answer words (the rarest of the passage's window).
 
 Window lengths are chosen so that every run of the least length lies wholly in
 one window of the document and one of the passage.  What is sent to all tasks
-(basis, weights, windows of the evaluation set) has a fixed size, or that of the
-held-out set, which ``MOST_ITEMS`` bounds.
+(basis, weights) has a fixed size; the held-out items are searched in blocks of
+``ITEMS_AT_ONCE``, each in one pass over the documents' units, whatever their number.
 
-Defined results: items with a null or too short passage and null texts have no
-leak; case, punctuation, spacing, line marks and invisible signs are ignored.
+Defined results: null texts, items with a null passage and passages too short to
+hold a run have no leak; case, punctuation, spacing, line marks and invisible
+signs are ignored; rows of one document count together.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.session import cut_lineage, partitions, table
 
@@ -40,11 +44,15 @@ RUN = {"w": 14, "c": 26}
 DOC_WINDOW = {"w": (28, 14), "c": (52, 26)}
 ITEM_WINDOW = {"w": (20, 6), "c": (36, 10)}
 DIMS = 1 << 14
-RANK = 128
-#: Least cosine of a candidate (true pairs of the test data have 0.70 and more), and of a paraphrase.
-NEAR = 0.45
-ALIKE = 0.9
-MOST_ITEMS = 100_000
+#: Width of the random projection, and singular vectors that are kept.
+WIDTH, RANK = 80, 64
+#: Least cosine of a candidate.
+NEAR = 0.4
+#: Least share of a passage's window that stands in order in a document's window, for a paraphrase.
+REWORDED = 0.8
+ITEMS_AT_ONCE = 4096
+#: Numbers of a similarity matrix at once, and units of texts at once.
+CELLS, UNITS = 1 << 23, 1 << 16
 SEED = 20_260_101
 
 UNIT = regex.compile(r"\p{Han}|[\p{L}\p{N}]+")
@@ -57,10 +65,23 @@ def clean(text: str) -> str:
     return HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower()
 
 
+class _Hashes(dict):
+    """Hashes of the units met before; starts anew when it is full."""
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        value = self[unit] = zlib.crc32(unit.encode("utf-8", "surrogatepass"))
+        return value
+
+
+_hash_of = _Hashes()
+
+
 def unit_hashes(text: str, kind: str) -> np.ndarray:
     """32-bit hashes of the words ('w') or signs ('c') of a cleaned text."""
     units = UNIT.findall(text) if kind == "w" else SIGN.findall(text)
-    return np.fromiter((zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in units), dtype=np.uint32, count=len(units))
+    return np.array([_hash_of[u] for u in units], dtype=np.uint32)
 
 
 def passage_kind(passage: str, lang: str | None) -> str:
@@ -130,177 +151,278 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[object, str, np.ndarray]]:
         yield doc, kind, flat[offsets[i] : offsets[i + 1]]
 
 
-def _matrix_rows(texts: Iterable[tuple[object, str, np.ndarray]], window: dict[str, tuple[int, int]]):
-    """(sparse columns, their windows, number of windows, (text, start, end) of each) of many texts."""
-    cols, rows, places, n = [], [], [], 0
-    for t, (_, kind, units) in enumerate(texts):
-        feats = features(units, kind)
-        for a, b in windows(len(units), *window[kind], RUN[kind]):
-            own = np.unique(feats[a : b if kind == "w" else b - 1])
-            cols.append(own)
-            rows.append(np.full(len(own), n))
-            places.append((t, a, b))
-            n += 1
-    empty = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(cols) if cols else empty), (np.concatenate(rows) if rows else empty), n, places
-
-
-def _project(cols: np.ndarray, rows: np.ndarray, n: int, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Normed TF-IDF rows times ``basis``; every window has at least one column."""
-    norm = np.sqrt(np.bincount(rows, weights=weight[cols] ** 2, minlength=n))
-    out = np.empty((n, basis.shape[1]), dtype=np.float32)
-    start = np.searchsorted(rows, np.arange(n + 1))
-    for a in range(0, n, 2048):
-        b = min(n, a + 2048)
-        own = slice(start[a], start[b])
-        value = (weight[cols[own]] / np.maximum(norm[rows[own]], 1e-12)).astype(np.float32)
-        out[a:b] = np.add.reduceat(basis[cols[own]] * value[:, None], start[a:b] - start[a], axis=0)
-    return out
+class Windows:
+    """Windows of two blocks over the units of many texts, as rows of a TF-IDF matrix that is never made.
+
+    Windows that share a block share its sum, so each unit is looked up once.
+    """
+
+    def __init__(self, texts: list[tuple[object, str, np.ndarray]], weight: np.ndarray | None = None):
+        step = {k: DOC_WINDOW[k][1] for k in DOC_WINDOW}
+        feats = [features(units, kind) for _, kind, units in texts]
+        size = np.array([len(f) for f in feats], dtype=np.int64)
+        per = np.array([step[k] for _, k, _ in texts], dtype=np.int64)
+        many = np.array([len(windows(len(u), *DOC_WINDOW[k], RUN[k])) for _, k, u in texts], dtype=np.int64)
+        has = np.maximum(-(-size // np.maximum(per, 1)), many) if len(texts) else size
+        self.cols = np.concatenate(feats) if feats else np.zeros(0, np.int32)
+        first_unit = np.concatenate(([0], np.cumsum(size)))[:-1] if len(texts) else size
+        text = np.repeat(np.arange(len(texts)), has)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(has) - has, has)
+        start = np.minimum(first_unit[text] + number * per[text], first_unit[text] + size[text])
+        self.start, self.blocks = start, len(text)  # blocks lie one after the other; a last one may be empty
+        self.filled = np.diff(np.append(start, len(self.cols))) > 0
+        self.has_next = np.append(text[1:] == text[:-1], False) if len(text) else np.zeros(0, bool)
+        self.at = np.flatnonzero(number < many[text])  # the first block of every window
+        self.text = text[self.at]
+        self.begin = number[self.at] * per[self.text]
+        self.block_of = np.repeat(np.arange(self.blocks), np.diff(np.append(start, len(self.cols))))
+        if weight is not None:
+            square = np.bincount(self.block_of, weights=weight[self.cols] ** 2, minlength=self.blocks)
+            self.norm = np.sqrt(np.maximum(self._pairs(square[:, None])[:, 0], 1e-12)).astype(np.float32)
+
+    def _pairs(self, sums: np.ndarray) -> np.ndarray:
+        """Sums of the windows from those of the blocks."""
+        nxt = np.minimum(self.at + 1, max(0, self.blocks - 1))
+        return sums[self.at] + np.where(self.has_next[self.at][:, None], sums[nxt], 0)
+
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        """The matrix times a basis whose rows are weighted already."""
+        sums = np.zeros((self.blocks, basis.shape[1]), dtype=np.float32)
+        if len(self.cols):
+            sums[self.filled] = np.add.reduceat(basis[self.cols], self.start[self.filled], axis=0)
+        return self._pairs(sums) / self.norm[:, None]
+
+    def transposed_times(self, y: np.ndarray, total: np.ndarray) -> None:
+        """Adds the transposed matrix times y to total, but for the weights of its rows."""
+        y = y / self.norm[:, None]
+        blocks = np.zeros((self.blocks, y.shape[1]), dtype=np.float32)
+        blocks[self.at] += y
+        inner = self.has_next[self.at]
+        blocks[self.at[inner] + 1] += y[inner]
+        order = np.argsort(self.cols, kind="stable")
+        own = self.cols[order]
+        if len(own):
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            total[own[first]] += np.add.reduceat(blocks[self.block_of[order]], first, axis=0)
+
+
+def _some_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[object, str, np.ndarray]]]:
+    """Texts of about ``UNITS`` units at once."""
+    for batch in batches:
+        held, n = [], 0
+        for t in _texts(batch):
+            held.append(t)
+            n += len(t[2])
+            if n >= UNITS:
+                yield held
+                held, n = [], 0
+        if held:
+            yield held
+
+
+def _summed(parts: DataFrame, rows: int, width: int) -> np.ndarray:
+    """Adds up the partitions' matrices block by block in the executors; one matrix of fixed size comes to the driver."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for b, row in zip(batch.column(0).to_pylist(), flat, strict=True):
+                sums[b] = sums[b] + row if b in sums else row.astype(np.float64)
+        if sums:
+            size = len(next(iter(sums.values())))
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * size), pa.array(np.concatenate(list(sums.values()))))], names=["block", "part"])
+
+    summed = parts.repartition(partitions(parts), "block").mapInArrow(add, "block int, part array<double>")
+    got = sorted(summed.toLocalIterator(), key=lambda r: r[0])
+    return np.array([r[1] for r in got]).reshape(rows, width) if got else np.zeros((rows, width))
+
 
+def _in_parts(matrix: np.ndarray, blocks: int) -> pa.RecordBatch:
+    flat = pa.array(matrix.reshape(-1))
+    size = len(flat) // blocks
+    return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(blocks + 1, dtype=np.int32) * size), flat)], names=["block", "part"])
 
-def latent_basis(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse document frequencies and the orthogonal basis of the latent space, from all windows."""
-    block = 256
+
+def latent_basis(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inverse document frequencies, right singular vectors over their values, singular values) of the windows of all texts."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DIMS, dtype=np.int64), 0
-        for batch in batches:
-            cols, _, more, _ = _matrix_rows(_texts(batch), DOC_WINDOW)
-            total += np.bincount(cols, minlength=DIMS)
-            n += more
-        blocks = [pa.array(total[i : i + block].astype(np.float64)) for i in range(0, DIMS, block)] + [pa.array([float(n)] * block)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(blocks) + 1, dtype=np.int32) * block), pa.concat_arrays(blocks))], names=["block", "part"])
-
-    def gathered(parts: DataFrame, width: int) -> np.ndarray:
-        """Sums the partitions' parts block by block, in the executors."""
-
-        def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                for b, row in zip(batch.column(0).to_pylist(), flat, strict=True):
-                    sums[b] = sums[b] + row if b in sums else row.astype(np.float64)
-            if sums:
-                size = len(next(iter(sums.values())))
-                yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * size), pa.array(np.concatenate(list(sums.values()))))], names=["block", "part"])
-
-        summed = parts.repartition(partitions(parts), "block").mapInArrow(add, "block int, part array<double>")
-        got = sorted(summed.toLocalIterator(), key=lambda r: r[0])
-        return np.array([r[1] for r in got]).reshape(-1, width)
-
-    counts = gathered(units.mapInArrow(count, "block int, part array<double>"), 1)[:, 0]
-    if not len(counts):  # no texts at all
-        return np.ones(DIMS), np.eye(DIMS, RANK, dtype=np.float32)
-    n = max(1.0, counts[DIMS])
-    weight = np.log((n + 1) / (counts[:DIMS] + 1)) + 0.1
-    sent = units.sparkSession.sparkContext.broadcast((weight, np.random.default_rng(SEED).standard_normal((DIMS, RANK)).astype(np.float32)))
+        total = np.zeros((DIMS + 256, 1))
+        for texts in _some_texts(batches):
+            w = Windows(texts)
+            once = np.unique(w.block_of * DIMS + w.cols) % DIMS
+            total[:DIMS, 0] += np.bincount(once, minlength=DIMS)
+            total[DIMS, 0] += w.blocks
+        yield _in_parts(total, 65)
+
+    counts = _summed(units.mapInArrow(count, "block int, part array<double>"), DIMS + 256, 1)[:, 0]
+    weight = np.log((counts[DIMS] + 1) / (counts[:DIMS] + 1)) + 0.1
+    random = np.random.default_rng(SEED).standard_normal((DIMS, WIDTH))
+    context = units.sparkSession.sparkContext
+    sent = context.broadcast((weight, (random * weight[:, None]).astype(np.float32)))
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, random = sent.value
-        total = np.zeros((DIMS, RANK), dtype=np.float32)
-        for batch in batches:
-            cols, rows, n, _ = _matrix_rows(_texts(batch), DOC_WINDOW)
-            if not n:
+        total = np.zeros((DIMS, WIDTH), dtype=np.float32)
+        for texts in _some_texts(batches):
+            w = Windows(texts, weight)
+            if len(w.at):
+                w.transposed_times(w.times(random), total)
+        yield _in_parts(total * weight[:, None].astype(np.float32), 64)
+
+    q, _ = np.linalg.qr(_summed(units.mapInArrow(multiply, "block int, part array<float>"), DIMS, WIDTH))
+    sent_q = context.broadcast((weight, (q * weight[:, None]).astype(np.float32)))
+
+    def gram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, q = sent_q.value
+        total = np.zeros((WIDTH, WIDTH))
+        for texts in _some_texts(batches):
+            w = Windows(texts, weight)
+            if len(w.at):
+                b = w.times(q)
+                total += b.T @ b
+        yield _in_parts(total, 1)
+
+    values, vectors = np.linalg.eigh(_summed(units.mapInArrow(gram, "block int, part array<double>"), WIDTH, WIDTH))
+    top = np.argsort(-values)[:RANK]
+    singular = np.sqrt(np.maximum(values[top], 0))
+    scale = np.maximum(singular, 1e-6 * max(singular.max(), 1e-9))  # what all windows share weighs no more than the rest
+    return weight, (q @ vectors[:, top] / scale).astype(np.float32), singular
+
+
+def common_subsequence(a: list[int], masks: dict[int, int], size: int) -> int:
+    """Length of the longest common subsequence of a with a text of ``size`` units whose places are bits of ``masks`` (Hyyrö)."""
+    row = full = (1 << size) - 1
+    for unit in a:
+        here = row & masks.get(unit, 0)
+        row = ((row + here) | (row - here)) & full
+    return size - row.bit_count()
+
+
+def item_windows(n: int, kind: str) -> list[tuple[int, int]]:
+    """Windows of a passage, all of the same length; each run of the least length lies wholly in one."""
+    length, step = ITEM_WINDOW[kind]
+    if n <= length:
+        return [(0, n)]
+    return [(min(at, n - length), min(at, n - length) + length) for at in range(0, n - length + step, step)]
+
+
+class Items:
+    """A block of evaluation items, their windows in the latent space and their runs."""
+
+    def __init__(self, rows: list, weight: np.ndarray, basis: np.ndarray):
+        self.texts = []
+        for item, passage, lang in rows:
+            passage = clean(passage)
+            kind = passage_kind(passage, lang)
+            units = unit_hashes(passage, kind)
+            if len(units) >= RUN[kind]:
+                self.texts.append((item, kind, units))
+        self.texts.sort(key=lambda t: t[1])
+        self.runs = [np.unique(run_hashes(units, RUN[kind])) for _, kind, units in self.texts]
+        self.units = [np.unique(units) for _, _, units in self.texts]
+        self.parts = [[self._part(units[a:b], weight) for a, b in item_windows(len(units), kind)] for _, kind, units in self.texts]
+        self.query, self.starts, self.of = {}, {}, {}
+        for kind in "wc":
+            own = [i for i, t in enumerate(self.texts) if t[1] == kind]
+            vectors, owner = [], []
+            for i in own:
+                feats = features(self.texts[i][2], kind)
+                for a, b in item_windows(len(self.texts[i][2]), kind):
+                    part = feats[a : b if kind == "w" else b - 1]
+                    vectors.append((weight[part][:, None] * basis[part]).sum(axis=0))
+                    owner.append(i)
+            if own:
+                x = np.array(vectors, dtype=np.float32)
+                self.query[kind] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+                owner = np.array(owner)
+                self.starts[kind] = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                self.of[kind] = owner[self.starts[kind]]
+
+    @staticmethod
+    def _part(part: np.ndarray, weight: np.ndarray) -> tuple[list[int], set[int]]:
+        """The units of a window of a passage, and the rarest of them: the answer words."""
+        rare = part[np.argsort(-weight[features(part, "w")], kind="stable")[: max(1, len(part) // 8)]]
+        return part.tolist(), set(rare.tolist())
+
+    def found(self, texts: list, weight: np.ndarray, weighted: np.ndarray, near: float) -> Iterator[tuple]:
+        """(document, item, cosine, run, kept, answered) of the windows of texts that hold a run or a paraphrase."""
+        for kind in self.query:
+            some = [t for t in texts if t[1] == kind]
+            if not some:
                 continue
-            y = _project(cols, rows, n, weight, random)
-            norm = np.sqrt(np.bincount(rows, weights=weight[cols] ** 2, minlength=n))
-            value = (weight[cols] / norm[rows]).astype(np.float32)
-            order = np.argsort(cols, kind="stable")
-            for a in range(0, len(order), 65_536):
-                part = order[a : a + 65_536]
-                own = cols[part]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                total[own[first]] += np.add.reduceat(y[rows[part]] * value[part, None], first, axis=0)
-        flat = pa.array(total.reshape(-1))
-        blocks = DIMS // block
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(blocks + 1, dtype=np.int32) * block * RANK), flat)], names=["block", "part"])
-
-    product = gathered(units.mapInArrow(multiply, "block int, part array<float>"), RANK)
-    basis, _ = np.linalg.qr(product)
-    return weight, basis.astype(np.float32)
-
-
-def _common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, one row of the table at a time."""
-    row = np.zeros(len(b) + 1, dtype=np.int32)
-    for x in a:
-        up = row.copy()
-        up[1:] = np.maximum(up[1:], row[:-1] + (b == x))
-        row = np.maximum.accumulate(up)
-    return int(row[-1])
-
-
-def leaks(documents: DataFrame, items: DataFrame, near: float = NEAR, paraphrases: bool = False) -> DataFrame:
-    """doc_id, item_id, cosine of the documents that hold a run of an item's passage.
-
-    With ``paraphrases`` also those that keep 80 % of a passage window's units in
-    order in one window, among them the rarest, the answer words, with no run.
+            w = Windows(some, weight)
+            x = w.times(weighted)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            length = DOC_WINDOW[kind][0]
+            step = max(1, CELLS // len(self.query[kind]))
+            for a in range(0, len(x), step):
+                cosine = np.maximum.reduceat(x[a : a + step] @ self.query[kind].T, self.starts[kind], axis=1)
+                i, j = np.nonzero(cosine >= near)
+                if not len(i):
+                    continue
+                used, at = np.unique(i, return_inverse=True)
+                places = [(int(w.text[a + u]), int(w.begin[a + u]), int(min(w.begin[a + u] + length, len(some[w.text[a + u]][2])))) for u in used]
+                hashes = window_runs(some, places, kind)
+                units = np.stack([np.pad(some[t][2][p:q].astype(np.int64), (0, length - (q - p)), constant_values=-1) for t, p, q in places])
+                for item_at in np.unique(j):
+                    item = int(self.of[kind][item_at])
+                    mine = np.flatnonzero(j == item_at)
+                    runs = self.runs[item]
+                    spot = np.minimum(np.searchsorted(runs, hashes[at[mine]]), len(runs) - 1)
+                    run = (runs[spot] == hashes[at[mine]]).any(axis=1)
+                    shared = np.isin(units[at[mine]], self.units[item]).sum(axis=1)
+                    for m in np.flatnonzero(run | (shared >= REWORDED * len(self.parts[item][0][0]))):
+                        t, p, q = places[at[mine[m]]]
+                        kept, answered = reworded(some[t][2][p:q].tolist(), self.parts[item])
+                        if run[m] or (answered and kept >= REWORDED):
+                            yield some[t][0], self.texts[item][0], float(cosine[i[mine[m]], item_at]), bool(run[m]), kept, answered
+
+
+def leaks(documents: DataFrame, items: DataFrame, near: float = NEAR, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+    """doc_id, item_id, cosine, run, kept, answered of the documents that hold a run of an item's passage or a paraphrase.
+
+    run: whether they hold a run of the least length. kept: the share of a window
+    of the passage that stands in order in the document's window. answered: whether
+    the rarest words of that window are there. A paraphrase keeps ``REWORDED`` and is answered.
     """
-    held = items.where("passage is not null and item_id is not null").select("item_id", "passage", "lang").dropDuplicates(["item_id"]).limit(MOST_ITEMS + 1).collect()
-    if len(held) > MOST_ITEMS:
-        raise ValueError(f"an evaluation set of at most {MOST_ITEMS} items is sent to all tasks; split it")
-    texts = []
-    for r in held:
-        passage = clean(r["passage"])
-        kind = passage_kind(passage, r["lang"])
-        units = unit_hashes(passage, kind)
-        if len(units) >= RUN[kind]:
-            texts.append((r["item_id"], kind, units))
+    spark = documents.sparkSession
+    held = items.where("passage is not null and item_id is not null").select("item_id", "passage", "lang").dropDuplicates(["item_id"])
     id_type, item_type = documents.schema["doc_id"].dataType, items.schema["item_id"].dataType
-    out = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", item_type), T.StructField("cosine", T.DoubleType()), T.StructField("run", T.BooleanType())])
-    if not texts:
-        return documents.sparkSession.createDataFrame([], out)
+    columns = (("doc_id", id_type), ("item_id", item_type), ("cosine", T.DoubleType()), ("run", T.BooleanType()), ("kept", T.DoubleType()), ("answered", T.BooleanType()))
+    out = T.StructType([T.StructField(n, t) for n, t in columns])
+    many = -(-held.count() // items_at_once)
+    if not many:
+        return spark.createDataFrame([], out)
     units = cut_lineage(text_units(documents))
-    weight, basis = latent_basis(units)
-    cols, rows, n, places = _matrix_rows(texts, ITEM_WINDOW)
-    query = _project(cols, rows, n, weight, basis)
-    query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
-    of_item = np.array([p[0] for p in places])
-    kinds = np.array([t[1] for t in texts])
-    runs = [np.unique(run_hashes(t[2], RUN[t[1]])) for t in texts]
-    sent = documents.sparkSession.sparkContext.broadcast((weight, basis, query, of_item, kinds, runs, places, texts))
-
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, basis, query, of_item, kinds, runs, places, texts = sent.value
-        schema = pa.schema([("doc_id", pa.from_numpy_dtype(np.int64) if id_type == T.LongType() else pa.string()), ("item_id", pa.int64() if item_type == T.LongType() else pa.string()), ("cosine", pa.float64()), ("run", pa.bool_())])
-        of = {k: np.flatnonzero(kinds[of_item] == k) for k in "wc"}
-        for batch in batches:
-            own = list(_texts(batch))
-            found: dict[tuple[object, object], list] = {}
-            for kind in "wc":
-                if not len(of[kind]):
-                    continue
-                some = [t for t in own if t[1] == kind]
-                cols, rows, n, at = _matrix_rows(some, DOC_WINDOW)
-                if not n:
-                    continue
-                x = _project(cols, rows, n, weight, basis)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                items_of = of_item[of[kind]]
-                starts = np.flatnonzero(np.concatenate(([True], items_of[1:] != items_of[:-1])))
-                for a in range(0, n, 4096):
-                    near_by = np.maximum.reduceat(x[a : a + 4096] @ query[of[kind]].T, starts, axis=1)
-                    w, j = np.nonzero(near_by >= near)
-                    if not len(w):
-                        continue
-                    hashes = window_runs(some, at[a : a + 4096], kind)
-                    run = np.zeros(len(w), dtype=bool)
-                    for item_at in np.unique(j):
-                        own_runs, mine = runs[int(items_of[starts[item_at]])], np.flatnonzero(j == item_at)
-                        spot = np.minimum(np.searchsorted(own_runs, hashes[w[mine]]), len(own_runs) - 1)
-                        run[mine] = (own_runs[spot] == hashes[w[mine]]).any(axis=1)
-                    for i in np.flatnonzero(run | (near_by[w, j] >= ALIKE)) if paraphrases else np.flatnonzero(run):
-                        t, p, q = at[a + w[i]]
-                        item, cosine = int(items_of[starts[j[i]]]), float(near_by[w[i], j[i]])
-                        key = (some[t][0], texts[item][0])
-                        known = found.get(key)
-                        if run[i] or (known is None and _reworded(some[t][2][p:q], texts[item][2], kind, weight)):
-                            found[key] = [max(cosine, known[0] if known else 0.0), bool(run[i]) or bool(known and known[1])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], schema.field(0).type), pa.array([k[1] for k in found], schema.field(1).type), pa.array([v[0] for v in found.values()]), pa.array([v[1] for v in found.values()])], schema=schema)
-
-    hits = units.mapInArrow(search, out)
-    return hits.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("run").alias("run"))
+    weight, basis, _ = latent_basis(units)
+    sent = spark.sparkContext.broadcast((weight, (basis * weight[:, None]).astype(np.float32)))
+    held = cut_lineage(held.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(many)))) if many > 1 else held.withColumn("block", F.lit(0))
+    arrow = to_arrow_schema(out)
+    hits = None
+    for block in range(many):
+        own = Items([tuple(r)[:3] for r in held.where(F.col("block") == block).collect()], weight, basis)
+        if not own.texts:
+            continue
+        sent_items = spark.sparkContext.broadcast(own)
+
+        def search(batches: Iterable[pa.RecordBatch], sent_items=sent_items) -> Iterator[pa.RecordBatch]:
+            weight, weighted = sent.value
+            for texts in _some_texts(batches):
+                best: dict[tuple, tuple] = {}
+                for doc, item, *facts in sent_items.value.found(texts, weight, weighted, near):
+                    known = best.get((doc, item))
+                    best[doc, item] = tuple(map(max, known, facts)) if known else tuple(facts)
+                if best:
+                    cols = list(zip(*((*k, *v) for k, v in best.items()), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        found = units.mapInArrow(search, out)
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        return spark.createDataFrame([], out)
+    return hits.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "run", "kept", "answered")))
 
 
 def window_runs(texts: list, places: list[tuple[int, int, int]], kind: str) -> np.ndarray:
@@ -321,16 +443,16 @@ def window_runs(texts: list, places: list[tuple[int, int, int]], kind: str) -> n
     return np.where(np.arange(each) < count[:, None], out, out[:, :1])
 
 
-def _reworded(window: np.ndarray, passage: np.ndarray, kind: str, weight: np.ndarray) -> bool:
-    length, step = ITEM_WINDOW[kind]
-    for a, b in windows(len(passage), length, step, RUN[kind]):
-        part = passage[a:b]
-        if np.isin(part, window).sum() * 5 < 4 * len(part):
-            continue
-        answer = part[np.argsort(-weight[features(part, "w")], kind="stable")[: max(1, len(part) // 8)]]
-        if np.isin(answer, window).all() and _common_subsequence(part, window) * 5 >= 4 * len(part):
-            return True
-    return False
+def reworded(window: list[int], parts: list[tuple[list[int], set[int]]]) -> tuple[float, bool]:
+    """(share of a window of the passage that stands in order in the document's window, whether its rarest units are there), of the best one."""
+    masks: dict[int, int] = {}
+    for i, unit in enumerate(window):
+        masks[unit] = masks.get(unit, 0) | 1 << i
+    best = (0.0, False)
+    for part, rare in parts:
+        if sum(u in masks for u in part) >= best[0] * len(part):
+            best = max(best, (common_subsequence(part, masks, len(window)) / len(part), rare <= masks.keys()))
+    return best
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,5 +460,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_paraphrased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), paraphrases=True)
-    return found.where("not run").select("doc_id", "item_id")
+    """Documents that hold no run of the item's passage but a paraphrase of it."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).where("not run").select("doc_id", "item_id")

@@ -69,6 +69,50 @@ def test_leaks(spark):
     got = {(x.doc_id, x.item_id): x.cosine for x in out.where("run").collect()}
     assert set(got) == want
     assert min(got.values()) > leaks.NEAR
+    held = spark.createDataFrame(items, "item_id bigint, passage string, lang string")
+    again = leaks.leaks(frame, held, items_at_once=2)  # the items in blocks give the same
+    assert {(x.doc_id, x.item_id) for x in again.where("run").collect()} == want
+
+
+def test_planted_paraphrases(spark):
+    """Every ninth word of a passage is another one, so there is no run; other documents hold half of the words, shuffled."""
+    r = random.Random(4)
+    items = [(i, " ".join(_words(r, 45)), "en") for i in range(12)]
+    docs, want = [], set()
+    for i in range(240):
+        words = _words(r, 60)
+        if i % 4 == 0:
+            part = items[i % 12][1].split()[:36]
+            part[(i // 12) % 9 :: 9] = _words(r, 4)
+            words[10:10] = part
+            want.add((i, i % 12))
+        elif i % 4 == 1:
+            words += r.sample(items[i % 12][1].split(), 22)
+        docs.append((i, " ".join(words)))
+    out = leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string, lang string")).collect()
+    got = {(x.doc_id, x.item_id) for x in out}
+    assert not any(x.run for x in out) and got <= want and len(got) >= 0.7 * len(want)
+    assert all(x.kept >= leaks.REWORDED and x.answered for x in out)
+
+
+def test_common_subsequence():
+    r = random.Random(9)
+    for _ in range(200):
+        a, b = ([r.randrange(6) for _ in range(r.randint(0, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        masks = {u: sum(1 << k for k, v in enumerate(b) if v == u) for u in set(b)}
+        assert leaks.common_subsequence(a, masks, len(b)) == table[-1][-1]
+
+
+def test_windows_hold_every_run():
+    for kind in "wc":
+        for n in range(leaks.RUN[kind], 120):
+            own = leaks.item_windows(n, kind)
+            assert len({b - a for a, b in own}) == 1
+            assert all(any(a <= at and at + leaks.RUN[kind] <= b for a, b in own) for at in range(n - leaks.RUN[kind] + 1))
 
 
 @pytest.mark.parametrize("which", ["documents", "items"])
