@@ -88,24 +88,47 @@ def one_line(c: Column, most: int) -> Column:
     return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 1), F.lit("…"))).otherwise(t)
 
 
-# Shapes of secrets and of personal data, with what stands in their place.
+# Shapes of secrets and of personal data.
 SECRETS = (
-    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]"),
-    (r"\bsk-[A-Za-z0-9_-]{16,}", "[REDACTED]"),
-    (r"\bgh[pousr]_[A-Za-z0-9]{20,}", "[REDACTED]"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED]"),
-    (r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "[REDACTED]"),
-    (r"(?i)\b(api[_-]?key|token|secret|password)\s*[:=]\s*[^\s,;]{6,}", "$1=[REDACTED]"),
+    r"Bearer\s+[A-Za-z0-9\-._~+/]+=*",
+    r"\bsk-[A-Za-z0-9]{20,}\b",
+    r"\bsk-proj-[A-Za-z0-9\-_]{20,}\b",
+    r"\bsk-ant-[A-Za-z0-9\-_]{20,}\b",
+    r"\bghp_[A-Za-z0-9]{36,}\b",
+    r"\bgho_[A-Za-z0-9]{36,}\b",
+    r"\bghu_[A-Za-z0-9]{36,}\b",
+    r"\bghs_[A-Za-z0-9]{36,}\b",
+    r"\bgithub_pat_[A-Za-z0-9_]{22,}\b",
+    r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+    r"\bAIza[0-9A-Za-z_-]{20,}\b",
+    r"\bAKIA[0-9A-Z]{16}\b",
+    r"\bnpm_[A-Za-z0-9]{36,}\b",
+    r"(?i)\b(?:token|api[_-]?key|secret|password)\s*[:=]\s*[\"']?[^\s\"',;)}\]]{6,}[\"']?\b",
+    r"-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----[\s\S]*?-----END\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----",
+    r"(?<=://)[^@\s]+:[^@\s]+(?=@)",
 )
-PERSONAL = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"), (r"\b1[3-9]\d{9}\b", "[PHONE]"), (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP]"))
+PERSONAL = (r"/home/[^\s\"',;)}\]]+", r"/Users/[^\s\"',;)}\]]+", r"[A-Z]:\\[^\s\"',;)}\]]+", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")
+REDACTED = "[REDACTED]"
 
 
-def redact(c: Column, personal: bool = True) -> Column:
-    for pattern, put in (*SECRETS, *(PERSONAL if personal else ())):
-        c = F.regexp_replace(c, ascii_borders(pattern), put)
+def redact_secrets(c: Column) -> Column:
+    """Without keys, tokens, passwords and credentials in addresses."""
+    for i, pattern in enumerate(SECRETS):
+        c = F.regexp_replace(c, ascii_borders(pattern), f"Bearer {REDACTED}" if i == 0 else REDACTED)
+    return c
+
+
+def redact_personal(c: Column) -> Column:
+    """Without mail addresses and paths of home folders and drives."""
+    for pattern in PERSONAL:
+        c = F.regexp_replace(c, pattern, REDACTED)
     return c
 
 
+def redact(c: Column, personal: bool = True) -> Column:
+    return redact_personal(redact_secrets(c)) if personal else redact_secrets(c)
+
+
 def governance_text(c: Column) -> Column:
     """Lower case without bullets, role prefixes, quotes and punctuation."""
     t = F.regexp_replace(F.lower(c), r"^\s*[-*+•]\s+", "")

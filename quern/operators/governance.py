@@ -15,7 +15,12 @@ from quern.session import cut_lineage
 
 # How likely a candidate of a category is worth keeping, and the weights of the parts of its score.
 PRIORS = {"profile": 0.95, "preferences": 0.9, "entities": 0.75, "events": 0.45, "cases": 0.8, "patterns": 0.85}
-WEIGHTS = {"utility": 0.1, "support": 0.1, "novelty": 0.1, "recency": 0.1, "prior": 0.6}
+WEIGHTS = {"utility": 0.15, "support": 0.15, "novelty": 0.15, "recency": 0.15, "prior": 0.4}
+# The stricter and the more generous preset, as (weights, priors, reject under, admit from, half-life in days).
+PRESETS = {
+    "balanced": (WEIGHTS, PRIORS, 0.45, 0.6, 14.0),
+    "conservative": ({"utility": 0.16, "support": 0.16, "novelty": 0.18, "recency": 0.08, "prior": 0.42}, {"profile": 0.98, "preferences": 0.94, "entities": 0.78, "events": 0.28, "cases": 0.78, "patterns": 0.8}, 0.52, 0.68, 10.0),
+}
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -64,17 +69,22 @@ def support(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "said", "heard").mapInPandas(run, "id string, best double, coverage double, score double")
 
 
-def admission(candidates: DataFrame, matches: DataFrame, now: int, reject_under: float = 0.45, admit_from: float = 0.6, half_life: float = 14.0) -> DataFrame:
-    """id, score, decision, hint for candidates (id, category, support, utility) and their matches (id, similarity, timestamp)."""
+def admission(candidates: DataFrame, matches: DataFrame, now: int, preset: str = "balanced", weights: dict[str, float] | None = None) -> DataFrame:
+    """id, score, decision, hint for candidates (id, category, support, utility) and their matches (id, similarity, timestamp).
+
+    Weights count in proportion to their sum; negative ones count as 0.
+    """
+    given, priors, reject_under, admit_from, half_life = PRESETS[preset]
+    given = {k: max(0.0, v) for k, v in (weights or given).items()}
+    share = {k: v / (sum(given.values()) or 1.0) for k, v in given.items()}
     m = matches.groupBy("id").agg(F.max(F.greatest(F.lit(0.0), "similarity")).alias("nearest"), F.max("timestamp").alias("latest"))
     gap = F.greatest(F.lit(0.0), (F.lit(now) - F.col("latest")) / MS_PER_DAY)
     recency = F.when(F.col("latest").isNull() | (F.col("latest") <= 0), 1.0).otherwise(clamp01(1 - F.exp(-0.6931471805599453 / half_life * gap), 1.0))
     prior = F.lit(0.5)
-    for name, value in PRIORS.items():
+    for name, value in priors.items():
         prior = F.when(F.col("category") == name, value).otherwise(prior)
     joined = candidates.join(m, "id", "left").withColumn("nearest", F.coalesce("nearest", F.lit(0.0)))
-    total = sum(WEIGHTS.values())
-    score = (WEIGHTS["utility"] * F.col("utility") + WEIGHTS["support"] * F.col("support") + WEIGHTS["novelty"] * (1 - F.col("nearest")) + WEIGHTS["recency"] * recency + WEIGHTS["prior"] * prior) / total
+    score = share["utility"] * F.col("utility") + share["support"] * F.col("support") + share["novelty"] * (1 - F.col("nearest")) + share["recency"] * recency + share["prior"] * prior
     scored = joined.withColumn("score", clamp01(score))
     return scored.select("id", "score", F.when(F.col("score") < reject_under, "reject").otherwise("pass_to_dedup").alias("decision"), F.when(F.col("score") < reject_under, None).when((F.col("score") >= admit_from) & (F.col("nearest") < 0.55), "add").otherwise("update_or_merge").alias("hint"))
 
@@ -115,13 +125,15 @@ def accessible(rows: DataFrame, grants: DataFrame) -> DataFrame:
     return rows.join(explicit.unionByName(own).unionByName(default).distinct(), "scope")
 
 
-def version_chains(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def version_chains(edges: DataFrame) -> DataFrame:
     """id, root, depth of versions (id, supersedes): every row with the oldest one that it goes back to.
 
-    Pointer doubling: a chain of n versions takes log2 n joins. Rows in circles are left out.
+    Pointer doubling: a chain of n versions takes log2 n joins, so after that many
+    rounds only rows in circles have a way left; they are left out.
     """
+    rounds = max(1, edges.count()).bit_length() + 1
     state = cut_lineage(edges.select("id", F.col("supersedes").alias("up"), F.when(F.col("supersedes").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.coalesce("supersedes", "id").alias("root")))
-    for _ in range(most_rounds):
+    for _ in range(rounds):
         above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("root").alias("far"))
         state = cut_lineage(state.join(above, "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("far", "root").alias("root")))
         if state.where("up is not null").isEmpty():

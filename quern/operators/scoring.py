@@ -105,11 +105,10 @@ def archive_reasons(scored: DataFrame, now: int, threshold: float = 0.15) -> Dat
     from quern.functions.metadata import expired
 
     bad, c = F.col("bad_recall_count"), F.col("composite")
-    idle = (F.lit(now) - F.col("timestamp")) / MS_PER_DAY
     reason = (
-        F.when(expired(now), "expired").when(F.col("superseded_by").isNotNull() | F.col("invalidated_at").isNotNull() & (F.col("invalidated_at") <= now), "superseded")
-        .when((bad >= 3) & (c < max(threshold, 0.3)), "bad_recall").when(F.col("compacted") & (F.col("source_count") == 0), "compacted_empty").when(F.col("noise"), "noise")
-        .when((F.col("tier") == "peripheral") & (c < threshold) & (F.col("access_count") == 0) & (idle > 30), "stale_unaccessed").when((bad >= 5) & (c < 0.5) & (F.col("tier") != "core"), "bad_recall")
+        F.when(expired(now), "expired").when(F.col("superseded_by").isNotNull(), F.when(F.col("compacted"), "superseded_fragment").otherwise("superseded"))
+        .when((bad >= 3) & (c < max(threshold, 0.3)), "bad_recall").when(F.col("compacted") & (F.col("source_count") == 0), "duplicate_cluster_source").when(F.col("noise"), "noise")
+        .when((c < threshold) & (F.col("tier") == "peripheral") & (F.col("access_count") == 0), "stale_unaccessed").when((bad >= 5) & (c < 0.5) & (F.col("tier") != "core"), "bad_recall")
     )
     skip = (F.col("state") == "archived") | (F.col("layer") == "archive") | (F.col("source") == "session-summary")
     return scored.where(~skip).select("id", _where_any(reason).alias("reason"))

@@ -25,13 +25,13 @@ def asked_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _searchable(candidates(spark, d)).select(F.col("cand_id").alias("qid"), F.col("abstract").alias("query"), "vector", "category")
 
 
-ASK = f"ask AS (SELECT cand_id AS qid, category AS own, vector AS qv FROM {CAND} WHERE batch_id < 40 AND len(vector) = 64 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"
+ASK = f"ask AS (SELECT cand_id AS qid, category AS own, vector AS qv FROM {CAND} WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"
 NEAR = "near AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, 1 / (2 - list_inner_product(qv::DOUBLE[], vector::DOUBLE[]) / (sqrt(list_inner_product(qv::DOUBLE[], qv::DOUBLE[])) * sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])))) AS score FROM good, ask))"
 
 
-@query(with_mem("SELECT qid, id, round(score, 6) AS score FROM near WHERE score >= 0.7 AND rank <= 10", GOOD, ASK, NEAR))
+@query(with_mem("SELECT qid, id, round(score, 6) AS score FROM near WHERE score >= 0.55 AND rank <= 10", GOOD, ASK, NEAR))
 def dedup_prefilter(spark, d):
-    found = search.vector_search(_searchable(mem(spark, d)), asked_candidates(spark, d), 10, 0.7)
+    found = search.vector_search(_searchable(mem(spark, d)), asked_candidates(spark, d), 10, 0.55)
     return found.select("qid", "id", r6(F.col("score")).alias("score"))
 
 
@@ -49,8 +49,8 @@ def novelty_matches(spark, d):
     return out.select(F.col("id").alias("qid"), F.col("match").alias("id"))
 
 
-ADMIT = f"""ADMITTED AS (SELECT qid AS id, greatest(0.0, least(1.0, 0.1 * 0.5 + 0.1 * 0.5 + 0.1 * (1 - nearest) + 0.1 * CASE WHEN latest <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - exp(-0.6931471805599453 / 14.0 * greatest(0.0, ({NOW} - latest) / 86400000.0)))) END
- + 0.6 * CASE own WHEN 'profile' THEN 0.95 WHEN 'preferences' THEN 0.9 WHEN 'entities' THEN 0.75 WHEN 'events' THEN 0.45 WHEN 'cases' THEN 0.8 WHEN 'patterns' THEN 0.85 ELSE 0.5 END)) AS score, nearest
+ADMIT = f"""ADMITTED AS (SELECT qid AS id, greatest(0.0, least(1.0, 0.15 * 0.5 + 0.15 * 0.5 + 0.15 * (1 - nearest) + 0.15 * CASE WHEN latest <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - exp(-0.6931471805599453 / 14.0 * greatest(0.0, ({NOW} - latest) / 86400000.0)))) END
+ + 0.4 * CASE own WHEN 'profile' THEN 0.95 WHEN 'preferences' THEN 0.9 WHEN 'entities' THEN 0.75 WHEN 'events' THEN 0.45 WHEN 'cases' THEN 0.8 WHEN 'patterns' THEN 0.85 ELSE 0.5 END)) AS score, nearest
  FROM (SELECT n.qid, any_value(a.own) AS own, max(greatest(0.0, 2 - 1 / score)) AS nearest, max(m.timestamp) AS latest FROM near n JOIN mem m USING (id) JOIN ask a ON a.qid = n.qid WHERE rank <= 8 GROUP BY 1))"""
 
 
@@ -79,7 +79,7 @@ def compaction(spark, d):
 
 
 @query(
-    f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY entry_index) AS pos FROM (SELECT coalesce(scope, '') AS scope, entry_index, text, importance, category FROM {ONCE} WHERE text IS NOT NULL AND importance IS NOT NULL AND category IS NOT NULL AND entry_index % 3 = 0)),
+    f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY entry_index) AS pos FROM (SELECT coalesce(scope, '') AS scope, entry_index, text, importance, category FROM {ONCE} WHERE text IS NOT NULL AND importance IS NOT NULL AND category IS NOT NULL)),
  v AS (SELECT scope, category, count(*) AS votes, min(pos) AS seen FROM m GROUP BY 1, 2), c AS (SELECT scope, first(category ORDER BY votes DESC, seen) AS category FROM v GROUP BY 1)
  SELECT m.scope AS cluster, least(1.0, max(importance)) AS importance, any_value(c.category) AS category, count(*) AS source_count FROM m JOIN c USING (scope) GROUP BY 1"""
 )
@@ -108,7 +108,7 @@ def scope_access(spark, d):
     return governance.accessible(mem(spark, d).select("id", "scope"), grants).groupBy("agent").agg(F.count("*").alias("n"))
 
 
-CHAINS = f"WITH RECURSIVE v AS (SELECT scope AS s, id, lag(id) OVER (PARTITION BY scope ORDER BY entry_index) AS up FROM {ONCE} WHERE scope IS NOT NULL AND entry_index < 600), r AS (SELECT id, id AS root, 0::BIGINT AS depth FROM v WHERE up IS NULL UNION ALL SELECT v.id, r.root, r.depth + 1 FROM v JOIN r ON v.up = r.id) SELECT id, root, depth FROM r"
+CHAINS = f"WITH RECURSIVE v AS (SELECT scope AS s, id, lag(id) OVER (PARTITION BY scope ORDER BY entry_index) AS up FROM {ONCE} WHERE scope IS NOT NULL), r AS (SELECT id, id AS root, 0::BIGINT AS depth FROM v WHERE up IS NULL UNION ALL SELECT v.id, r.root, r.depth + 1 FROM v JOIN r ON v.up = r.id) SELECT id, root, depth FROM r"
 
 
 @query(CHAINS)
@@ -176,7 +176,7 @@ def last_messages(spark, d):
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("msg_id")))).where("n <= 3").drop("n")
 
 
-LINES = TEXTS.replace("(SELECT msg_id,", "(SELECT lower(trim(session_id)) AS session, msg_id,", 1)
+LINES = TEXTS.replace("(SELECT msg_id, session_id,", "(SELECT lower(trim(session_id)) AS session, msg_id,", 1)
 
 
 @query(f"""WITH l AS (SELECT DISTINCT session, msg_id, t, content FROM {LINES} WHERE session IS NOT NULL),

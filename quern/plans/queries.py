@@ -245,9 +245,22 @@ def tier_transitions(spark, d):
     return scoring.tier_transitions(decayed(spark, d), NOW)
 
 
-@query(with_mem(f"SELECT id, 'stale_unaccessed' AS reason FROM decayed WHERE NOT (state = 'archived' OR layer = 'archive' OR source = 'session-summary') AND tier = 'peripheral' AND composite < 0.15 AND access_count = 0 AND ({NOW} - timestamp) / 86400000.0 > 30", DECAY))
+# facts of the life cycle that the tables lack, by the entry's number, so that each reason comes about
+FACTS = "facts AS (SELECT x.*, CASE WHEN n % 13 = 1 THEN timestamp + 1 END AS valid_until, CASE WHEN n % 13 IN (2, 3) THEN 'x' END AS superseded_by, n % 13 IN (3, 4) AS compacted, CASE WHEN n % 13 = 4 THEN 0 ELSE -1 END AS source_count, n % 13 = 5 AS noise, CASE WHEN n % 13 = 6 THEN 3 WHEN n % 13 = 7 THEN 6 ELSE 0 END AS bad FROM (SELECT decayed.*, d.entry_index AS n FROM decayed JOIN d USING (id)) x)"
+LIFE = f"""SELECT id, reason FROM (SELECT id, CASE WHEN valid_until <= {NOW} THEN 'expired' WHEN superseded_by IS NOT NULL AND compacted THEN 'superseded_fragment' WHEN superseded_by IS NOT NULL THEN 'superseded' WHEN bad >= 3 AND composite < 0.3 THEN 'bad_recall'
+ WHEN compacted AND source_count = 0 THEN 'duplicate_cluster_source' WHEN noise THEN 'noise' WHEN composite < 0.15 AND tier = 'peripheral' AND access_count = 0 THEN 'stale_unaccessed' WHEN bad >= 5 AND composite < 0.5 AND tier <> 'core' THEN 'bad_recall' END AS reason
+ FROM facts WHERE NOT (state = 'archived' OR layer = 'archive' OR source = 'session-summary')) WHERE reason IS NOT NULL"""
+
+
+@query(with_mem(LIFE, DECAY, FACTS))
 def lifecycle_archive(spark, d):
-    return scoring.archive_reasons(decayed(spark, d), NOW)
+    n = F.col("n") % 13
+    rows = decayed(spark, d).join(once(spark, d).select("id", F.col("entry_index").alias("n")), "id")
+    facts = {
+        "valid_until": F.when(n == 1, F.col("timestamp") + 1), "superseded_by": F.when(n.isin(2, 3), "x"), "compacted": n.isin(3, 4), "source_count": F.when(n == 4, 0).otherwise(-1),
+        "noise": n == 5, "bad_recall_count": F.when(n == 6, 3).when(n == 7, 6).otherwise(0),
+    }
+    return scoring.archive_reasons(rows.withColumns(facts), NOW)
 
 
 @query(with_mem("SELECT id, newest_id FROM (SELECT id, l0, confidence, first(id) OVER w AS newest_id, first(l0) OVER w AS nl, first(confidence) OVER w AS nc FROM keyed WHERE fact_key IS NOT NULL AND state <> 'archived' WINDOW w AS (PARTITION BY scope, fact_key ORDER BY timestamp DESC, confidence DESC, id)) WHERE id <> newest_id AND l0 <> nl AND nc >= confidence", KEYED))
@@ -264,11 +277,11 @@ def reflection_scores(spark, d):
 # ---- text rules
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "session_messages").where("type = 'message' and content is not null and not (content like '[{%')").dropDuplicates(["msg_id"]).select("msg_id", "content")
-
-
-TEXTS = "(SELECT msg_id, content, regexp_replace(regexp_replace(content, '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '') AS t FROM session_messages WHERE type = 'message' AND content IS NOT NULL AND NOT (content LIKE '[{%'))"
+#: The text of every message, each once: of repeats the first one loaded, with text before none.
+TEXTS = r"""(SELECT msg_id, session_id, content, regexp_replace(regexp_replace(content, '^[\s\p{Z}\x{FEFF}]+', ''), '[\s\p{Z}\x{FEFF}]+$', '') AS t FROM (
+ SELECT msg_id, session_id, loaded_at, CASE WHEN regexp_matches(content, '^\s*\[\s*(\{|\]|$)') THEN CASE WHEN json_valid(content) THEN coalesce(array_to_string(list_transform(list_filter(json_extract(content, '$[*]'),
+  lambda b: json_extract_string(b, '$.type') = 'text' AND json_extract_string(b, '$.text') IS NOT NULL), lambda b: json_extract_string(b, '$.text')), chr(10)), '') ELSE '' END ELSE content END AS content
+ FROM session_messages WHERE type = 'message' AND content IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY content = '', loaded_at, content) = 1)"""
 
 
 def said(spark: SparkSession, d: str) -> DataFrame:
@@ -285,11 +298,22 @@ def _in_duckdb(pattern: str) -> str:
     return "'" + re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: chr(int(m[1], 16)), pattern).replace("'", "''") + "'"
 
 
-def _noise_sql(t: str) -> str:
-    return f"(length({t}) < 5 OR " + " OR ".join(f"regexp_matches({t}, {_in_duckdb(p)})" for p in (text.DENIAL, text.META_QUESTION, text.BOILERPLATE, text.DIAGNOSTIC, text.REFLECTION_EVENT)) + ")"
+# the patterns of noise written out a second time, for the check
+NOISE_SQL = (
+    r"i don''?t have (any )?(information|data|memory|record)|i''?m not sure about|i don''?t recall|i don''?t remember|it looks like i don''?t|i wasn''?t able to find|no (relevant )?memories found|i don''?t have access to|我没有找到|我不确定|没有相关记忆|抱歉[，,]?我不记得|我无法确认|没有找到相关|我不太清楚",
+    r"\bdo you (remember|recall|know about)\b|\bcan you (remember|recall)\b|\bdid i (tell|mention|say|share)\b|\bhave i (told|mentioned|said)\b|\bwhat did i (tell|say|mention)\b|如果你知道.+只回复|如果不知道.+只回复\s*none|只回复精确代号|只回复\s*none|你还?记得|记不记得|还记得.*吗|你[知晓]道.+吗|我(?:之前|上次|以前)(?:说|提|讲).*(?:吗|呢|？|\?)",
+    r"^(hi|hello|hey|good morning|good evening|greetings)|^fresh session|^new session|^HEARTBEAT",
+    r"\bquery\s*->\s*(none|no explicit solution|unknown|not found)\b|\buser asked for\b.*\b(none|no explicit solution|unknown|not found)\b|\bno explicit solution\b",
+)
+
 
+def NOISY(t: str) -> str:  # noqa: N802  stands in SQL texts
+    """SQL for whether a text is noise."""
+    bare = rf"regexp_replace(regexp_replace({t}, '^[\s\p{{Z}}\x{{FEFF}}]+', ''), '[\s\p{{Z}}\x{{FEFF}}]+$', '')"
+    return f"(length({bare}) < 5 OR " + " OR ".join(f"regexp_matches({bare}, '(?i){p}')" for p in NOISE_SQL) + rf" OR regexp_matches({bare}, '(?m)^reflection-event\s*·'))"
 
-@query(f"SELECT DISTINCT msg_id, {_noise_sql('t')} AS noise FROM {TEXTS}")
+
+@query(f"SELECT DISTINCT msg_id, {NOISY('t')} AS noise FROM {TEXTS}")
 def noise_filter(spark, d):
     return said(spark, d).select("msg_id", text.is_noise(F.col("text")).alias("noise")).distinct()
 
@@ -329,11 +353,31 @@ def ngram_counts(spark, d):
     return table(spark, d, "eval_items").where("length(query) > 3").select("item_id", F.size(F.array_distinct(text.ngrams(F.col("query")))).cast("bigint").alias("grams"))
 
 
-@query(r"SELECT msg_id, regexp_replace(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS masked FROM (SELECT DISTINCT msg_id, content FROM session_messages WHERE regexp_matches(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))")
-def redact_mail(spark, d):
-    pattern, put = text.PERSONAL[0]
-    rows = table(spark, d, "session_messages").select("msg_id", "content").distinct().where(F.col("content").rlike(pattern))
-    return rows.select("msg_id", F.regexp_replace("content", pattern, put).alias("masked"))
+# one example of each shape, put behind every memory's text by its number
+EXAMPLES = (
+    "Bearer abc.def-123==", "sk-" + "a1" * 12, "sk-proj-" + "b_2" * 9, "sk-ant-" + "c-3" * 9, "ghp_" + "d4" * 20, "gho_" + "e5" * 20, "ghu_" + "f6" * 20, "ghs_" + "g7" * 20, "github_pat_" + "h8" * 14, "xoxb-12345-abcdef",
+    "AIza" + "j9" * 14, "AKIA" + "AB12" * 4, "npm_" + "k1" * 20, "password: hunter22x", "-----BEGIN RSA PRIVATE KEY----- zz zz -----END RSA PRIVATE KEY-----", "https://jo:pass@host.example/x", "/home/jo/notes.md", "/Users/jo/x", r"C:\\Users\\jo", "jo.x@mail.example", "nothing",
+)
+REDACT_SQL = (
+    ("\\bsk-[A-Za-z0-9]{20,}\\b", ""), ("\\bsk-proj-[A-Za-z0-9_-]{20,}\\b", ""), ("\\bsk-ant-[A-Za-z0-9_-]{20,}\\b", ""), ("\\bgh[pous]_[A-Za-z0-9]{36,}\\b", ""), ("\\bgithub_pat_[A-Za-z0-9_]{22,}\\b", ""), ("\\bxox[baprs]-[A-Za-z0-9-]{10,}\\b", ""), ("\\bAIza[0-9A-Za-z_-]{20,}\\b", ""),
+    ("\\bAKIA[0-9A-Z]{16}\\b", ""), ("\\bnpm_[A-Za-z0-9]{36,}\\b", ""), ("(?i)\\b(?:token|api[_-]?key|secret|password)\\s*[:=]\\s*[\"'']?[^\\s\"'',;)}\\]]{6,}[\"'']?\\b", ""),
+    ("-----BEGIN\\s+(?:RSA\\s+|EC\\s+|DSA\\s+|OPENSSH\\s+)?PRIVATE\\s+KEY-----(?s:.*?)-----END\\s+(?:RSA\\s+|EC\\s+|DSA\\s+|OPENSSH\\s+)?PRIVATE\\s+KEY-----", ""), ("(://)[^@\\s]+:[^@\\s]+(@)", "12"),
+    ("/home/[^\\s\"'',;)}\\]]+", ""), ("/Users/[^\\s\"'',;)}\\]]+", ""), ("[A-Z]:\\\\[^\\s\"'',;)}\\]]+", ""), ("[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}", ""),
+)
+
+
+def _redact_sql(t: str) -> str:
+    t = f"regexp_replace({t}, 'Bearer\\s+[A-Za-z0-9._~+/-]+=*', 'Bearer [REDACTED]', 'g')"
+    for p, groups in REDACT_SQL:
+        t = f"regexp_replace({t}, '{p}', '{chr(92) + '1[REDACTED]' + chr(92) + '2' if groups else '[REDACTED]'}', 'g')"
+    return t
+
+
+@query(with_mem(f"SELECT id, {_redact_sql('t')} AS redacted FROM (SELECT mem.id, mem.text || ' see ' || [{', '.join(chr(39) + e + chr(39) for e in EXAMPLES)}][1 + entry_index % {len(EXAMPLES)}] || ' there' AS t FROM mem JOIN d USING (id))"))
+def redact_all(spark, d):
+    example = F.element_at(F.array(*map(F.lit, EXAMPLES)), (F.col("entry_index") % len(EXAMPLES) + 1).cast("int"))
+    rows = once(spark, d).select("id", F.concat(F.coalesce("text", F.lit("")), F.lit(" see "), example, F.lit(" there")).alias("t"))
+    return rows.select("id", text.redact(F.col("t")).alias("redacted"))
 
 
 # ---- search
@@ -353,7 +397,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return items.join(F.broadcast(ranked), "qid", "left").unionByName(own)
 
 
-ASKED = "items AS (SELECT item_id AS qid, query FROM eval_items WHERE query IS NOT NULL AND item_id <= 12), vecs AS (SELECT row_number() OVER (ORDER BY entry_index) AS qid, vector AS qv FROM (SELECT * FROM d WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 ORDER BY entry_index LIMIT 12)), asked AS (SELECT i.qid, query, qv FROM items i JOIN vecs USING (qid))"
+ASKED = "items AS (SELECT item_id AS qid, query FROM eval_items WHERE query IS NOT NULL), vecs AS (SELECT row_number() OVER (ORDER BY entry_index) AS qid, vector AS qv FROM (SELECT * FROM d WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 ORDER BY entry_index)), asked AS (SELECT i.qid, query, qv FROM items i JOIN vecs USING (qid) UNION ALL SELECT -1 - entry_index, text, vector FROM d WHERE entry_index % 100 = 0)"
 GOOD = "good AS (SELECT * FROM mem WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"
 DOT = "list_inner_product(qv::DOUBLE[], vector::DOUBLE[]) / (sqrt(list_inner_product(qv::DOUBLE[], qv::DOUBLE[])) * sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])))"
 VEC = f"vec AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, 1 / (2 - {DOT}) AS score FROM good, asked) WHERE score >= 0.3)"
@@ -415,7 +459,7 @@ def recall_hybrid(spark, d):
     return found.select("qid", "id", r6(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(with_mem("SELECT a.id AS id_a, b.id AS id_b FROM small a JOIN small b ON a.scope = b.scope AND a.id < b.id WHERE list_inner_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) / (sqrt(list_inner_product(a.vector::DOUBLE[], a.vector::DOUBLE[])) * sqrt(list_inner_product(b.vector::DOUBLE[], b.vector::DOUBLE[]))) >= 0.88", GOOD, "small AS (SELECT * FROM good WHERE scope = 'agent:main')"))
+@query(with_mem("SELECT a.id AS id_a, b.id AS id_b FROM small a JOIN small b ON a.scope = b.scope AND a.id < b.id WHERE list_inner_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) / (sqrt(list_inner_product(a.vector::DOUBLE[], a.vector::DOUBLE[])) * sqrt(list_inner_product(b.vector::DOUBLE[], b.vector::DOUBLE[]))) >= 0.88", GOOD, "small AS (SELECT * FROM good)"))
 def similar_pairs_of_scope(spark, d):
     return pairs.similar_pairs(_searchable(mem(spark, d)), 0.88, 64).select("id_a", "id_b")
 

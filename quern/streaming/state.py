@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,25 +46,32 @@ def window_counts(events: DataFrame, time_col: str, key: str, size: str = "24 ho
     return rows.groupBy(F.window(time_col, size, step).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def rate_limited_stream(events: DataFrame, most: int, key: str = "session", window_ms: int = HOUR_MS) -> DataFrame:
-    """``rate_limited`` on a stream of (key, at); state: the times still inside the window, dropped after an idle one."""
+def rate_limited_stream(events: DataFrame, most: int, key: str = "session", window_ms: int = HOUR_MS, late: str = "10 minutes") -> DataFrame:
+    """``rate_limited`` on a stream of (key, at, in milliseconds); state: the times inside the window.
+
+    Rows of one micro-batch are counted together, peers of one time with each
+    other as in the batch form; rows come in order from batch to batch, and those
+    behind the watermark are dropped. A key's state ends when the watermark has
+    passed its window, so idle keys hold none, and a query over all files at hand ends.
+    """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = [key, "at", "seen", "allowed"]
         if state.hasTimedOut:
             state.remove()
+            yield pd.DataFrame({c: [] for c in columns}).astype({"at": "int64", "seen": "int64", "allowed": "bool"})
             return
-        times = list(state.get[0]) if state.exists else []
-        for pdf in frames:
-            out = []
-            for at in sorted(pdf["at"].tolist()):
-                times = [t for t in times if t >= at - window_ms] + [at]
-                out.append((k[0], at, len(times), len(times) <= most))
-            yield pd.DataFrame(out, columns=[key, "at", "seen", "allowed"])
-        state.update((times,))
-        state.setTimeoutDuration(window_ms)
+        new = np.sort(np.concatenate([pdf["at"].to_numpy(dtype=np.int64) for pdf in frames]))
+        times = np.sort(np.concatenate((np.array(state.get[0] if state.exists else [], dtype=np.int64), new)))
+        seen = np.searchsorted(times, new, side="right") - np.searchsorted(times, new - window_ms, side="left")
+        kept = times[times >= times[-1] - window_ms]
+        state.update((kept.tolist(),))
+        state.setTimeoutTimestamp(max(int(times[-1]) + window_ms, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({key: [k[0]] * len(new), "at": new, "seen": seen, "allowed": seen <= most})
 
     kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at bigint, seen bigint, allowed boolean", "times array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withColumn("_ts", F.timestamp_millis("at")).withWatermark("_ts", late)
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at bigint, seen bigint, allowed boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def capture_stream(messages: DataFrame, keep: int = 6) -> DataFrame:

@@ -56,9 +56,12 @@ def _drain(frame, name, mode="append"):
         q.stop()
 
 
+T0 = 1_750_000_000_000  # the watermark of a stream begins at 0
+
+
 @pytest.fixture
 def folder(tmp_path, spark):
-    rows = [("s", 0), ("s", 3_600_000), ("s", 3_600_001), ("t", 5)]
+    rows = [("s", T0), ("s", T0 + 3_600_000), ("s", T0 + 3_600_001), ("s", T0 + 3_600_001), ("t", T0 + 5)]
     spark.createDataFrame(rows, "session string, at bigint").coalesce(1).write.parquet(f"{tmp_path}/in")
     return f"{tmp_path}/in"
 
@@ -66,9 +69,19 @@ def folder(tmp_path, spark):
 def test_rate_limit_is_the_same_on_a_stream(spark, folder):
     stream = spark.readStream.schema("session string, at bigint").parquet(folder)
     _drain(state.rate_limited_stream(stream, 1), "limited")
-    got = {(r.session, r.at): (r.seen, r.allowed) for r in spark.table("limited").collect()}
-    want = {(r.session, r.at): (r.seen, r.allowed) for r in state.rate_limited(spark.read.parquet(folder), 1).collect()}
-    assert got == want and want["s", 3_600_001] == (2, False)
+    rows = lambda frame: sorted((r.session, r.at, r.seen, r.allowed) for r in frame.collect())
+    got = rows(spark.table("limited"))
+    assert got == rows(state.rate_limited(spark.read.parquet(folder), 1)) and ("s", T0 + 3_600_001, 3, False) in got and len(got) == 5
+
+
+def test_rate_limit_over_many_batches(spark, tmp_path):
+    """Files one after the other: the state carries the times, and ends behind the watermark."""
+    for i, at in enumerate([0, 1_800_000, 3_600_000, 3_700_000, 20_000_000]):
+        spark.createDataFrame([("s", T0 + at), ("idle", T0 + at)][: 2 if i < 2 else 1], "session string, at bigint").coalesce(1).write.parquet(f"{tmp_path}/all/{i}")
+    stream = spark.readStream.schema("session string, at bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/all/*")
+    _drain(state.rate_limited_stream(stream, 2), "limited_many")
+    got = sorted((r.session, r.at - T0, r.seen) for r in spark.table("limited_many").collect())
+    assert len(got) == 7 and got[-1] == ("s", 20_000_000, 1)
 
 
 def test_capture_cursor(spark, tmp_path):
