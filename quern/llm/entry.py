@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quern.llm import clusters, conversations, leaks, neardup, neighbours, personal, spam, tokens
+from quern.llm import clusters, conversations, leaks, neardup, neighbours, personal, reference_sql, spam, tokens
 
 
 def queries() -> dict[str, Callable]:
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": reference_sql.P1_FOUND, "p4_found": reference_sql.P4_FOUND, "p7_found": reference_sql.P7_FOUND}
