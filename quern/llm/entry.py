@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": reference_sql.P1_FOUND, "p4_found": reference_sql.P4_FOUND, "p7_found": reference_sql.P7_FOUND}
+    return {"p1_found": reference_sql.P1_FOUND, "p3_found": reference_sql.P3_FOUND, "p4_found": reference_sql.P4_FOUND, "p7_found": reference_sql.P7_FOUND}
