@@ -7,15 +7,19 @@ pairs from a distributed join instead of gathering a scope in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.batches import borders, column, whole_groups
+from quern.session import partitions
 
-def _units(vectors: pd.Series) -> list[np.ndarray | None]:
+
+def _units(vectors: Iterable) -> list[np.ndarray | None]:
     out: list[np.ndarray | None] = []
     for v in vectors:
         v = None if v is None else np.asarray(v, dtype=np.float64)
@@ -48,25 +52,35 @@ def diversify(results: DataFrame, threshold: float = 0.85) -> DataFrame:
 def batch_dedup(candidates: DataFrame, threshold: float = 0.85) -> DataFrame:
     """cand_id, batch_id, duplicate_of of candidates that repeat an earlier one of their batch.
 
-    Pairs of a batch come from a join; an earlier candidate counts only if it is no
-    duplicate itself, which the small walk over one batch's pairs decides.
+    Whole batches are handed over many at a time; in one, the candidates are walked
+    in order: those too like one that is kept go with the first such, others are kept.
     """
     w = Window.partitionBy("cand_id").orderBy("created_at", "index")
-    once = candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("batch_id", "index", "cand_id", "vector")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["index", "cand_id"])
-        units, ids, of = _units(pdf["vector"]), list(pdf["cand_id"]), {}
-        for i, u in enumerate(units):
-            if i in of or u is None:
-                continue
-            for j in range(i + 1, len(units)):
-                v = units[j]
-                if j not in of and v is not None and len(u) == len(v) and float(u @ v) > threshold:
-                    of[j] = i
-        return pd.DataFrame({"batch_id": np.full(len(of), pdf["batch_id"].iloc[0], dtype=np.int64), "cand_id": pd.Series([ids[j] for j in of], dtype=object), "duplicate_of": pd.Series([ids[i] for i in of.values()], dtype=object)})
-
-    return once.where("batch_id is not null and cand_id is not null").groupBy("batch_id").applyInPandas(run, "batch_id bigint, cand_id string, duplicate_of string")
+    once = candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1 and batch_id is not null and cand_id is not null").select("batch_id", "index", "cand_id", F.col("vector").cast("array<double>").alias("vector"))
+    schema = pa.schema([("batch_id", pa.int64()), ("cand_id", pa.string()), ("duplicate_of", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "batch_id"):
+            of = column(t, "batch_id")
+            edge = borders(of)
+            ids, units = t.column("cand_id").to_pylist(), _units(t.column("vector").to_pylist())
+            out: list[tuple[int, str, str]] = []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                kept: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+                for i in range(a, b):
+                    if units[i] is None:
+                        continue
+                    names, vectors = kept.setdefault(len(units[i]), ([], []))
+                    near = np.flatnonzero(np.array(vectors) @ units[i] > threshold) if vectors else ()
+                    if len(near):
+                        out.append((int(of[i]), ids[i], ids[names[near[0]]]))
+                    else:
+                        names.append(i), vectors.append(units[i])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    sorted_rows = once.select(F.col("batch_id").cast("bigint").alias("batch_id"), "index", "cand_id", "vector").repartition(partitions(candidates), "batch_id").sortWithinPartitions("batch_id", "index", "cand_id")
+    return sorted_rows.mapInArrow(run, "batch_id bigint, cand_id string, duplicate_of string")
 
 
 def within_budget(lines: DataFrame, most_items: int, most_chars: int) -> DataFrame:

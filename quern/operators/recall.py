@@ -11,6 +11,7 @@ from quern.functions.recall_text import tags
 from quern.functions.text import is_noise
 from quern.operators import scoring
 from quern.operators.search import bm25_search, fuse, top_k, vector_search
+from quern.session import cut_lineage
 
 
 def kept_floor(score: Column, by_keyword: Column, returned: Column) -> Column:
@@ -61,14 +62,14 @@ ROW = ("id", "text", "composite", "tier")
 
 def recall_by_vector(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, pool: int = 20, min_score: float = 0.3) -> DataFrame:
     """Vector search alone through the stages."""
-    live = rows.where(active_at(now) & ~expired(now))
+    live = cut_lineage(rows.where(active_at(now) & ~expired(now)).select(*ROW, "vector"))
     found = vector_search(live, queries, pool, min_score).select("qid", "id", "score", F.lit(None).cast("double").alias("bs"), (2 - 1 / F.col("score")).alias("cosine"))
     return staged(found.join(live.select(*ROW), "id"), k)
 
 
 def recall_by_tags(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, pool: int = 20) -> DataFrame:
     """Keyword search of the queries that name tags; a result must hold all of them."""
-    live = rows.where(active_at(now) & ~expired(now))
+    live = cut_lineage(rows.where(active_at(now) & ~expired(now)).select(*ROW, "vector"))
     asked = queries.select("qid", "query", tags(F.col("query")).alias("tags")).where(F.size("tags") > 0)
     found = bm25_search(live, asked, pool).select("qid", "id", "score", F.col("score").alias("bs"), F.lit(None).cast("double").alias("cosine"))
     held = found.join(live.select(*ROW), "id").join(asked.select("qid", "tags"), "qid")
@@ -77,7 +78,7 @@ def recall_by_tags(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, po
 
 def recall(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, pool: int = 20, min_score: float = 0.3, rank_again: bool = True) -> DataFrame:
     """Both searches, fusion, and the stages; where all results fall under the hard limit they are kept."""
-    live = rows.where(active_at(now) & ~expired(now))
+    live = cut_lineage(rows.where(active_at(now) & ~expired(now)).select(*ROW, "vector"))
     fused = fuse(vector_search(live, queries, pool, 0.1), bm25_search(live, queries, pool)).where(F.col("score") >= min_score)
     near = fused.select("qid", "id", "score", "bs", F.when(F.col("vs").isNotNull(), 2 - 1 / F.col("vs")).otherwise(0.0).alias("cosine"))
     return staged(near.join(live.select(*ROW), "id"), k, keep_all=True, rank_again=rank_again)

@@ -1,28 +1,36 @@
 """Retrieval: vector, BM25 and lexical search, fusion, and the hybrid pipeline.
 
 Queries come as a DataFrame (qid, query, vector), so that many are answered at
-once, however many they are.  Vectors are compared in blocks of ``MOST_QUERIES``
-queries; words of queries and rows meet by joins.
+once.  Vectors and keywords of up to ``MOST_AT_ONCE`` queries are sent to all
+tasks and held against slices of rows in blocks of ``MOST_QUERIES``; more queries
+take more passes over the rows, each result being written before the next one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.batches import ragged
 from quern.functions.metadata import active_at, expired
 from quern.functions.numbers import clamp01
-from quern.functions.text import search_tokens, trimmed
+from quern.functions.text import ngrams, search_tokens, trimmed
 from quern.operators.pairs import unit_matrix
 from quern.operators.scoring import confidence, days_since, length_norm, time_decay
+from quern.session import cut_lineage
 
 #: Queries and rows whose vectors are multiplied at once.
 MOST_QUERIES = 1000
 MOST_ROWS = 4096
+#: Queries of one pass over the rows.
+MOST_AT_ONCE = 20_000
+#: Sums of a keyword search at once.
+MOST_SUMS = 1 << 22
+WORDS = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", digits: int | None = None) -> DataFrame:
@@ -37,6 +45,18 @@ def top_k(scored: DataFrame, k: int, by: str = "score", digits: int | None = Non
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
 
 
+def in_passes(queries: DataFrame, search: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """The results of ``search`` for blocks of at most about ``most`` queries."""
+    passes = -(-queries.count() // most)
+    if passes <= 1:
+        return search(queries)
+    kept, out = cut_lineage(queries.withColumn("_pass", F.pmod(F.xxhash64("qid"), F.lit(passes)))), None
+    for i in range(passes):
+        found = cut_lineage(search(kept.where(F.col("_pass") == i).drop("_pass")))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def vector_search(rows: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.3, now: int | None = None) -> DataFrame:
     """qid, id, score, rank by exact cosine; inactive rows are left out where a clock is given.
 
@@ -46,7 +66,13 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int = 5, min_score: fl
     kept = rows.where(F.size("vector") > 0)
     if now is not None:
         kept = kept.where(active_at(now))
-    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("qv")).where(F.size("qv") > 0).toArrow().combine_chunks()
+    kept = kept.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("qv")).where(F.size("qv") > 0)
+    return in_passes(asked, lambda some: _vector_pass(kept, some, k, min_score), MOST_AT_ONCE)
+
+
+def _vector_pass(kept: DataFrame, queries: DataFrame, k: int, min_score: float) -> DataFrame:
+    asked = queries.toArrow().combine_chunks()
     qids, vectors = (asked.column(c).combine_chunks() for c in (0, 1))
     lengths = vectors.value_lengths().to_numpy()
     blocks: list[tuple[int, pa.Array, np.ndarray]] = []
@@ -56,7 +82,7 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int = 5, min_score: fl
             own = pa.array(of[at : at + MOST_QUERIES])
             q = vectors.take(own).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
             blocks.append((int(dims), qids.take(own), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-    sent = rows.sparkSession.sparkContext.broadcast(blocks)
+    sent = kept.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -78,25 +104,102 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int = 5, min_score: fl
                         yield pa.RecordBatch.from_arrays([of.take(pa.array(i)), batch.column(0).take(pa.array(own[j])), pa.array(score[i, j])], names=["qid", "id", "score"])
 
     kind = dict(queries.dtypes)["qid"]
-    return top_k(kept.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, f"qid {kind}, id string, score double"), k)
+    return top_k(kept.mapInArrow(run, f"qid {kind}, id string, score double"), k)
+
+
+def terms(c: Column, grams: bool = False) -> Column:
+    """Hashes of the words of a text, or of its runs of two and three signs."""
+    found = ngrams(c) if grams else F.regexp_extract_all(F.lower(c), F.lit(WORDS), F.lit(0))
+    return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """qid, id, score, rank: BM25 over search tokens, through a logistic curve.
+def bm25_search(rows: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, grams: bool = False) -> DataFrame:
+    """qid, id, score, rank: BM25 over words (or runs of two and three signs), through a logistic curve.
 
-    Only postings of words that a query has are formed; document frequencies and
-    lengths cover all rows.
+    Document frequencies and lengths cover all rows; frequencies are formed only
+    of what a query holds. Slices of rows are held against one block of queries
+    after the other and keep each query's k best, like vectors.
     """
-    words = rows.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0)).alias("t"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
-    asked = queries.select("qid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0)))).alias("w"))
-    vocabulary = asked.select("w").distinct()
-    postings = words.select("id", F.size("t").alias("len"), F.explode("t").alias("w")).join(vocabulary, "w", "left_semi").groupBy("id", "len", "w").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("w").agg(F.count("*").alias("df"))
-    weight = df.crossJoin(F.broadcast(stats)).select("w", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # stats: one row
-    part = postings.join(weight, "w").withColumn("s", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg"))))
-    raw = part.join(asked, "w").groupBy("qid", "id").agg(F.sum("s").alias("raw"))
-    return top_k(raw.withColumn("score", 1 / (1 + F.exp(-F.col("raw") / 5))), k, digits=9)
+    words = rows.select("id", terms(F.col("text"), grams).alias("t"))
+    asked = queries.select("qid", F.array_distinct(terms(F.col("query"), grams)).alias("qt")).where(F.size("qt") > 0)
+    n, average = words.agg(F.count("*"), F.avg(F.size("t"))).head()
+    return in_passes(asked, lambda some: _keyword_pass(words, some, k, k1, b, n, average or 1.0), MOST_AT_ONCE)
+
+
+def _keyword_pass(words: DataFrame, queries: DataFrame, k: int, k1: float, b: float, n: int, average: float) -> DataFrame:
+    vocabulary = queries.select(F.explode("qt").alias("w")).distinct()
+    df = words.select(F.explode(F.array_distinct("t")).alias("w")).join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count("*").alias("df")).toArrow()
+    word, count = df.column(0).to_numpy(), df.column(1).to_numpy()
+    order = np.argsort(word)
+    word, idf = word[order], np.log(1 + (n - count[order] + 0.5) / (count[order] + 0.5))
+    asked = queries.select("qid", "qt").toArrow().combine_chunks()
+    blocks = []
+    for at in range(0, asked.num_rows, MOST_QUERIES):
+        part = asked.slice(at, MOST_QUERIES)
+        lists = part.column(1).combine_chunks()
+        of = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+        place, there = _places(word, lists.flatten().to_numpy(zero_copy_only=False))
+        of, place = of[there], place[there]
+        by_word = np.argsort(place, kind="stable")
+        blocks.append((part.column(0).combine_chunks(), of[by_word], np.searchsorted(place[by_word], np.arange(len(word) + 1))))
+    sent = words.sparkSession.sparkContext.broadcast((word, idf, blocks))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, idf, blocks = sent.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, MOST_ROWS):
+                batch = whole.slice(start, MOST_ROWS)
+                lists = batch.column(1)
+                length = lists.value_lengths().fill_null(0).to_numpy().astype(np.float64)
+                row = np.repeat(np.arange(batch.num_rows), length.astype(np.int64))
+                place, there = _places(word, lists.flatten().to_numpy(zero_copy_only=False))
+                pair, tf = np.unique(row[there] * max(1, len(word)) + place[there], return_counts=True)
+                row, place = pair // max(1, len(word)), pair % max(1, len(word))
+                weight = idf[place] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / average))
+                for qids, of, edge in blocks:
+                    yield from _best_of_slice(batch.column(0), row, place, weight, qids, of, edge, k)
+
+    kind = dict(queries.dtypes)["qid"]
+    raw = words.mapInArrow(run, f"qid {kind}, id string, raw double")
+    return top_k(raw.select("qid", "id", (1 / (1 + F.exp(-F.col("raw") / 5))).alias("score")), k, digits=9)
+
+
+def _places(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each value among the sorted ones, whether it is there)."""
+    if not len(sorted_values):
+        return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
+    place = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return place, sorted_values[place] == values
+
+
+def _best_of_slice(ids: pa.Array, row: np.ndarray, place: np.ndarray, weight: np.ndarray, qids: pa.Array, of: np.ndarray, edge: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of each query among a slice, a part of the rows at a time."""
+    many = edge[place + 1] - edge[place]
+    total = np.cumsum(many)
+    at = 0
+    while at < len(row):
+        # whole rows, until the sums are enough or the matrix is
+        stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + MOST_SUMS, side="right"))
+        stop = min(max(stop, at + 1), int(np.searchsorted(row, row[at] + max(1, MOST_SUMS // len(qids)))))
+        stop = int(np.searchsorted(row, row[max(stop - 1, at)], side="right")) if stop >= len(row) or row[stop] == row[stop - 1] else stop
+        own = slice(at, stop)
+        first, last = int(row[at]), int(row[stop - 1])
+        q = of[ragged(edge[place[own]], many[own])]
+        cell = (np.repeat(row[own], many[own]) - first) * len(qids) + q
+        sums = np.bincount(cell, weights=np.repeat(weight[own], many[own]), minlength=(last - first + 1) * len(qids)).reshape(-1, len(qids)).T
+        score = np.round(1 / (1 + np.exp(-sums / 5)), 9)  # what is a tie here is one in the end
+        least = np.partition(score, -k, axis=1)[:, -k] if sums.shape[1] > k else np.zeros(len(qids))
+        i, j = np.nonzero((score >= least[:, None]) & (sums > 0))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), ids.take(pa.array(j + first)), pa.array(sums[i, j])], names=["qid", "id", "raw"])
+        at = stop
+
+
+def keyword_search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """qid, id, score, rank of the keyword search; queries that find nothing there are searched by their tokens."""
+    found = bm25_search(rows, queries, k)
+    rest = queries.join(found.select("qid").distinct(), "qid", "left_anti")
+    return found.unionByName(lexical_search(rows, rest, k))
 
 
 def lexical_score(matched: Column, size: Column, literal: Column, weight: Column) -> Column:
@@ -145,7 +248,8 @@ def hybrid(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, pool: int
 
     Only the pools (at most ``2 pool`` rows a query) go through the stages.
     """
-    live = rows.where(active_at(now) & ~expired(now))
+    # read by both searches and for the stages: parsed once
+    live = cut_lineage(rows.where(active_at(now) & ~expired(now)).select("id", "text", "vector", "timestamp", "access_count", "confidence", "temporal_type"))
     fused = fuse(vector_search(live, queries, pool, 0.1), bm25_search(live, queries, pool)).where(F.col("score") >= min_score)
     found = fused.select("qid", "id", "score").join(live.select("id", "text", "timestamp", "access_count", "confidence", "temporal_type"), "id")
     age = days_since(F.col("timestamp"), now)

@@ -545,22 +545,38 @@ def adapted_priors(spark, d):
     return rollups.adapted_priors(observed, priors).select("category", r6(F.col("prior")).alias("prior"))
 
 
-# ---- greedy operators: results depend on order, so tests hold them against plain loops
+# ---- greedy operators: results depend on order; the SQL walks lists or places
 
+UNIT = "list_transform({0}::DOUBLE[], lambda x: x / sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[])))"
+KEEP = "list_reduce(list_concat([list_slice(cs, 1, 0)], list_transform(cs, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: len(y.v) = len(x[1].v) AND list_inner_product(y.v, x[1].v) > 0.85)) > 0 THEN acc ELSE list_concat(acc, x) END)"
+BATCHES = f"""WITH c AS (SELECT batch_id, index, cand_id, {UNIT.format('vector')} AS v FROM (SELECT * FROM extraction_candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY created_at, index) = 1)
+  WHERE batch_id IS NOT NULL AND cand_id IS NOT NULL AND len(vector) > 0 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+k AS (SELECT batch_id, {KEEP} AS kept FROM (SELECT batch_id, list({{'id': cand_id, 'v': v}} ORDER BY index, cand_id) AS cs FROM c GROUP BY 1))
+SELECT c.cand_id, c.batch_id, list_filter(kept, lambda y: len(y.v) = len(c.v) AND list_inner_product(y.v, c.v) > 0.85)[1].id AS duplicate_of FROM c JOIN k USING (batch_id) WHERE len(list_filter(kept, lambda y: y.id = c.cand_id)) = 0"""
 
-@query()
+
+@query(BATCHES)
 def batch_dedup(spark, d):
     return greedy.batch_dedup(table(spark, d, "extraction_candidates"))
 
 
-@query()
+SPREAD = f"pool AS (SELECT vec.*, {UNIT.format('vector')} AS v FROM vec JOIN good USING (id) WHERE rank <= 20), kk AS (SELECT qid, {KEEP} AS kept FROM (SELECT qid, list({{'id': id, 'v': v}} ORDER BY score DESC, id) AS cs FROM pool GROUP BY 1))"
+
+
+@query(with_mem("SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY len(list_filter(kept, lambda y: y.id = pool.id)) DESC, score DESC, id) AS place FROM pool JOIN kk USING (qid)", ASKED, GOOD, VEC, SPREAD))
 def mmr_diversity(spark, d):
     rows = _searchable(mem(spark, d))
     found = search.vector_search(rows, _asked(spark, d), 20)
     return greedy.diversify(found.join(rows.select("id", "vector"), "id")).select("qid", "id", r6(F.col("score")).alias("score"), "place")
 
 
-@query()
+BUDGET = r"""lines AS (SELECT qid, rank AS place, id, prefix, CASE WHEN length(s) > 180 THEN substr(s, 1, 179) || '…' ELSE s END AS summary FROM (SELECT qid, rank, id, '[' || memory_category || ':' || scope || '] ' AS prefix, regexp_replace(regexp_replace(regexp_replace(l0, '\s+', ' ', 'g'), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') AS s FROM kw JOIN mem USING (id) WHERE rank <= 10)),
+walk AS (SELECT DISTINCT qid, 0::BIGINT AS place, 0::BIGINT AS used, 0::BIGINT AS n, false AS stop, NULL::VARCHAR AS id, NULL::VARCHAR AS line FROM lines
+ UNION ALL SELECT qid, place, CASE WHEN fits THEN used + gap + length(prefix || summary) ELSE used END, CASE WHEN fits THEN n + 1 ELSE n END, room <= 0 OR (NOT fits AND short <> ''), id, CASE WHEN room <= 0 THEN NULL WHEN fits THEN prefix || summary WHEN short <> '' THEN prefix || short END
+ FROM (SELECT *, length(prefix || summary) <= room AS fits, CASE WHEN room > length(prefix) THEN trim(substr(summary, 1, (room - length(prefix))::BIGINT)) ELSE '' END AS short FROM (SELECT l.*, w.used, w.n, CASE WHEN w.n > 0 THEN 1 ELSE 0 END AS gap, 800 - w.used - CASE WHEN w.n > 0 THEN 1 ELSE 0 END AS room FROM walk w JOIN lines l ON l.qid = w.qid AND l.place = w.place + 1 WHERE NOT w.stop AND w.n < 6)))"""
+
+
+@query(with_mem("SELECT qid, id, line FROM walk WHERE line IS NOT NULL", ASKED, BM25, BUDGET).replace("WITH ", "WITH RECURSIVE ", 1))
 def recall_within_budget(spark, d):
     rows = mem(spark, d)
     found = search.bm25_search(rows, _asked(spark, d), 10).join(rows.select("id", "l0", "scope", "memory_category"), "id")
@@ -568,6 +584,21 @@ def recall_within_budget(spark, d):
     return greedy.within_budget(lines, 6, 800)
 
 
+GRAMS = "list_concat([substr({0}, i, 2) FOR i IN range(1, greatest(length({0}), 1))], [substr({0}, i, 3) FOR i IN range(1, greatest(length({0}) - 1, 1))])"
+GRAM_SEARCH = f"""words AS (SELECT id, {GRAMS.format('low')} AS t FROM (SELECT id, lower(text) AS low FROM mem)), stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM words),
+ask AS (SELECT DISTINCT qid, unnest({GRAMS.format('low')}) AS w FROM (SELECT qid, lower(query) AS low FROM asked WHERE qid > 0)),
+post AS (SELECT id, len, w, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS w FROM words) WHERE w IN (SELECT w FROM ask) GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM post GROUP BY 1),
+raw AS (SELECT qid, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS raw FROM post JOIN df USING (w) JOIN ask USING (w), stats GROUP BY 1, 2),
+kw AS (SELECT qid, id, raw, row_number() OVER (PARTITION BY qid ORDER BY round(1 / (1 + exp(-raw / 5)), 9) DESC, id) AS rank FROM raw)"""
+
+
+@query(with_mem("SELECT qid, id, round(1 / (1 + exp(-raw / 5)), 6) AS score, rank FROM kw WHERE rank <= 5", ASKED, GRAM_SEARCH))
+def bm25_grams(spark, d):
+    """Keyword search over runs of two and three signs, for the evaluation items."""
+    found = search.bm25_search(mem(spark, d), _asked(spark, d).where("qid > 0"), grams=True)
+    return found.select("qid", "id", r6(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query()
 def compress_sessions(spark, d):
     rows = table(spark, d, "session_messages").where("type = 'message' and content is not null and session_id is not null").dropDuplicates(["msg_id"])
