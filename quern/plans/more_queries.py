@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import classify, numbers, text
 from quern.operators import governance, greedy, pairs, search
-from quern.plans.queries import DAY, GOOD, ONCE, TEXTS, _asked, _in_duckdb, _searchable, mem, once, query, r6, said
+from quern.plans.queries import ASKED, DAY, GOOD, ONCE, SEEDS, TEXTS, _asked, _in_duckdb, _searchable, mem, once, query, r6, said, walking
 from quern.plans.reference_sql import NOW, with_mem
 from quern.session import table
 from quern.streaming import state
@@ -68,13 +68,20 @@ def confidence_support(spark, d):
     return governance.support(c).select("id", *(r6(F.col(x)).alias(x) for x in ("best", "coverage", "score")))
 
 
-@query()
+MERGED = r"""mb AS (SELECT seeds.seed AS cluster, sg.*, row_number() OVER (PARTITION BY seeds.seed ORDER BY sg.id <> seeds.seed, sg.n) AS pos FROM seeds JOIN sg USING (id)),
+lines AS (SELECT cluster, pos, n2, regexp_replace(regexp_replace(line, '^[\s\p{Z}\x{FEFF}]+', ''), '[\s\p{Z}\x{FEFF}]+$', '') AS line FROM (SELECT cluster, pos, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n2 FROM mb)),
+kept AS (SELECT * FROM lines WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY cluster, lower(line) ORDER BY pos, n2) = 1),
+votes AS (SELECT cluster, first(category ORDER BY n DESC, seen) AS category FROM (SELECT cluster, category, count(*) AS n, min(pos) AS seen FROM mb GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(walking("SELECT mb.cluster, coalesce(any_value(t.text), '') AS text, least(1.0, max(importance)) AS importance, any_value(votes.category) AS category, arg_min(mb.scope, pos) AS scope, count(*) AS source_count FROM mb LEFT JOIN (SELECT cluster, string_agg(line, chr(10) ORDER BY pos, n2) AS text FROM kept GROUP BY 1) t ON t.cluster = mb.cluster LEFT JOIN votes ON votes.cluster = mb.cluster GROUP BY 1", GOOD, SEEDS, MERGED))
 def compaction(spark, d):
-    """Clusters around seeds, merged into one record each."""
+    """Clusters around seeds, merged into one record each: the seed first, then the others in the order of the input."""
     rows = _searchable(mem(spark, d))
     clusters = pairs.seed_clusters(rows)
-    w = Window.partitionBy("cluster").orderBy(F.col("id") != F.col("cluster"), "id")
-    members = clusters.select(F.col("seed").alias("cluster"), "id").join(rows.select("id", "text", "importance", "category", "scope"), "id").withColumn("pos", F.row_number().over(w))
+    placed = rows.select("id", "text", "importance", "category", "scope").join(once(spark, d).select("id", "entry_index"), "id")
+    w = Window.partitionBy("cluster").orderBy(F.col("id") != F.col("cluster"), "entry_index")
+    members = clusters.select(F.col("seed").alias("cluster"), "id").join(placed, "id").withColumn("pos", F.row_number().over(w))
     return governance.merged_clusters(members)
 
 
@@ -186,9 +193,17 @@ def conversation_value(spark, d):
     return governance.conversation_value(said(spark, d).where("session is not null"))
 
 
-@query()
+_SIGN = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{ac00}-\x{d7af}]"
+TOKENS = rf"list_distinct(flatten(list_transform(regexp_extract_all(lower({{0}}), '{_SIGN}+|[\p{{{{Latin}}}}\p{{{{Greek}}}}\p{{{{Cyrillic}}}}\p{{{{N}}}}]+'), lambda w: CASE WHEN regexp_matches(w, '^{_SIGN}') THEN list_concat(string_split(w, ''), list_transform(range(1, greatest(length(w), 2)), lambda i: substr(w, i::BIGINT, 2))) ELSE [w] END)))"
+_BARE = r"regexp_replace(regexp_replace({0}, '^[\s\p{{Z}}\x{{FEFF}}]+', ''), '[\s\p{{Z}}\x{{FEFF}}]+$', '')"
+LEXICAL = f"""tk AS (SELECT id, text, unnest({TOKENS.replace("{{", "{").replace("}}", "}").replace("{0}", "text")}) AS w FROM mem), qt AS (SELECT qid, query, toks, unnest(toks) AS w FROM (SELECT qid, query, {TOKENS.replace("{{", "{").replace("}}", "}").replace("{0}", "query")} AS toks FROM asked)),
+hits AS (SELECT qid, id, any_value(query) AS query, any_value(text) AS text, any_value(len(toks)) AS size, count(*) AS matched FROM tk JOIN qt USING (w) GROUP BY 1, 2),
+lx AS (SELECT qid, id, least(0.95, greatest(0.5 + 0.42 * matched / size, CASE WHEN contains(lower({_BARE.format('text')}), lower({_BARE.format('query')})) THEN 0.88 ELSE 0 END, CASE WHEN matched = size THEN 0.92 ELSE 0 END)) AS score FROM hits)"""
+
+
+@query(with_mem("SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM lx) WHERE rank <= 5", ASKED, LEXICAL))
 def lexical_search(spark, d):
-    return search.lexical_search(mem(spark, d), _asked(spark, d)).select("qid", "id", r6(F.col("score")).alias("score"), "rank")
+    return search.lexical_search(mem(spark, d), _asked(spark, d)).select("qid", "id", r6(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(with_mem("SELECT id, substr(CASE WHEN l > 80 THEN substr(s, 1, 79) || '…' ELSE s END, 1, 80) AS line FROM (SELECT id, s, length(s) AS l FROM (SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '') AS s FROM mem))"))

@@ -464,7 +464,20 @@ def similar_pairs_of_scope(spark, d):
     return pairs.similar_pairs(_searchable(mem(spark, d)), 0.88, 64).select("id_a", "id_b")
 
 
-@query()
+UNIT = "list_transform({0}::DOUBLE[], lambda x: x / sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[])))"
+SEEDS = f"""sg AS (SELECT good.id, good.scope, good.text, good.importance, good.category, d.entry_index AS n, {UNIT.format('good.vector')} AS v FROM good JOIN d USING (id)),
+nb AS (SELECT a.scope, a.id, list(b.id) AS near FROM sg a JOIN sg b ON a.scope = b.scope AND a.id <> b.id AND list_inner_product(a.v, b.v) >= 0.88 GROUP BY 1, 2),
+od AS (SELECT nb.*, row_number() OVER (PARTITION BY nb.scope ORDER BY sg.importance DESC, nb.id) AS i FROM nb JOIN sg USING (id)),
+sw AS (SELECT DISTINCT scope, 0::BIGINT AS i, []::VARCHAR[] AS taken, NULL::VARCHAR AS seed, []::VARCHAR[] AS members FROM od
+ UNION ALL SELECT scope, i, CASE WHEN new THEN list_concat(taken, members) ELSE taken END, CASE WHEN new THEN id END, members FROM (SELECT *, NOT list_contains(taken, id) AND len(members) > 1 AS new FROM (SELECT od.scope, od.i, od.id, sw.taken, list_concat([od.id], list_filter(od.near, lambda x: NOT list_contains(sw.taken, x))) AS members FROM sw JOIN od ON od.scope = sw.scope AND od.i = sw.i + 1))),
+seeds AS (SELECT scope, seed, unnest(members) AS id FROM sw WHERE seed IS NOT NULL)"""
+
+
+def walking(body: str, *more: str) -> str:
+    return with_mem(body, *more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(walking("SELECT scope, seed, id FROM seeds", GOOD, SEEDS))
 def seed_clusters(spark, d):
     return pairs.seed_clusters(_searchable(mem(spark, d))).select("scope", "seed", "id")
 
@@ -547,7 +560,6 @@ def adapted_priors(spark, d):
 
 # ---- greedy operators: results depend on order; the SQL walks lists or places
 
-UNIT = "list_transform({0}::DOUBLE[], lambda x: x / sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[])))"
 KEEP = "list_reduce(list_concat([list_slice(cs, 1, 0)], list_transform(cs, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: len(y.v) = len(x[1].v) AND list_inner_product(y.v, x[1].v) > 0.85)) > 0 THEN acc ELSE list_concat(acc, x) END)"
 BATCHES = f"""WITH c AS (SELECT batch_id, index, cand_id, {UNIT.format('vector')} AS v FROM (SELECT * FROM extraction_candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY created_at, index) = 1)
   WHERE batch_id IS NOT NULL AND cand_id IS NOT NULL AND len(vector) > 0 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
