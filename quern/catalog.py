@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import more_queries, recall_queries, store_queries  # noqa: F401  they register their queries
+from quern.plans import more_queries, recall_queries, session_queries, store_queries  # noqa: F401  they register their queries
 from quern.plans import queries as stored
 
 FLAGSHIP = "recall_hybrid"

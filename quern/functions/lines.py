@@ -122,7 +122,7 @@ def conflicting(a: Column, b: Column) -> Column:
 
 def steps(c: Column, most: int = 3) -> Column:
     """Lines and sentences of 12 to 180 signs that say what was done, to be used again."""
-    parts = F.transform(F.split(c, r"[\n。；;]+|(?<=[.!?])\s+"), lambda x: trimmed(F.regexp_replace(x, r"^\s*(?:[-*+•]|\d+[.)])\s*", "")))
+    parts = F.transform(F.split(c, r"\r?\n|[。！？!?]"), lambda x: trimmed(F.regexp_replace(x, r"(?i)^\s*(?:user|assistant)\s*:\s*", "")))
     return F.slice(F.array_distinct(F.filter(parts, lambda x: F.length(x).between(12, 180) & any_of(x, STEP))), 1, most)
 
 

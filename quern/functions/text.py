@@ -140,7 +140,7 @@ def governance_text(c: Column) -> Column:
 def lesson_text(c: Column) -> Column:
     """Paths, hexadecimal ids and numbers masked, at most 240 characters."""
     t = F.regexp_replace(F.lower(c), r"(?:[a-z]:)?(?:/[\w.\-]+){2,}", "<path>")
-    t = F.regexp_replace(t, r"\b0x[0-9a-f]+\b|\b[0-9a-f]{8,}\b", "<hex>")
+    t = F.regexp_replace(t, ascii_borders(r"\b0x[0-9a-f]+\b|\b[0-9a-f]{8,}\b"), "<hex>")
     t = F.regexp_replace(t, r"\d+", "#")
     return F.substring(trimmed(F.regexp_replace(t, r"\s+", " ")), 1, 240)
 

@@ -71,7 +71,7 @@ def similar_pairs(rows: DataFrame, threshold: float, dims: int, group: str = "sc
     return keyed.repartition(width, "key").sortWithinPartitions("key").mapInArrow(multiply, "grp string, id_a string, id_b string, similarity double").withColumnRenamed("grp", group)
 
 
-def seed_clusters(rows: DataFrame, threshold: float = 0.88, dims: int = 64, most_rounds: int = 1000) -> DataFrame:
+def seed_clusters(rows: DataFrame, threshold: float = 0.88, dims: int = 64) -> DataFrame:
     """scope, seed, id: clusters around seeds, the most important row first, ties by id.
 
     The walk over all rows is the same as rounds in which every open row that comes
@@ -86,7 +86,7 @@ def seed_clusters(rows: DataFrame, threshold: float = 0.88, dims: int = 64, most
     both = pairs.select("scope", F.col("id_a").alias("src"), F.col("id_b").alias("dst")).unionByName(pairs.select("scope", F.col("id_b").alias("src"), F.col("id_a").alias("dst")))
     live = cut_lineage(both.join(rank.select(F.col("id").alias("src"), F.col("r").alias("rs")), "src").join(rank.select(F.col("id").alias("dst"), F.col("r").alias("rd")), "dst").select("scope", "src", "dst", "rs", "rd"))
     out = None
-    for _ in range(most_rounds):
+    while True:  # at least the first open row becomes a seed in every round
         seeds = live.groupBy("scope", "src", "rs").agg(F.min("rd").alias("first")).where("rs < first").select("scope", F.col("src").alias("seed"), F.col("rs").alias("rank"))
         # an open row goes to the earliest seed that it is similar to, which is earlier than itself
         taken = live.join(seeds.select(F.col("seed").alias("dst")), "dst", "left_semi").groupBy("scope", "src").agg(F.min("rd").alias("by")).select("scope", F.col("by.id").alias("seed"), F.col("src").alias("id"))
