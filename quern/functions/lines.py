@@ -90,7 +90,7 @@ def error_summary(c: Column, most: int = 220) -> Column:
 
 def for_context(c: Column, most: int = 300) -> Column:
     """A text that may stand inside a prompt: one line, no tags, no angle brackets."""
-    t = F.regexp_replace(F.regexp_replace(c, r"[\r\n]+", r"\\\\n"), r"</?[a-zA-Z][^>]*>", "")
+    t = F.regexp_replace(F.regexp_replace(c, r"[\r\n]+", r"\\n"), r"</?[a-zA-Z][^>]*>", "")
     return F.left(trimmed(F.regexp_replace(F.translate(t, "<>", "＜＞"), r"\s+", " ")), F.lit(most))
 
 

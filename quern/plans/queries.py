@@ -613,9 +613,9 @@ def bm25_grams(spark, d):
 
 @query()
 def compress_sessions(spark, d):
-    rows = table(spark, d, "session_messages").where("type = 'message' and content is not null and session_id is not null").dropDuplicates(["msg_id"])
-    reason = classify.line_reason(F.col("content"))
-    lines = rows.select(F.lower(F.trim("session_id")).alias("session"), F.col("msg_id").alias("pos"), F.col("content").alias("text"), reason.alias("reason")).withColumn("score", classify.line_score(F.col("reason")))
+    rows = said(spark, d).where("session is not null")
+    reason = classify.line_reason(F.col("text"))
+    lines = rows.select("session", F.col("msg_id").alias("pos"), "text", reason.alias("reason")).withColumn("score", classify.line_score(F.col("reason")))
     return greedy.compress_session(lines, 600)
 
 

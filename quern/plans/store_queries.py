@@ -261,7 +261,7 @@ def governance_rules(spark, d):
     return said(spark, d).select("msg_id", F.concat_ws(" ", r["topic"], r["polarity"]).alias("rule")).withColumn("rule", F.nullif("rule", F.lit("")))
 
 
-@query(with_mem(r"SELECT id, substr(regexp_replace(regexp_replace(trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(text, '[\r\n]+', '\\\\n', 'g'), '</?[a-zA-Z][^>]*>', '', 'g'), '<', '＜'), '>', '＞'), '\s+', ' ', 'g')), '^[\s\p{Z}\x{FEFF}]+', ''), '[\s\p{Z}\x{FEFF}]+$', ''), 1, 300) AS line FROM mem"))
+@query(with_mem(r"SELECT id, substr(regexp_replace(regexp_replace(trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(text, '[\r\n]+', '\\n', 'g'), '</?[a-zA-Z][^>]*>', '', 'g'), '<', '＜'), '>', '＞'), '\s+', ' ', 'g')), '^[\s\p{Z}\x{FEFF}]+', ''), '[\s\p{Z}\x{FEFF}]+$', ''), 1, 300) AS line FROM mem"))
 def sanitize_for_context(spark, d):
     return mem(spark, d).select("id", lines.for_context(F.col("text")).alias("line"))
 
