@@ -110,7 +110,7 @@ def test_support(spark):
 
 def test_version_chains(spark):
     rows = [(f"v{i}", f"v{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "x")]
-    got = {r.id: (r.root, r.depth) for r in governance.version_chains(spark.createDataFrame(rows, "id string, supersedes string"), most_rounds=8).collect()}
+    got = {r.id: (r.root, r.depth) for r in governance.version_chains(spark.createDataFrame(rows, "id string, supersedes string")).collect()}
     assert got == {f"v{i}": ("v0", i) for i in range(40)}
 
 
