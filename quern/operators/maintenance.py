@@ -143,3 +143,31 @@ def primers(rows: DataFrame, now: int, most: int = 4) -> DataFrame:
 def paged(rows: DataFrame, keep: Column, offset: int, limit: int) -> DataFrame:
     """A page of the rows that pass a filter, newest first: the filter comes before the page, so no scan has a limit."""
     return rows.where(keep).orderBy(F.col("timestamp").desc_nulls_last(), "id").offset(offset).limit(limit)
+
+
+def quality_flags(now: int) -> Column:
+    """What speaks against a row: bad_recall, suppressed, low_confidence, inactive."""
+    held = (F.col("suppressed_until_at") >= now) & F.col("suppressed_session_key").isNotNull() & (F.col("suppressed_until_turn") > 0)
+    off = (F.col("state") == "archived") | ~active_at(now)
+    flags = (("bad_recall", F.col("bad_recall_count") > 0), ("suppressed", held), ("low_confidence", F.col("confidence") < 0.4), ("inactive", off))
+    return F.filter(F.array(*(F.when(F.coalesce(hit, F.lit(False)), name) for name, hit in flags)), lambda f: f.isNotNull())
+
+
+def shown_row(rows: DataFrame, now: int, most: int = 180) -> DataFrame:
+    """id, preview, age, tier, flags: a row as it is listed, without secrets and personal data."""
+    from quern.functions.lines import age_label
+    from quern.functions.text import redact
+
+    text = trimmed(F.regexp_replace(redact(F.col("text")), r"\s+", " "))
+    preview = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
+    return rows.select("id", preview.alias("preview"), age_label(F.col("timestamp"), now).alias("age"), "tier", quality_flags(now).alias("flags"))
+
+
+def recalls_for(session_key: Column, agent: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
+    """Whether memories are recalled for a session: never below another one; a list of agents wins over those left out."""
+    wanted = agent.isin(*include) if include else ~agent.isin("cron", *exclude)
+    return ~F.coalesce(session_key, F.lit("")).contains(":subagent:") & F.coalesce(wanted, F.lit(not include))
+
+
+def manual_layer(category: Column) -> Column:
+    return F.when(category.isin("preference", "decision", "fact"), "durable").otherwise("working")

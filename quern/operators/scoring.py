@@ -5,7 +5,7 @@ Every function takes the clock as an argument and works on normalised rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import MS_PER_DAY, clamp01
@@ -125,6 +125,31 @@ def contradictions(rows: DataFrame) -> DataFrame:
     return seen.where((F.col("id") != F.col("newest_id")) & (F.col("l0") != F.col("newest_l0")) & (F.col("newest_conf") >= F.col("confidence"))).select("id", "newest_id")
 
 
+def contradiction_plan(rows: DataFrame) -> DataFrame:
+    """id, newest_id of preferences, entities and patterns that a newer, no less confident row of their scope and topic contradicts.
+
+    The topic is the fact's key, else the standing rule that a text states, else the
+    canonical id. The newest of a topic contradicts an older row of the same fact
+    with another abstract, of an opposite rule, or of the same canonical id.
+    """
+    from quern.functions.lines import conflicting, governance_rule
+
+    c = F.col("memory_category")
+    rule = F.when(c.isin("patterns", "preferences"), governance_rule(F.col("l0")))
+    named = F.when(c.isin("patterns", "preferences"), F.col("canonical_id"))
+    keyed = rows.where(c.isin("preferences", "entities", "patterns") & (F.col("state") != "archived")).withColumn("rule", rule)
+    topic = F.coalesce(F.when(c.isin("preferences", "entities"), F.col("fact_key")), F.col("rule")["topic"], named)
+    keyed = keyed.withColumn("topic", topic).where("topic is not null")
+    w = Window.partitionBy("scope", "topic").orderBy(F.desc("timestamp"), F.desc("confidence"), "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    new = F.first(F.struct("id", "l0", "confidence", "fact_key", "canonical_id", "rule")).over(w)
+    both = keyed.withColumn("new", new).where((F.col("id") != F.col("new.id")) & F.col("superseded_by").isNull() & (F.col("new.confidence") >= F.col("confidence")))
+    other = F.col("l0") != F.col("new.l0")
+    same_fact = c.isin("preferences", "entities") & (F.col("fact_key") == F.col("new.fact_key")) & other
+    same_id = ~c.isin("patterns", "preferences") & (F.col("canonical_id") == F.col("new.canonical_id")) & other
+    hit = F.coalesce(same_fact, F.lit(False)) | (c.isin("patterns", "preferences") & conflicting(F.col("rule"), F.col("new.rule"))) | F.coalesce(same_id, F.lit(False))
+    return both.where(hit).select("id", F.col("new.id").alias("newest_id"))
+
+
 def reflection_score(age_days: Column, midpoint: Column, k: Column, weight: Column, quality: Column, fallback: Column) -> Column:
     """Logistic decay around a midpoint of days."""
     return 1 / (1 + F.exp(k * (age_days - midpoint))) * weight * quality * F.when(fallback, 0.75).otherwise(1.0)

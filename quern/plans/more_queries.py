@@ -9,7 +9,7 @@ from quern.functions import classify, numbers, text
 from quern.operators import governance, greedy, pairs, search
 from quern.plans.queries import ASKED, DAY, GOOD, ONCE, SEEDS, TEXTS, _asked, _in_duckdb, _searchable, mem, once, query, r6, said, walking
 from quern.plans.reference_sql import NOW, with_mem
-from quern.session import table
+from quern.session import cut_lineage, table
 from quern.streaming import state
 
 CAND = "(SELECT * FROM extraction_candidates QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY created_at) = 1)"
@@ -57,7 +57,7 @@ ADMIT = f"""ADMITTED AS (SELECT qid AS id, greatest(0.0, least(1.0, 0.15 * 0.5 +
 @query(with_mem("SELECT id, round(score, 6) AS score, CASE WHEN score < 0.45 THEN 'reject' ELSE 'pass_to_dedup' END AS decision, CASE WHEN score < 0.45 THEN NULL WHEN score >= 0.6 AND nearest < 0.55 THEN 'add' ELSE 'update_or_merge' END AS hint FROM ADMITTED", GOOD, ASK, NEAR, ADMIT))
 def admission(spark, d):
     rows, asked = _searchable(mem(spark, d)), asked_candidates(spark, d)
-    found = search.vector_search(rows, asked, 8, 0.0).join(rows.select("id", "timestamp"), "id").select(F.col("qid").alias("id"), (2 - 1 / F.col("score")).alias("similarity"), "timestamp")
+    found = cut_lineage(search.vector_search(rows, asked, 8, 0.0)).join(rows.select("id", "timestamp"), "id").select(F.col("qid").alias("id"), (2 - 1 / F.col("score")).alias("similarity"), "timestamp")
     cands = asked.select(F.col("qid").alias("id"), "category", F.lit(0.5).alias("support"), F.lit(0.5).alias("utility"))
     return governance.admission(cands, found, NOW).withColumn("score", r6(F.col("score")))
 

@@ -304,3 +304,34 @@ def recent_conversation(spark, d):
     last = rows.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("msg_id")))).where("n <= 3")
     line = F.concat(F.lit("user: "), redact(F.col("t")))
     return last.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("recent"))
+
+
+@query(with_mem(f"SELECT id, age, tier, array_to_string(list_filter([CASE WHEN confidence < 0.4 THEN 'low_confidence' END, CASE WHEN state = 'archived' OR valid_from > {NOW} THEN 'inactive' END], lambda x: x IS NOT NULL), ',') AS flags FROM (SELECT *, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN floor(m / 60)::BIGINT || 'h ago' ELSE floor(m / 1440)::BIGINT || 'd ago' END AS age FROM (SELECT *, floor(({NOW} - timestamp) / 60000)::BIGINT AS m FROM mem))"))
+def quality_filter(spark, d):
+    return maintenance.shown_row(mem(spark, d), NOW).select("id", "age", "tier", F.array_join("flags", ",").alias("flags"))
+
+
+@query("SELECT session_key, NOT contains(coalesce(session_key, ''), ':subagent:') AND coalesce(split_part(session_key, ':', 2), '') NOT IN ('cron', 'main') AS recalled FROM (SELECT DISTINCT session_key FROM session_messages)")
+def recall_agents(spark, d):
+    agent = F.coalesce(F.split_part("session_key", F.lit(":"), F.lit(2)), F.lit(""))
+    return table(spark, d, "session_messages").select("session_key").distinct().select("session_key", maintenance.recalls_for(F.col("session_key"), agent, exclude=("main",)).alias("recalled"))
+
+
+@query(f"SELECT id, CASE WHEN category IN ('preference', 'decision', 'fact') THEN 'durable' ELSE 'working' END AS layer FROM {ONCE}")
+def manual_layers(spark, d):
+    return once(spark, d).select("id", maintenance.manual_layer(F.col("category")).alias("layer"))
+
+
+RULED = "ruled AS (SELECT mem.id, mem.scope, mem.timestamp, confidence, state, entry_index AS n FROM mem JOIN d USING (id) WHERE entry_index IS NOT NULL)"
+
+
+@query(with_mem("""SELECT id, newest_id FROM (SELECT id, n, confidence, first(id) OVER w AS newest_id, first(n) OVER w AS nn, first(confidence) OVER w AS nc FROM ruled WHERE state <> 'archived' AND n % 5 < 2 WINDOW w AS (PARTITION BY scope ORDER BY timestamp DESC, confidence DESC, id))
+ WHERE id <> newest_id AND nc >= confidence AND n % 5 <> nn % 5""", RULED))
+def rule_contradictions(spark, d):
+    """Patterns that state a standing rule or its opposite, by the entry's number."""
+    n = F.col("n") % 5
+    rows = mem(spark, d).join(once(spark, d).where("entry_index is not null").select("id", F.col("entry_index").alias("n")), "id")
+    said_ = F.when(n == 0, "do not use multiple agents").when(n == 1, "use multiple agents").otherwise("nothing of it")
+    from quern.operators.scoring import contradiction_plan
+
+    return contradiction_plan(rows.withColumns({"memory_category": F.lit("patterns"), "l0": said_, "canonical_id": F.lit(None).cast("string"), "superseded_by": F.lit(None).cast("string")}))

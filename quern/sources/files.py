@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import trimmed
+from quern.functions.lines import skipped_message
+from quern.functions.text import message_text, redact, trimmed
+from quern.operators.sessions import recent_texts
 from quern.operators.store import LIST_COLUMNS, importable, legacy_columns, new_only
 
 TRACE = "kind string, recordedAt bigint, source string, trace struct<query:string,mode:string,startedAt:bigint,stages:array<struct<name:string,inputCount:int,outputCount:int,durationMs:int>>,finalCount:int,totalMs:bigint>"
@@ -78,3 +80,30 @@ def legacy_table(spark: SparkSession, path: str) -> DataFrame:
 def transcript_stream(spark: SparkSession, folder: str) -> DataFrame:
     """New lines of transcripts as a stream; its checkpoint is the cursor."""
     return spark.readStream.schema(TRANSCRIPT).option("mode", "DROPMALFORMED").json(folder)
+
+
+def drop_old_backups(spark: SparkSession, folder: str, keep: int = 7) -> list[str]:
+    """Removes the oldest days of a backup folder, beyond the last ``keep``; gives the days removed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    days = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("day="))
+    gone = days[: max(0, len(days) - keep)]
+    for day in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, day), True)
+    return [d.removeprefix("day=") for d in gone]
+
+
+def transcripts(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """file, recent: the last user and assistant texts of each transcript, oldest first; files that hold none are left out."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    parsed = lines.select("file", "n", F.from_json("line", "type string, message struct<role:string,content:string>").alias("j"))
+    said = parsed.where("j.type = 'message'").select(F.col("file").alias("session"), F.col("n").alias("seq"), F.col("j.message.role").alias("role"), message_text(F.col("j.message.content")).alias("text"))
+    keep = F.col("role").isin("user", "assistant") & ~skipped_message(F.col("role"), F.col("text"))
+    return recent_texts(said.withColumn("text", redact(trimmed(F.col("text")))), keep, most).withColumnRenamed("session", "file")
+
+
+def learning_counts(entries: DataFrame) -> DataFrame:
+    """One row over entries of learning files: total, pending, urgent, promoted."""
+    of = lambda c, *v: F.count_if(F.lower(c).isin(*v))
+    return entries.agg(F.count("*").alias("total"), of("status", "pending").alias("pending"), of("priority", "high", "critical").alias("urgent"), F.count_if(F.startswith(F.lower("status"), F.lit("promoted"))).alias("promoted"))

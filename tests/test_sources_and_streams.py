@@ -101,3 +101,23 @@ def test_transcript_stream(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"type": "message", "message": {"role": "user", "content": "hi"}}\nbroken\n')
     _drain(files.transcript_stream(spark, str(tmp_path)).select("type", "message.role"), "lines")
     assert [tuple(r) for r in spark.table("lines").collect()] == [("message", "user")]
+
+
+def test_transcripts(spark, tmp_path):
+    line = lambda role, content: json.dumps({"type": "message", "message": {"role": role, "content": content}})
+    (tmp_path / "a.jsonl").write_text("\n".join([line("user", "first"), "broken", line("user", "/reset"), line("tool", "x"), line("assistant", [{"type": "text", "text": "mail a@b.example"}]), line("user", "last")]))
+    (tmp_path / "b.jsonl").write_text("{}\n")
+    got = {r.file.rsplit("/", 1)[1]: r.recent for r in files.transcripts(spark, str(tmp_path), 2).collect()}
+    assert got == {"a.jsonl": "assistant: mail [REDACTED]\nuser: last"}
+
+
+def test_old_backups_go(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "a", None, "fact", "s", 0.5, 1, "{}")], MEMORIES)
+    for day in range(1, 5):
+        files.backup(rows, str(tmp_path / "b"), f"2026-01-0{day}")
+    assert files.drop_old_backups(spark, str(tmp_path / "b"), 2) == ["2026-01-01", "2026-01-02"] and files.drop_old_backups(spark, str(tmp_path / "b"), 2) == []
+
+
+def test_learning_counts(spark):
+    entries = spark.createDataFrame([("pending", "high"), ("Promoted", None), (None, "critical")], "status string, priority string")
+    assert files.learning_counts(entries).head() == (3, 1, 2, 1)
