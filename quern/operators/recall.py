@@ -79,6 +79,7 @@ def recall_by_tags(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, po
 def recall(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, pool: int = 20, min_score: float = 0.3, rank_again: bool = True) -> DataFrame:
     """Both searches, fusion, and the stages; where all results fall under the hard limit they are kept."""
     live = cut_lineage(rows.where(active_at(now) & ~expired(now)).select(*ROW, "vector"))
+    queries = cut_lineage(queries.select("qid", "query", "vector"))
     fused = fuse(vector_search(live, queries, pool, 0.1), bm25_search(live, queries, pool)).where(F.col("score") >= min_score)
     near = fused.select("qid", "id", "score", "bs", F.when(F.col("vs").isNotNull(), 2 - 1 / F.col("vs")).otherwise(0.0).alias("cosine"))
     return staged(near.join(live.select(*ROW), "id"), k, keep_all=True, rank_again=rank_again)

@@ -250,6 +250,7 @@ def hybrid(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, pool: int
     """
     # read by both searches and for the stages: parsed once
     live = cut_lineage(rows.where(active_at(now) & ~expired(now)).select("id", "text", "vector", "timestamp", "access_count", "confidence", "temporal_type"))
+    queries = cut_lineage(queries.select("qid", "query", "vector"))
     fused = fuse(vector_search(live, queries, pool, 0.1), bm25_search(live, queries, pool)).where(F.col("score") >= min_score)
     found = fused.select("qid", "id", "score").join(live.select("id", "text", "timestamp", "access_count", "confidence", "temporal_type"), "id")
     age = days_since(F.col("timestamp"), now)
