@@ -318,12 +318,19 @@ def noise_filter(spark, d):
     return said(spark, d).select("msg_id", text.is_noise(F.col("text")).alias("noise")).distinct()
 
 
-@query(with_mem(f"SELECT id, CASE WHEN regexp_matches(text, {_in_duckdb(classify.DYNAMIC)}) THEN 'dynamic' ELSE 'static' END AS kind, CASE " + " ".join(f"WHEN regexp_matches(text, {_in_duckdb(p)}) THEN {NOW + h * 3_600_000}" for p, h in classify.EXPIRY) + " END AS expires FROM mem"))
+# hours until what a text says is over, written out for the check
+OVER = (("后天|(?i:day after tomorrow)", 48), ("明天|(?i:\\btomorrow\\b)", 24), ("下周|(?i:\\bnext week\\b)", 7 * 24), ("这周|(?i:\\bthis week\\b)", 3 * 24), ("下个月|(?i:\\bnext month\\b)", 30 * 24), ("这个月|(?i:\\bthis month\\b)", 15 * 24), ("今晚|(?i:\\btonight\\b)", 12), ("今天|(?i:\\btoday\\b)", 18))
+WHEN_SAID = "(?i)\\b(today|yesterday|tomorrow|recently|currently|right now|this week|this month|last week|next week|this morning|tonight|later)\\b|今天|昨天|明天|最近|正在|刚才|刚刚|这周|这个月|上周|下周|目前|现在|今晚|今早|稍后|待会"
+
+
+@query(with_mem(f"SELECT id, CASE WHEN regexp_matches(text, '{WHEN_SAID}') THEN 'dynamic' ELSE 'static' END AS kind, CASE {' '.join(f"WHEN regexp_matches(text, '{words}') THEN {NOW} + {hours} * 3600000" for words, hours in OVER)} END AS expires FROM mem"))
 def temporal_rules(spark, d):
     return mem(spark, d).select("id", classify.temporal_type(F.col("text")).alias("kind"), classify.expiry(F.col("text"), NOW).alias("expires"))
 
 
-@query(with_mem("SELECT id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), {_in_duckdb('(?i)' + p)}) THEN '{n}'" for n, p in classify.CATEGORY_RULES) + " ELSE 'other' END AS category FROM mem"))
+@query(with_mem(r"""SELECT id, CASE WHEN regexp_matches(low, 'prefer|radši|like|love|hate|want|偏好|喜歡|喜欢|討厭|讨厌|不喜歡|不喜欢|愛好|爱用|習慣|习惯') THEN 'preference'
+ WHEN regexp_matches(low, 'rozhodli|decided|we decided|will use|we will use|we''?ll use|switch(ed)? to|migrate(d)? to|going forward|from now on|budeme|決定|决定|選擇了|选择了|改用|換成|换成|以後用|以后用|規則|流程|sop') THEN 'decision'
+ WHEN regexp_matches(low, '\+\d{10,}|@[\w.-]+\.\w+|is called|jmenuje se|我的\S+是|叫我|稱呼|称呼') THEN 'entity' WHEN regexp_matches(low, '\b(is|are|has|have|je|má|jsou)\b|總是|总是|從不|从不|一直|每次都|老是') THEN 'fact' ELSE 'other' END AS category FROM (SELECT id, lower(text) AS low FROM mem)"""))
 def detect_category(spark, d):
     return mem(spark, d).select("id", classify.detected_category(F.col("text")).alias("category"))
 
