@@ -54,6 +54,7 @@ SYNONYMS = (
     (("报错", "出错", "错误"), ("error", "exception"), ("error", "报错", "exception", "错误", "失败", "bug")),
     (("修复", "修了", "修好"), ("bugfix", "hotfix"), ("fix", "修复", "patch", "解决")),
     (("踩坑",), ("troubleshoot",), ("踩坑", "bug", "问题", "教训", "排查", "troubleshoot")),
+    (("记忆", "记忆系统"), ("memory",), ("记忆", "memory", "记忆系统", "LanceDB", "索引")),
     (("搜索", "查找", "找不到"), ("search", "retrieval"), ("搜索", "search", "retrieval", "检索", "查找")),
     (("推送",), ("git push",), ("push", "推送", "git push", "commit")),
     (("日志",), ("logfile", "logging"), ("日志", "log", "logging", "输出", "打印")),

@@ -67,6 +67,7 @@ EXPANSIONS = (
     ("挂了|挂掉|宕机", "shutdown|crashed", "崩溃,crash,error,报错,宕机,失败"), ("卡住|卡死|没反应", "hung|frozen", "hang,timeout,超时,无响应,stuck"), ("炸了|爆了", "oom", "崩溃,crash,OOM,内存溢出,error"),
     ("配置|设置", "config|configuration", "配置,config,configuration,settings,设置"), ("部署|上线", "deploy|deployment", "deploy,部署,上线,发布,release"), ("容器", "docker|container", "Docker,容器,container,docker-compose"),
     ("报错|出错|错误", "error|exception", "error,报错,exception,错误,失败,bug"), ("修复|修了|修好", "bugfix|hotfix", "fix,修复,patch,解决"), ("踩坑", "troubleshoot", "踩坑,bug,问题,教训,排查,troubleshoot"),
+    ("记忆|记忆系统", "memory", "记忆,memory,记忆系统,LanceDB,索引"),
     ("搜索|查找|找不到", "search|retrieval", "搜索,search,retrieval,检索,查找"), ("推送", "git push", "push,推送,git push,commit"), ("日志", "logfile|logging", "日志,log,logging,输出,打印"),
     ("权限", "permission|authorization", "权限,permission,access,授权,认证"), ("向量|嵌入", "embedding|vector", "embedding,vector,向量,嵌入,相似度,cosine"), ("提示词|提示", "prompt", "prompt,提示词,指令,system prompt,few-shot"),
     ("模型", "model|llm", "model,模型,LLM,大模型,推理"), ("知识库|知识", "rag|knowledge", "RAG,知识库,knowledge base,检索增强,向量数据库"), ("接口|api", "api|endpoint", "API,接口,endpoint,REST,GraphQL"),
