@@ -202,31 +202,97 @@ def keyword_search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     return found.unionByName(lexical_search(rows, rest, k))
 
 
-def lexical_score(matched: Column, size: Column, literal: Column, weight: Column) -> Column:
+def lexical_score(matched: np.ndarray, size: np.ndarray, literal: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Coverage of the query's tokens, with a bonus for a literal hit and for whole coverage."""
     score = 0.5 + 0.42 * matched / size
-    score = F.when(literal, F.greatest(score, F.lit(0.88))).otherwise(score)
-    score = F.when(matched == size, F.greatest(score, F.lit(0.92))).otherwise(score)
-    return F.least(F.lit(0.95), score) * weight
+    score = np.where(literal, np.maximum(score, 0.88), score)
+    score = np.where(matched == size, np.maximum(score, 0.92), score)
+    return np.minimum(0.95, score) * weight
 
 
 def lexical_search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """qid, id, score, rank over the text and its abstract, overview and content.
 
     Rows and queries meet on equal tokens; a field that repeats the text is left
-    to the text, whose weight is the greatest.
+    to the text, whose weight is the greatest. Slices of fields are held against
+    one block of queries after the other and pass on what may be among a query's
+    k best, so that no pair of a row and a query is written.
     """
-    asked = queries.select("qid", "query", search_tokens(F.col("query")).alias("qt")).where(F.size("qt") > 0)
+    tokens = lambda c: F.transform(search_tokens(c), lambda w: F.xxhash64(w))
+    plain = lambda c: F.lower(trimmed(c))
+    asked = queries.select("qid", plain(F.col("query")).alias("q"), tokens(F.col("query")).alias("qt")).where("qid is not null and size(qt) > 0")
     field = lambda name, weight: F.struct(F.lit(weight).alias("weight"), F.col(name).alias("t"))
     kept = [F.array(field("text", 1.0)), *(F.when(F.col(n) != F.col("text"), F.array(field(n, w))).otherwise(F.array().cast("array<struct<weight:double,t:string>>")) for n, w in (("l0", 0.98), ("l1", 0.92), ("l2", 0.96)))]
-    fields = rows.select("id", F.explode(F.concat(*kept)).alias("f")).select("id", "f.weight", "f.t")
-    words = fields.select("id", "weight", F.explode(search_tokens(F.col("t"))).alias("w"))
-    needles = asked.select("qid", F.size("qt").alias("size"), F.explode("qt").alias("w"))
-    hits = words.join(needles, "w").groupBy("qid", "id", "weight", "size").agg(F.count("*").alias("matched"))
-    found = hits.join(fields, ["id", "weight"]).join(asked.select("qid", "query"), "qid")
-    literal = F.contains(F.lower(trimmed(F.col("t"))), F.lower(trimmed(F.col("query"))))
-    scored = found.select("qid", "id", lexical_score(F.col("matched"), F.col("size"), literal, F.col("weight")).alias("score"))
-    return top_k(scored.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
+    fields = rows.where("id is not null").select("id", F.explode(F.concat(*kept)).alias("f"))
+    fields = fields.select("id", "f.weight", plain(F.col("f.t")).alias("t"), tokens(F.col("f.t")).alias("w"))
+    return in_passes(asked, lambda some: _lexical_pass(fields, some, k), MOST_AT_ONCE)
+
+
+def _lexical_pass(fields: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    asked = queries.toArrow().combine_chunks()
+    word = np.unique(asked.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False))
+    blocks = []
+    for at in range(0, asked.num_rows, MOST_QUERIES):
+        part = asked.slice(at, MOST_QUERIES)
+        lists = part.column(2).combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        place, _ = _places(word, lists.flatten().to_numpy(zero_copy_only=False))
+        by_word = np.argsort(place, kind="stable")
+        edge = np.searchsorted(place[by_word], np.arange(len(word) + 1))
+        blocks.append((part.column(0).combine_chunks(), part.column(1).to_pylist(), size, np.repeat(np.arange(len(size)), size)[by_word], edge))
+    sent = fields.sparkSession.sparkContext.broadcast((word, blocks))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, blocks = sent.value
+        least = [np.zeros(len(b[0])) for b in blocks]  # of each query the score that k rows seen so far reach
+        for whole in batches:
+            for start in range(0, whole.num_rows, MOST_ROWS // 2):
+                batch = whole.slice(start, MOST_ROWS // 2)
+                weight, texts, lists = batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3)
+                of_row = np.cumsum(weight == 1.0)  # a row's fields follow its text
+                at = np.repeat(np.arange(len(weight)), lists.value_lengths().fill_null(0).to_numpy())
+                place, there = _places(word, lists.flatten().to_numpy(zero_copy_only=False))
+                at, place = at[there], place[there]
+                for n, (qids, plain, size, of, edge) in enumerate(blocks):
+                    i, j, matched = _matched(at, place, of, edge, len(weight), size, least[n])
+                    literal = np.zeros(len(i), dtype=bool)
+                    for x in np.flatnonzero((0.5 + 0.42 * matched / size[j] < 0.88) & (matched >= size[j] - 2)):
+                        literal[x] = plain[j[x]] in texts[i[x]]
+                    score = lexical_score(matched, size[j], literal, weight[i])
+                    order = np.lexsort((-score, of_row[i], j))  # a row's best field
+                    order = order[np.flatnonzero(np.diff(j[order] * (len(weight) + 1) + of_row[i[order]], prepend=-1))]
+                    order = order[np.lexsort((-score[order], j[order]))]
+                    i, j, score = i[order], j[order], score[order]
+                    edges = np.searchsorted(j, np.arange(len(size) + 1))
+                    full = np.flatnonzero(np.diff(edges) >= k)
+                    least[n][full] = np.maximum(least[n][full], score[edges[full] + k - 1])
+                    keep = score >= least[n][j]
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([qids.take(pa.array(j[keep])), batch.column(0).take(pa.array(i[keep])), pa.array(score[keep])], names=["qid", "id", "score"])
+
+    kind = dict(queries.dtypes)["qid"]
+    found = fields.mapInArrow(run, f"qid {kind}, id string, score double")
+    return top_k(found.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
+
+
+def _matched(at: np.ndarray, place: np.ndarray, of: np.ndarray, edge: np.ndarray, n: int, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(field, query, tokens in both) of those pairs that may reach ``least``.
+
+    A literal hit shares all tokens of the query but its first and last word, so
+    pairs with more tokens apart reach no more than their coverage.
+    """
+    many = edge[place + 1] - edge[place]
+    total = np.cumsum(many)
+    matched, begin = np.zeros(n * len(size), dtype=np.int64), 0
+    while begin < len(place):
+        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + MOST_SUMS // 2, side="right")))
+        own = slice(begin, stop)
+        matched += np.bincount(np.repeat(at[own], many[own]) * len(size) + of[ragged(edge[place[own]], many[own])], minlength=len(matched))
+        begin = stop
+    matched = matched.reshape(n, len(size))
+    need = np.minimum(np.ceil((least - 0.5) / 0.42 * size - 1e-6), size - 2)
+    i, j = np.nonzero(matched >= np.maximum(need, 1).astype(np.int64))
+    return i, j, matched[i, j]
 
 
 def fuse(vector: DataFrame, bm25: DataFrame, vector_weight: float = 0.6, bm25_weight: float = 0.4, k: int = 60) -> DataFrame:
