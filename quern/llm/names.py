@@ -27,7 +27,7 @@ HAN_EITHER = "敏明文晓小志春秀红玉海云"
 
 #: A word of letters; Chinese signs beside it are no part of it.
 WORD = re.compile(r"[^\W\d_㐀-鿿]+(?:[-'’][^\W\d_㐀-鿿]+)*")
-#: Most name parts that are sent to all tasks, given or learned.
+#: Most name parts that are sent to all tasks; more learned ones meet the texts by joins.
 MOST_NAMES = 100_000
 #: A learned part has at least so many places beside a known one, so many different partners, a share of its places there, and of those a share with a capital.
 LEAST_PLACES, LEAST_PARTNERS, LEAST_SHARE, LEAST_CAPITALS = 2, 2, 0.3, 0.3
@@ -95,6 +95,21 @@ def _beside(text: str, given: frozenset[str], family: frozenset[str]) -> Iterato
 
 def learned_names(rows: DataFrame, given: Iterable[str], family: Iterable[str], text_col: str = "text") -> tuple[tuple[str, ...], tuple[str, ...]]:
     """(given names, family names) that the lexicon lacks, in lower case."""
+    found = learned_parts(rows, given, family, text_col)
+    return _named((r["word"], r["part"]) for r in found.collect()) if isinstance(found, DataFrame) else found
+
+
+def _named(parts: Iterable[tuple[str, str]]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    parts = sorted(parts)
+    return tuple(w for w, p in parts if p == "given"), tuple(w for w, p in parts if p == "family")
+
+
+def learned_parts(rows: DataFrame, given: Iterable[str], family: Iterable[str], text_col: str = "text") -> tuple[tuple[str, ...], tuple[str, ...]] | DataFrame:
+    """(given names, family names) that the lexicon lacks, in lower case; of more than ``MOST_NAMES`` candidates a table of word and part.
+
+    Those of a table are held against the counts of all words by a join, so that
+    none is left out; it is computed where it is used and written nowhere.
+    """
     known_given, known_family = frozenset(x.lower() for x in given), frozenset(x.lower() for x in family)
     if not known_given and not known_family:
         return (), ()
@@ -118,18 +133,20 @@ def learned_names(rows: DataFrame, given: Iterable[str], family: Iterable[str],
     found = texts.mapInArrow(places, "word string, part string, partner string, n bigint, capitals bigint").groupBy("word", "part", "partner").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"))
     found = found.groupBy("word", "part").agg(F.sum("n").alias("n"), F.sum("capitals").alias("capitals"), F.count("*").alias("partners"))
     found = found.where(f"n >= {LEAST_PLACES} and partners >= {LEAST_PARTNERS} and capitals >= {LEAST_CAPITALS} * n")
-    candidates = {(r["word"], r["part"]): r["n"] for r in found.orderBy(F.desc("n"), "word").limit(MOST_NAMES).collect()}
-    if not candidates:
+    listed = found.select("word", "part", "n").limit(MOST_NAMES + 1).collect()
+    if not listed:
         return (), ()
-    wanted = frozenset(w for w, _ in candidates)
+    wanted = frozenset(r["word"] for r in listed) if len(listed) <= MOST_NAMES else None
 
     def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                seen.update(w for w in WORD.findall(text.lower()) if w in wanted)
+                seen.update(w for w in WORD.findall(text.lower()) if wanted is None or w in wanted)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    total = {r["word"]: r["n"] for r in texts.mapInArrow(totals, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    pick = lambda part: tuple(sorted(w for (w, p), n in candidates.items() if p == part and n >= LEAST_SHARE * total.get(w, n)))
-    return pick("given"), pick("family")
+    counted = texts.mapInArrow(totals, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("total"))
+    if wanted is None:
+        return found.join(counted, "word", "left").where(f"n >= {LEAST_SHARE} * coalesce(total, n)").select("word", "part")
+    total = {r["word"]: r["total"] for r in counted.collect()}
+    return _named((r["word"], r["part"]) for r in listed if r["n"] >= LEAST_SHARE * total.get(r["word"], r["n"]))

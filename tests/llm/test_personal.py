@@ -111,6 +111,21 @@ def test_names_are_learned_from_their_places(spark):
     assert p.nm.learned_names(rows, [], []) == ((), ())
 
 
+def test_more_learned_names_than_are_sent_to_all_tasks(spark, monkeypatch):
+    """Not one is left out: they meet the texts by joins, with the same finds and surrogates."""
+    learned = ["halberyn", "tollander", "corbeauld", "quillmere"]
+    texts = [f"met {g} {f.capitalize()} there" for f in learned for g in ("Marek", "Wenda")] + [f"wrote to {g} {f}" for f in learned for g in ("wenda", "marek")] + ["Ｍarek Tollander said", "Tom Quillmere", "Halberyn, Marek", None, ""]
+    rows = spark.createDataFrame([("memory", str(i), t) for i, t in enumerate(texts + texts[:3])], "src string, rec_id string, text string")
+    lexicon = spark.createDataFrame([("Marek", "given"), ("Wenda", "given")], "name string, part_of_name string")
+    found = lambda: sorted(tuple(r) for r in p.spans(rows, p._detector(rows, lexicon), KEY).collect())
+    edited = lambda: sorted((r.rec_id, r.text) for r in p.redacted(rows, lexicon, KEY, "surrogate").collect())
+    want, text = found(), edited()
+    assert p.nm.learned_names(rows, ["Marek", "Wenda"], []) == ((), tuple(sorted(learned))) and {str(i) for i in range(16)} <= {x[1] for x in want}
+    monkeypatch.setattr(p.nm, "MOST_NAMES", 1)
+    assert p.nm.learned_names(rows, ["Marek", "Wenda"], []) == ((), tuple(sorted(learned)))
+    assert found() == want and edited() == text
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "src string, rec_id string, text string")
     assert p.spans(empty, ((), ())).count() == 0
