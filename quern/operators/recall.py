@@ -10,7 +10,7 @@ from quern.functions.numbers import clamp01
 from quern.functions.recall_text import tags
 from quern.functions.text import is_noise
 from quern.operators import scoring
-from quern.operators.search import bm25_search, fuse, top_k, vector_search
+from quern.operators.search import bm25_by_rare_words, bm25_search, fuse, top_k, vector_search
 from quern.session import cut_lineage
 
 
@@ -68,12 +68,19 @@ def recall_by_vector(rows: DataFrame, queries: DataFrame, now: int, k: int = 5,
 
 
 def recall_by_tags(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, pool: int = 20) -> DataFrame:
-    """Keyword search of the queries that name tags; a result must hold all of them."""
-    live = cut_lineage(rows.where(active_at(now) & ~expired(now)).select(*ROW, "vector"))
-    asked = queries.select("qid", "query", tags(F.col("query")).alias("tags")).where(F.size("tags") > 0)
-    found = bm25_search(live, asked, pool).select("qid", "id", "score", F.col("score").alias("bs"), F.lit(None).cast("double").alias("cosine"))
-    held = found.join(live.select(*ROW), "id").join(asked.select("qid", "tags"), "qid")
-    return staged(held.where(F.forall("tags", lambda t: F.contains(F.lower("text"), F.lower(t)))), k)
+    """Keyword search of the queries that name tags; a result must hold all of them.
+
+    Queries of the same text are asked once, under their text.
+    """
+    live = cut_lineage(rows.where(active_at(now) & ~expired(now)).select(*ROW))
+    asked = cut_lineage(queries.select("qid", "query", tags(F.col("query")).alias("tags")).where(F.size("tags") > 0))
+    texts = asked.select(F.col("query").alias("qid"), "query", "tags").dropDuplicates(["qid"])
+    found = bm25_by_rare_words(live, texts, pool).select("qid", "id", "score", F.col("score").alias("bs"), F.lit(None).cast("double").alias("cosine"))
+    held = found.join(live, "id").join(texts.select("qid", "tags"), "qid")
+    # written, so that the stages read those alone and not all rows before the join
+    held = cut_lineage(held.where(F.forall("tags", lambda t: F.contains(F.lower("text"), F.lower(t)))).drop("tags"))
+    best = staged(held, k)
+    return asked.select("qid", "query").join(best.withColumnRenamed("qid", "query"), "query").select("qid", "id", "score", "rank")
 
 
 def recall(rows: DataFrame, queries: DataFrame, now: int, k: int = 5, pool: int = 20, min_score: float = 0.3, rank_again: bool = True) -> DataFrame:

@@ -30,6 +30,10 @@ MOST_ROWS = 4096
 MOST_AT_ONCE = 20_000
 #: Sums of a keyword search at once.
 MOST_SUMS = 1 << 22
+#: Most rows that hold a rare word, in more than a million rows a thousandth of them, and most queries that share it.
+RARE, MOST_SHARING = 1000, 10_000
+#: Queries of few words of one pass over the rows.
+MOST_SHORT = 1_000_000
 WORDS = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 
 
@@ -195,6 +199,94 @@ def _best_of_slice(ids: pa.Array, row: np.ndarray, place: np.ndarray, weight: np
         at = stop
 
 
+def bm25_by_rare_words(rows: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, rare: int = RARE) -> DataFrame:
+    """``bm25_search`` for very many queries of few words, whose number grows with the rows.
+
+    Rows that hold a rare word of a query are found by that word and get their whole
+    score. For all others only the query's frequent words count: their k best are
+    found once for all queries with the same ones. A row that is neither has k rows
+    before it that score no less, so nothing is lost.
+    """
+    words = rows.select("id", terms(F.col("text")).alias("t"))
+    asked = queries.select("qid", F.array_distinct(terms(F.col("query"))).alias("qt")).where(F.size("qt") > 0)
+    n, average = words.agg(F.count("*"), F.avg(F.size("t"))).head()
+    return in_passes(asked, lambda some: _rare_pass(words, some, k, k1, b, n, average or 1.0, rare), MOST_SHORT)
+
+
+def _rare_pass(words: DataFrame, queries: DataFrame, k: int, k1: float, b: float, n: int, average: float, rare: int) -> DataFrame:
+    spark = words.sparkSession
+    asked = queries.toArrow().combine_chunks()
+    qids, lists = asked.column(0).combine_chunks(), asked.column(1).combine_chunks()
+    word, count = _frequencies(words, np.unique(lists.flatten().to_numpy(zero_copy_only=False)))
+    idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
+    place, there = _places(word, lists.flatten().to_numpy(zero_copy_only=False))
+    of, place = np.repeat(np.arange(len(qids)), lists.value_lengths().to_numpy())[there], place[there]
+    edge_of = np.searchsorted(of, np.arange(len(qids) + 1))
+    seldom = (count <= max(rare, n // 1000)) & (np.bincount(place, minlength=len(word)) <= MOST_SHARING)
+    own = np.flatnonzero(seldom[place])
+    own = own[np.argsort(place[own], kind="stable")]
+    sent = spark.sparkContext.broadcast((word, idf, qids, place, edge_of, of[own], np.searchsorted(place[own], np.arange(len(word) + 1))))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, idf, qids, asked_place, edge_of, of, edge = sent.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, MOST_ROWS):
+                batch = whole.slice(start, MOST_ROWS)
+                held, tf, length = _held(batch.column(1), word)
+                row, place = held // max(1, len(word)), held % max(1, len(word))
+                weight = idf[place] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / average))
+                many = edge[place + 1] - edge[place]
+                pair = np.unique(np.repeat(row, many) * max(1, len(qids)) + of[ragged(edge[place], many)])
+                row, q = pair // max(1, len(qids)), pair % max(1, len(qids))
+                many = edge_of[q + 1] - edge_of[q]
+                at, there = _places(held, np.repeat(row, many) * len(word) + asked_place[ragged(edge_of[q], many)])
+                raw = np.bincount(np.repeat(np.arange(len(q)), many)[there], weights=weight[at[there]], minlength=len(q))
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), batch.column(0).take(pa.array(row)), pa.array(raw)], names=["qid", "id", "raw"])
+
+    kind = dict(queries.dtypes)["qid"]
+    raw = words.mapInArrow(run, f"qid {kind}, id string, raw double")
+    whole = top_k(raw.select("qid", "id", (1 / (1 + F.exp(-F.col("raw") / 5))).alias("score")), k, digits=9).select("qid", "id", "score")
+    # the frequent words of each query, as the number of their set
+    numbers: dict[tuple[int, ...], int] = {}
+    often = np.flatnonzero(~seldom[place])
+    often = often[np.lexsort((place[often], of[often]))]
+    cuts = np.searchsorted(of[often], np.arange(len(qids) + 1))
+    set_of = [numbers.setdefault(tuple(place[often[x:y]].tolist()), len(numbers)) if y > x else -1 for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    if not numbers:
+        return top_k(whole, k, digits=9)
+    sets = spark.createDataFrame([(i, word[list(places)].tolist()) for places, i in numbers.items()], "qid bigint, qt array<bigint>")
+    best = in_passes(sets, lambda some: _keyword_pass(words, some, k, k1, b, n, average), MOST_AT_ONCE)
+    asked_sets = spark.createDataFrame(pa.table({"qid": qids, "set": pa.array(set_of, pa.int64())})).where("set >= 0")
+    alone = asked_sets.join(best.select(F.col("qid").alias("set"), "id", "score"), "set").select("qid", "id", "score")
+    return top_k(whole.unionByName(alone).groupBy("qid", "id").agg(F.max("score").alias("score")), k, digits=9)
+
+
+def _held(lists: pa.Array, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row and place of each of the sorted words that a row holds, as one ascending number, how often, words of each row)."""
+    length = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    place, there = _places(word, lists.flatten().to_numpy(zero_copy_only=False))
+    held, tf = np.unique(np.repeat(np.arange(len(length)), length)[there] * max(1, len(word)) + place[there], return_counts=True)
+    return held, tf, length.astype(np.float64)
+
+
+def _frequencies(words: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(those of the vocabulary's words that rows hold, ascending, in how many rows)."""
+    sent = words.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sent.value), dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_held(batch.column(1), sent.value)[0] % max(1, len(total)), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(sent.value[some], pa.int64()), pa.array(total[some])], names=["w", "df"])
+
+    df = words.mapInArrow(run, "w bigint, df bigint").groupBy("w").agg(F.sum("df").alias("df")).toArrow()
+    word, count = df.column(0).to_numpy(), df.column(1).to_numpy()
+    order = np.argsort(word)
+    return word[order], count[order]
+
+
 def keyword_search(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """qid, id, score, rank of the keyword search; queries that find nothing there are searched by their tokens."""
     found = bm25_search(rows, queries, k)

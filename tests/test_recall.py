@@ -151,3 +151,29 @@ def test_weights_count_in_proportion(spark, preset):
     plain = governance.admission(cands, none, 0, preset).head()
     twice = governance.admission(cands, none, 0, preset, {k: 2 * v for k, v in governance.PRESETS[preset][0].items()}).head()
     assert plain == twice and plain.decision == "pass_to_dedup" and plain.hint == "add"
+
+
+def test_tags_are_asked_once_for_all_that_share_their_words(spark, monkeypatch):
+    """Very many tags meet the rows on their rare words; results are those of the search of each tag alone."""
+    import random
+
+    r = random.Random(5)
+    tag = lambda i: f"{('team', 'proj')[i % 2]}:{('ab', 'cd', 'ef')[i % 3]}-x{i % 40}"
+    texts = [f"note {r.choice(('ab', 'x7', 'team', 'q'))} {tag(r.randrange(200))} " + "and more words " * r.randrange(4) for _ in range(400)] + [None, "team team proj", "say TEAM:AB-X0 once"]
+    rows = spark.createDataFrame([(f"m{i:03d}", t, 0.5, "core", None, None, None) for i, t in enumerate(texts)], "id string, text string, composite double, tier string, valid_from bigint, invalidated_at bigint, expires_at bigint")
+    rows = rows.withColumns({c: F.lit(0).cast("bigint") for c in ("valid_from",)})
+    asked = spark.createDataFrame([(i, tag(i)) for i in range(300)] + [(500, "no tag"), (501, None), (502, "team:ab-x0 and proj:nobody")], "qid bigint, query string")
+    plain = search.bm25_search(rows, asked, 7).collect()
+    for rare in (3, 1000):
+        got = search.bm25_by_rare_words(rows, asked, 7, rare=rare).collect()
+        assert sorted((x.qid, x.id, round(x.score, 8), x["rank"]) for x in got) == sorted((x.qid, x.id, round(x.score, 8), x["rank"]) for x in plain)
+    sent, one_pass = [], search._keyword_pass
+    monkeypatch.setattr(search, "_keyword_pass", lambda words, queries, *rest: sent.append(queries.count()) or one_pass(words, queries, *rest))
+    monkeypatch.setattr(recall, "active_at", lambda now: F.lit(True)), monkeypatch.setattr(recall, "expired", lambda now: F.lit(False))
+    found = recall.recall_by_tags(rows, asked.where("qid < 300"), 1).collect()
+    assert max(sent, default=0) <= 6 and {x.qid for x in found} >= set(range(0, 120)) - {x for x in range(120) if not any(t and tag(x) in t for t in texts)}
+    by_query = {}
+    for x in found:
+        by_query.setdefault(tag(x.qid), {}).setdefault(x.qid, set()).add((x.id, x.score, x["rank"]))
+    assert all(len({frozenset(v) for v in q.values()}) == 1 for q in by_query.values())
+    assert all(tag(x.qid) in texts[int(x.id[1:])].lower() for x in found)
